@@ -11,8 +11,12 @@ VACANCIES = """
          n.n_name AS vacancy_area,
          concat_ws(' ', s.s_name, p.p_name, p.p_type, p.p_brand, c.c_mktsegment,
                    CASE WHEN p.p_size % 7 = 0 THEN 'Customer care' END) AS vacancy_description,
-         CAST(p.p_size AS VARCHAR) || ' ' || p.p_type AS vacancy_experience_raw,
-         p.p_type AS vacancy_employment_raw, p.p_name AS vacancy_schedule_raw
+         concat_ws(' ', (['от', 'более', 'свыше', 'не требуется', 'нет'])[p.p_size % 5 + 1],
+                   CAST(p.p_size % 8 AS VARCHAR), (['года', 'лет'])[p.p_partkey % 2 + 1]) AS vacancy_experience_raw,
+         (['полная занятость', 'Частичная занятость', 'проектная работа', 'разовое задание', 'стажировка'])[p.p_size % 5 + 1]
+           AS vacancy_employment_raw,
+         (['полный день', 'Удаленная работа', 'гибкий график', 'сменный график', 'вахтовый метод', '5/2'])[p.p_partkey % 6 + 1]
+           AS vacancy_schedule_raw
   FROM supplier s
   LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
   LEFT JOIN part p ON p.p_partkey = s.s_suppkey
@@ -96,3 +100,20 @@ PAIR_FEATURES = """
                   lambda w: w <> ''))
   END AS last_position_in_vacancy
 """
+
+NUMERIC_PROFILE = """
+  SELECT CAST(c_custkey AS VARCHAR) AS resume_id, c_acctbal * 1500 AS resume_salary,
+         CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 16 + c_custkey % 80 END AS DOUBLE) AS resume_age,
+         CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 7) % 900 END AS DOUBLE) AS resume_experience_months,
+         CAST(CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE (c_custkey * 13) % 800 END AS DOUBLE)
+           AS resume_last_company_experience_months,
+         c_mktsegment AS segment
+  FROM customer
+"""
+
+PERIOD_TEXTS = """
+  SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'нет' ELSE
+    CAST(p_size AS VARCHAR) || CASE WHEN p_size % 10 = 1 THEN ' год ' WHEN p_size % 10 IN (2, 3, 4) THEN ' года '
+                                    ELSE ' лет ' END || CAST(p_partkey % 12 AS VARCHAR) || ' месяцев' END AS period_text
+  FROM part
+"""

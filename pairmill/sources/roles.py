@@ -41,12 +41,27 @@ def vacancies(spark: SparkSession, d: str) -> DataFrame:
         F.col("s_name").alias("vacancy_name"),
         F.col("n_name").alias("vacancy_area"),
         desc.alias("vacancy_description"),
-        F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type")).alias("vacancy_experience_raw"),
-        F.col("p_type").alias("vacancy_employment_raw"),
-        F.col("p_name").alias("vacancy_schedule_raw"),
+        experience_raw_expr().alias("vacancy_experience_raw"),
+        _pick(EMPLOYMENT_PHRASES, F.col("p_size")).alias("vacancy_employment_raw"),
+        _pick(SCHEDULE_PHRASES, F.col("p_partkey")).alias("vacancy_schedule_raw"),
     )
 
 
+# Raw category phrases as a crawler would see them; picked per row by key.
+EXPERIENCE_WORDS = ["от", "более", "свыше", "не требуется", "нет"]
+EMPLOYMENT_PHRASES = ["полная занятость", "Частичная занятость", "проектная работа", "разовое задание", "стажировка"]
+SCHEDULE_PHRASES = ["полный день", "Удаленная работа", "гибкий график", "сменный график", "вахтовый метод", "5/2"]
+
+
+def _pick(values: list[str], key: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def experience_raw_expr() -> F.Column:
+    return F.concat_ws(" ", _pick(EXPERIENCE_WORDS, F.col("p_size")), (F.col("p_size") % 8).cast("string"),
+                       _pick(["года", "лет"], F.col("p_partkey")))
+
+
 def resume_skills_expr() -> F.Column:
     seg, brand = F.col("c_mktsegment"), F.concat(F.lit("Brand#"), F.col("c_nationkey").cast("string"))
     return (F.when(F.col("c_custkey") % 11 == 0, F.array(seg, F.lit(""), brand))
@@ -128,3 +143,29 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("source"),
         F.date_trunc("day", "ts").alias("parsed_date"), F.col("event_id"), F.col("value"), F.col("ts"),
     )
+
+
+def numeric_profile(spark: SparkSession, d: str) -> DataFrame:
+    """customer as numeric résumé fields with derived nulls and outliers
+    (salary up to 1.5e7 and negative, ages 16..95, months up to 899)."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.cast("string").alias("resume_id"),
+        (F.col("c_acctbal") * 1500).alias("resume_salary"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(16 + k % 80).cast("double").alias("resume_age"),
+        F.when(k % 11 == 0, F.lit(None)).otherwise((k * 7) % 900).cast("double").alias("resume_experience_months"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise((k * 13) % 800).cast("double")
+         .alias("resume_last_company_experience_months"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+
+
+def period_texts(spark: SparkSession, d: str) -> DataFrame:
+    """part as experience-period texts: '<size> год|года|лет <key % 12> месяцев',
+    'нет' for every 13th part."""
+    p = table(spark, d, "part")
+    unit = (F.when(F.col("p_size") % 10 == 1, " год ")
+             .when((F.col("p_size") % 10).isin(2, 3, 4), " года ").otherwise(" лет "))
+    txt = F.concat(F.col("p_size").cast("string"), unit, (F.col("p_partkey") % 12).cast("string"), F.lit(" месяцев"))
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, F.lit("нет")).otherwise(txt).alias("period_text"))
