@@ -126,9 +126,9 @@ def clean_text(text) -> Column:
 
 def simple_tokens(text, stop_words: list[str]) -> Column:
     """clean, split on blanks, drop stop words and tokens of length ≤ 2."""
-    sw = F.array(*[F.lit(w) for w in sorted(set(stop_words))]) if stop_words else F.array().cast("array<string>")
-    toks = F.split(clean_text(text), " ")
-    return F.filter(toks, lambda x: (F.length(x) > 2) & ~F.array_contains(sw, x))
+    from .tokens import remove_stop_words
+    toks = F.filter(F.split(clean_text(text), " "), lambda x: F.length(x) > 2)
+    return remove_stop_words(toks, stop_words or [])
 
 
 def list_literal_to_array(s) -> Column:
@@ -168,7 +168,9 @@ def skill_count_clean(description, skills_text) -> Column:
     d = clean_text(description)
     raw = F.regexp_replace(_c(skills_text), r"[\[\]'\"]", "")
     sk = F.filter(F.transform(F.split(raw, r"[,;\n]"), lambda s: clean_text(s)), lambda s: F.length(s) > 2)
-    n = F.size(F.filter(sk, lambda s: F.contains(d, s))).cast("double")
+    acc = F.aggregate(sk, F.struct(d.alias("d"), F.lit(0).alias("h")),
+                      lambda a, s: F.struct(a["d"].alias("d"), (a["h"] + F.contains(a["d"], s).cast("int")).alias("h")))
+    n = acc["h"].cast("double")
     return F.when(_c(description).isNull() | _c(skills_text).isNull(), F.lit(0.0)).otherwise(n)
 
 
@@ -192,10 +194,15 @@ def position_share(position, description) -> Column:
 
 def position_share_tokens(description, position, stop_words: list[str]) -> Column:
     """token-equality share; position tokens keep repeats."""
-    vt = F.array_distinct(simple_tokens(description, stop_words))
+    sw = F.array(*[F.lit(w) for w in sorted(set(stop_words or []))]) if stop_words else F.array().cast("array<string>")
+    vt = F.array_except(F.filter(F.split(clean_text(description), " "), lambda x: F.length(x) > 2), sw)
     pt = simple_tokens(position, stop_words)
-    hits = F.size(F.filter(pt, lambda t: F.array_contains(vt, t)))
-    n = F.size(pt)
+    # aggregate's start value is evaluated once (a lambda would re-tokenize per element)
+    acc = F.aggregate(pt, F.struct(vt.alias("s"), F.lit(0).alias("h"), F.lit(0).alias("n")),
+                      lambda a, t: F.struct(a["s"].alias("s"),
+                                            (a["h"] + F.array_contains(a["s"], t).cast("int")).alias("h"),
+                                            (a["n"] + 1).alias("n")))
+    hits, n = acc["h"], acc["n"]
     return F.when(_c(description).isNull() | _c(position).isNull() | (n == 0), F.lit(0.0)).otherwise(hits / n)
 
 
