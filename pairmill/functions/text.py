@@ -162,12 +162,26 @@ def skill_count(skills, description) -> Column:
     return F.when(d.isNull() | _c(skills).isNull(), F.lit(0)).otherwise(n)
 
 
+def clean_skills(skills_text) -> Column:
+    """F16 entity side: skills text split on , ; newline, cleaned, length > 2."""
+    raw = F.regexp_replace(_c(skills_text), r"[\[\]'\"]", "")
+    return F.filter(F.transform(F.split(raw, r"[,;\n]"), lambda s: clean_text(s)), lambda s: F.length(s) > 2)
+
+
+def count_contained(items, text) -> Column:
+    """Number of ``items`` (repeats counted) that are substrings of ``text``.
+    Both should be column references (``text`` is read inside a lambda)."""
+    t = _c(text)
+    return F.size(F.filter(_c(items), lambda s: F.contains(t, s)))
+
+
 def skill_count_clean(description, skills_text) -> Column:
     """F16: skills text split on , ; newline, cleaned, length > 2, counted when
-    contained in the cleaned description; double."""
+    contained in the cleaned description; double.  For pair tables prefer
+    computing ``clean_text``/``clean_skills`` once per entity and
+    ``count_contained`` per pair (see ``plans.matching``)."""
     d = clean_text(description)
-    raw = F.regexp_replace(_c(skills_text), r"[\[\]'\"]", "")
-    sk = F.filter(F.transform(F.split(raw, r"[,;\n]"), lambda s: clean_text(s)), lambda s: F.length(s) > 2)
+    sk = clean_skills(skills_text)
     acc = F.aggregate(sk, F.struct(d.alias("d"), F.lit(0).alias("h")),
                       lambda a, s: F.struct(a["d"].alias("d"), (a["h"] + F.contains(a["d"], s).cast("int")).alias("h")))
     n = acc["h"].cast("double")
@@ -192,10 +206,24 @@ def position_share(position, description) -> Column:
     return F.when(_c(position).isNull() | d.isNull() | (n == 0), F.lit(0.0)).otherwise(hits / n)
 
 
+def token_set(text, stop_words: list[str]) -> Column:
+    """F18 vacancy side: distinct cleaned tokens (length > 2, no stop words)."""
+    sw = F.array(*[F.lit(w) for w in sorted(set(stop_words or []))]) if stop_words else F.array().cast("array<string>")
+    return F.array_except(F.filter(F.split(clean_text(text), " "), lambda x: F.length(x) > 2), sw)
+
+
+def token_share(vac_tokens, pos_tokens) -> Column:
+    """F18 pair side: share of position tokens (repeats kept) found in the
+    vacancy token set; empty → 0.0.  Arguments are column references."""
+    vt, pt = _c(vac_tokens), _c(pos_tokens)
+    n = F.size(pt)
+    hits = F.size(F.filter(pt, lambda t: F.array_contains(vt, t)))
+    return F.when(vt.isNull() | pt.isNull() | (n <= 0), F.lit(0.0)).otherwise(hits / n)
+
+
 def position_share_tokens(description, position, stop_words: list[str]) -> Column:
     """token-equality share; position tokens keep repeats."""
-    sw = F.array(*[F.lit(w) for w in sorted(set(stop_words or []))]) if stop_words else F.array().cast("array<string>")
-    vt = F.array_except(F.filter(F.split(clean_text(description), " "), lambda x: F.length(x) > 2), sw)
+    vt = token_set(description, stop_words)
     pt = simple_tokens(position, stop_words)
     # aggregate's start value is evaluated once (a lambda would re-tokenize per element)
     acc = F.aggregate(pt, F.struct(vt.alias("s"), F.lit(0).alias("h"), F.lit(0).alias("n")),

@@ -252,11 +252,17 @@ FROM pr
 """)
 def q_skill_count(spark, d):
     """F14 (raw substring count) and F16 (cleaned variant) per trade pair."""
-    j = _pair_frame(spark, d)
+    # entity-side cleaning once per vacancy / résumé, then a cheap per-pair count
+    vac = roles.vacancies(spark, d).select("vacancy_id", "vacancy_description",
+                                           T.clean_text("vacancy_description").alias("__cd"))
+    res = roles.resumes(spark, d).select("resume_id", "resume_skills",
+                                         T.clean_skills(F.array_join("resume_skills", ", ")).alias("__cs"))
+    j = roles.trade_pairs(spark, d).join(vac, "vacancy_id").join(res, "resume_id")
+    clean = F.when(F.col("vacancy_description").isNull() | F.col("resume_skills").isNull(), F.lit(0.0)) \
+             .otherwise(T.count_contained("__cs", "__cd").cast("double"))
     return j.select("vacancy_id", "resume_id",
                     T.skill_count("resume_skills", "vacancy_description").alias("resume_skill_count_in_vacancy"),
-                    T.skill_count_clean("vacancy_description", F.array_join("resume_skills", ", "))
-                     .alias("skill_count_clean"))
+                    clean.alias("skill_count_clean"))
 
 
 def _sw_sql() -> str:
@@ -291,13 +297,21 @@ FROM pr)
 """)
 def q_position_share(spark, d):
     """F17 (substring share of position words) and F18 (token share)."""
-    j = _pair_frame(spark, d)
     sw = list(default_stop_words())
-    return j.select("vacancy_id", "resume_id",
-                    F.round(T.position_share("resume_last_position", "vacancy_description"), 6)
-                     .alias("last_position_in_vacancy"),
-                    F.round(T.position_share_tokens("vacancy_description", "resume_last_position", sw), 6)
-                     .alias("position_token_share"))
+    # tokens and word sets once per entity; pairs only do set lookups
+    vac = roles.vacancies(spark, d).select("vacancy_id", "vacancy_description",
+                                           T.token_set("vacancy_description", sw).alias("__vt"))
+    res = roles.resumes(spark, d).select("resume_id", "resume_last_position",
+                                         T.simple_tokens("resume_last_position", sw).alias("__pt"),
+                                         T.position_words("resume_last_position").alias("__pw"))
+    j = roles.trade_pairs(spark, d).join(vac, "vacancy_id").join(res, "resume_id")
+    share = F.when(F.col("resume_last_position").isNull() | F.col("vacancy_description").isNull()
+                   | (F.size("__pw") == 0), F.lit(0.0)) \
+             .otherwise(T.count_contained("__pw", "vacancy_description") / F.size("__pw"))
+    tok = F.when(F.col("vacancy_description").isNull() | F.col("resume_last_position").isNull(), F.lit(0.0)) \
+           .otherwise(T.token_share("__vt", "__pt"))
+    return j.select("vacancy_id", "resume_id", F.round(share, 6).alias("last_position_in_vacancy"),
+                    F.round(tok, 6).alias("position_token_share"))
 
 
 @register("location_match", _PAIRS_FROM + f"""
