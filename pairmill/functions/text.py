@@ -147,7 +147,12 @@ def location_match_contains(area, location, blank_matches: bool = False) -> Colu
     """cleaned equality or containment either way → 1.0.  A blank cleaned
     city is contained in anything; the reference scores it 1.0 (X8), kept
     with ``blank_matches=True``; default 0.0."""
-    a, b = clean_text(area), clean_text(location)
+    return contains_either(area, location, clean_text(area), clean_text(location), blank_matches)
+
+
+def contains_either(area, location, clean_area, clean_location, blank_matches: bool = False) -> Column:
+    """F13 on already cleaned texts (clean once per entity, compare per pair)."""
+    a, b = _c(clean_area), _c(clean_location)
     hit = (a == b) | F.contains(a, b) | F.contains(b, a)
     if not blank_matches:
         hit = hit & (a != "") & (b != "")

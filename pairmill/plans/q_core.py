@@ -327,10 +327,12 @@ FROM pr
 """)
 def q_location_match(spark, d):
     """F12 (exact) and F13 (cleaned containment) per trade pair."""
-    j = _pair_frame(spark, d)
+    vac = roles.vacancies(spark, d).select("vacancy_id", "vacancy_area", T.clean_text("vacancy_area").alias("__ca"))
+    res = roles.resumes(spark, d).select("resume_id", "resume_location", T.clean_text("resume_location").alias("__cl"))
+    j = roles.trade_pairs(spark, d).join(vac, "vacancy_id").join(res, "resume_id")
     return j.select("vacancy_id", "resume_id",
                     T.location_match("vacancy_area", "resume_location").alias("location_matching"),
-                    T.location_match_contains("vacancy_area", "resume_location").alias("location_match_clean"))
+                    T.contains_either("vacancy_area", "resume_location", "__ca", "__cl").alias("location_match_clean"))
 
 
 def _lower_trim(e):
