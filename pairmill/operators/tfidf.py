@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import stop_words_remover, tokenize, uni_bi_grams
-from ..session import scalar
+from ..session import checkpoint, scalar
 
 
 def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None) -> DataFrame:
@@ -32,29 +32,66 @@ def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=
     return toks.select(id_col, F.explode(g).alias("term"))
 
 
-def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_features: int | None = 5000,
-        ngram_max: int = 2, stop_words=None) -> DataFrame:
-    """Vocabulary (term, df, tf, idf) fitted on the *distinct* texts of
-    ``corpus`` (the reference's service/retrain corpus rule, X9)."""
-    docs = corpus.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct() \
-                 .withColumn("__doc", F.md5("__text"))
+def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None) -> tuple[DataFrame, int]:
+    """Term counts per *distinct* text, keyed by the text's md5 (``__h``),
+    and the number of distinct texts.  Tokenising once per distinct text is
+    the reference's dedupe-encode-map step (T8); the result is checkpointed
+    because fit and transform both read it."""
+    docs = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct() \
+             .withColumn("__h", F.md5("__text"))
+    counts = checkpoint(grams(docs, "__h", "__text", ngram_max, stop_words)
+                        .groupBy("__h", "term").agg(F.count(F.lit(1)).alias("c")))
     n = int(scalar(docs.agg(F.count(F.lit(1)))) or 0)
-    tf = grams(docs, "__doc", "__text", ngram_max, stop_words).groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("c"))
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
+    return counts, n
+
+
+def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
+               max_features: int | None = 5000) -> DataFrame:
+    """Vocabulary (term, df, tf, idf) from per-text counts."""
+    dfs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
     kept = dfs.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
     if max_features:
         kept = kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     return kept.withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1)
 
 
+def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h") -> DataFrame:
+    """L2-normalised TF-IDF (key, term, w); the vocabulary (≤ max_features
+    rows) is the broadcast side."""
+    x = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("x", F.col("c") * F.col("idf"))
+    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__norm"))
+    return x.join(norm, key).select(key, "term", (F.col("x") / F.col("__norm")).alias("w"))
+
+
+def map_to_rows(df: DataFrame, id_col: str, text: str, text_weights: DataFrame) -> DataFrame:
+    """Per-text weights → per-row weights (id, term, w) by the text hash."""
+    rows = df.select(id_col, F.md5(F.col(text)).alias("__h")).filter(F.col("__h").isNotNull())
+    return rows.join(text_weights, "__h").select(id_col, "term", "w")
+
+
+def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_features: int | None = 5000,
+        ngram_max: int = 2, stop_words=None) -> DataFrame:
+    """Vocabulary (term, df, tf, idf) fitted on the *distinct* texts of
+    ``corpus`` (the reference's service/retrain corpus rule, X9)."""
+    counts, n = text_counts(corpus, text, ngram_max, stop_words)
+    return fit_counts(counts, n, min_df, max_df, max_features)
+
+
 def transform(df: DataFrame, id_col: str, text: str, vocab: DataFrame, ngram_max: int = 2,
               stop_words=None) -> DataFrame:
-    """L2-normalised TF-IDF weights (id, term, w) of every row of ``df``."""
-    occ = grams(df, id_col, text, ngram_max, stop_words)
-    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c"))
-    x = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("x", F.col("c") * F.col("idf"))
-    norm = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__norm"))
-    return x.join(norm, id_col).select(id_col, "term", (F.col("x") / F.col("__norm")).alias("w"))
+    """L2-normalised TF-IDF weights (id, term, w) of every row of ``df``
+    (each distinct text is tokenised once)."""
+    counts, _ = text_counts(df, text, ngram_max, stop_words)
+    return map_to_rows(df, id_col, text, weigh_counts(counts, vocab))
+
+
+def fit_transform(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_df: float = 0.8,
+                  max_features: int | None = 5000, ngram_max: int = 2, stop_words=None):
+    """Fit on the distinct texts of ``df`` and weigh its rows with one
+    tokenisation pass.  Returns (vocab, (id, term, w))."""
+    counts, n = text_counts(df, text, ngram_max, stop_words)
+    vocab = fit_counts(counts, n, min_df, max_df, max_features)
+    return vocab, map_to_rows(df, id_col, text, weigh_counts(counts, vocab))
 
 
 def pair_cosine(pairs: DataFrame, a_vecs: DataFrame, b_vecs: DataFrame, a_id: str, b_id: str,

@@ -100,8 +100,7 @@ def q_tfidf_pair_cosine(spark, d):
     fitted on the distinct turn texts)."""
     c = roles.table(spark, d, "conversations")
     rows = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
-    vocab = tfidf.fit(c, "text")
-    w = tfidf.transform(rows, "id", "text", vocab)
+    _, w = tfidf.fit_transform(rows, "id", "text")
     a = c.select("conv_id", "turn")
     b = c.select(F.col("conv_id").alias("b_conv"), (F.col("turn") - 1).alias("b_prev"), F.col("turn").alias("b_turn"))
     pairs = (a.join(b, (a.conv_id == b.b_conv) & (a.turn == b.b_prev))
@@ -126,8 +125,7 @@ def q_tfidf_query_scores(spark, d):
     top-10 by TF-IDF cosine via threshold rounds (no query × document
     product)."""
     docs = roles.table(spark, d, "documents")
-    vocab = tfidf.fit(docs, "text")
-    dw = tfidf.transform(docs, "doc_id", "text", vocab)
+    vocab, dw = tfidf.fit_transform(docs, "doc_id", "text")
     qw = tfidf.transform(roles.table(spark, d, "benchmark"), "item_id", "text", vocab)
     top = topk_sparse_dot(qw.select("item_id", F.col("term").alias("key"), F.col("w").alias("qw")),
                           dw.select("doc_id", F.col("term").alias("key"), F.col("w").alias("iw")),
