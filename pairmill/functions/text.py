@@ -364,3 +364,119 @@ def head_plus(arr, n: int = 7) -> Column:
 def title_compose(title, level, sep: str = " — ") -> Column:
     """F45."""
     return F.concat_ws(sep, F.when(_c(title) != "", _c(title)), F.when(_c(level) != "", _c(level)))
+
+
+# -- vacancy salary ranges (F3, F4, F5) ---------------------------------------
+
+def _currency(t: Column) -> Column:
+    low = F.lower(t)
+    return (F.when(F.contains(t, F.lit("₽")) | F.contains(low, F.lit("руб")), F.lit("RUR"))
+             .when(F.contains(t, F.lit("$")) | F.contains(t, F.lit("USD")), F.lit("USD"))
+             .when(F.contains(t, F.lit("€")) | F.contains(t, F.lit("EUR")), F.lit("EUR")))
+
+
+def salary_range_a(text) -> Column:
+    """struct(salary_from, salary_to, salary_currency) — numbers are digit
+    runs with inner blanks removed; 'от'+'до' → both, 'от' → from, 'до' → to,
+    else the first number is 'from'."""
+    t = _c(text)
+    low = F.lower(t)
+    nums = F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\d[\d\s]*\d|\d"), 0),
+                       lambda x: F.regexp_replace(x, r"(?U)\s", "").try_cast("double"))
+    n = F.size(nums)
+    n0, n1 = F.try_element_at(nums, F.lit(1)), F.try_element_at(nums, F.lit(2))
+    has_ot, has_do = F.contains(low, F.lit("от")), F.contains(low, F.lit("до"))
+    frm = (F.when(has_ot & has_do & (n >= 2), n0).when(has_ot & (n >= 1), n0)
+            .when(has_do & (n >= 1), F.lit(None)).when(n >= 1, n0))
+    to = F.when(has_ot & has_do & (n >= 2), n1).when(has_ot & (n >= 1), F.lit(None)).when(has_do & (n >= 1), n0)
+    empty = t.isNull() | (t == "")
+    return F.struct(F.when(~empty, frm).cast("double").alias("salary_from"),
+                    F.when(~empty, to).cast("double").alias("salary_to"),
+                    F.when(~empty, _currency(t)).alias("salary_currency"))
+
+
+def salary_range_b(text) -> Column:
+    """numbers of ≥ 4 digits after joining digit groups split by blanks;
+    'до' without 'от' → to; 'от' → from (+ to); a dash → from–to; else from."""
+    t = _c(text)
+    low = F.lower(t)
+    clean = F.regexp_replace(t, r"(?U)(\d)\s+(\d)", "$1$2")
+    nums = F.transform(F.regexp_extract_all(clean, F.lit(r"\d{4,}"), 0), lambda x: x.try_cast("double"))
+    n = F.size(nums)
+    n0, n1 = F.try_element_at(nums, F.lit(1)), F.try_element_at(nums, F.lit(2))
+    has_ot, has_do = F.contains(low, F.lit("от")), F.contains(low, F.lit("до"))
+    dash = F.contains(t, F.lit("—")) | F.contains(t, F.lit("–")) | F.contains(t, F.lit("-"))
+    frm = (F.when(has_do & ~has_ot & (n >= 1), F.lit(None)).when(has_ot & (n >= 1), n0)
+            .when(dash & (n >= 1), n0).when(n >= 1, n0))
+    to = (F.when(has_do & ~has_ot & (n >= 1), n0).when(has_ot & (n >= 2), n1).when(has_ot, F.lit(None))
+           .when(dash & (n >= 2), n1))
+    empty = t.isNull() | (t == "")
+    return F.struct(F.when(~empty, frm).cast("double").alias("salary_from"),
+                    F.when(~empty, to).cast("double").alias("salary_to"),
+                    F.when(~empty, _currency(t)).alias("salary_currency"))
+
+
+def salary_gross(text) -> Column:
+    """True for 'до вычета'/'gross', False for 'на руки', else null."""
+    low = F.lower(_c(text))
+    return (F.when(F.contains(low, F.lit("до вычета")) | F.contains(low, F.lit("gross")), F.lit(True))
+             .when(F.contains(low, F.lit("на руки")), F.lit(False)))
+
+
+# -- Russian dates (F23, F24) --------------------------------------------------
+# Fixed values that must equal the reference's: genitive month names, in order.
+RU_MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа",
+             "сентября", "октября", "ноября", "декабря"]
+_MONTHS_ALT = "|".join(RU_MONTHS)
+
+
+def _month_num(name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[x for i, m in enumerate(RU_MONTHS) for x in (F.lit(m), F.lit(i + 1))]),
+                            F.lower(name))
+
+
+def _ymd(y: Column, m: Column, d: Column) -> Column:
+    s = F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string"))
+    return F.try_to_timestamp(s, F.lit("yyyy-M-d"))
+
+
+def published_date(text) -> Column:
+    """'опубликована 1 мая 2026' → timestamp (null when absent/invalid)."""
+    t = _c(text)
+    pat = r"(?iU)опубликована\s*(\d{1,2})\s*(" + _MONTHS_ALT + r")\s*(\d{4})"
+    d, m, y = (F.regexp_extract(t, pat, i) for i in (1, 2, 3))
+    return F.when(t.rlike(pat), _ymd(y, _month_num(m), d))
+
+
+def relative_date(text, as_of) -> Column:
+    """'Сегодня в hh:mm' / 'Сегодня' / 'Вчера' / 'd месяца [yyyy]'
+    relative to ``as_of`` (a timestamp column); a month after as_of's month
+    without a year means last year."""
+    t, now = _c(text), _c(as_of)
+    today = r"(?U)[Сс]егодня(?:\s+в\s+(\d{1,2}:\d{2}))?"
+    hm = F.regexp_extract(t, today, 1)
+    at_time = F.try_to_timestamp(F.concat(F.date_format(now, "yyyy-MM-dd"), F.lit(" "), hm, F.lit(":00")),
+                                 F.lit("yyyy-MM-dd H:mm:ss"))
+    dm = r"(?iU)(\d{1,2})\s+(" + _MONTHS_ALT + r")(?:\s+(\d{4}))?"
+    d, mname, y = (F.regexp_extract(t, dm, i) for i in (1, 2, 3))
+    m = _month_num(mname)
+    year = F.when(y != "", y.cast("int")).otherwise(
+        F.year(now) - F.when(m > F.month(now), F.lit(1)).otherwise(F.lit(0)))
+    return (F.when(t.rlike(today), F.when(hm != "", at_time).otherwise(now))
+             .when(t.rlike(r"[Вв]чера"), now - F.expr("INTERVAL 1 DAY"))
+             .when(t.rlike(dm), _ymd(year, m, d)))
+
+
+def longest_block(html, lo: int = 100, hi: int = 6000) -> Column:
+    """longest leaf paragraph (no inner tags) with lo < length < hi;
+    the first one wins ties; null when none."""
+    blocks = F.filter(F.transform(F.regexp_extract_all(_c(html), F.lit(r"(?s)<p>([^<]*)</p>"), 1), lambda x: F.trim(x)),
+                      lambda x: (F.length(x) > lo) & (F.length(x) < hi))
+    best = F.aggregate(blocks, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+    return F.when(best != "", best)
+
+
+def explode_list_literal(s) -> Column:
+    """U5: "[1, 2, 3]" → array<bigint> (never ``eval``)."""
+    return F.transform(F.filter(list_literal_to_array(s), lambda x: F.trim(x) != ""),
+                       lambda x: F.trim(x).try_cast("bigint"))
