@@ -105,3 +105,11 @@ def pair_cosine(pairs: DataFrame, a_vecs: DataFrame, b_vecs: DataFrame, a_id: st
              .groupBy("__a", "__b").agg(F.sum(F.col("__wa") * F.col("__wb")).alias("__dot")))
     return (pairs.join(dots.withColumnRenamed("__a", a_id).withColumnRenamed("__b", b_id), [a_id, b_id], "left")
                  .withColumn(out, F.coalesce("__dot", F.lit(0.0))).drop("__dot"))
+
+
+def bow_vocab(counts: DataFrame, min_count: int = 2) -> DataFrame:
+    """Vocabulary of terms seen at least ``min_count`` times in the
+    corpus (the Word2Vec rule), with idf fixed to 1 so ``weigh_counts``
+    yields L2-normalised raw counts."""
+    tf = counts.groupBy("term").agg(F.sum("c").alias("tf"))
+    return tf.filter(F.col("tf") >= min_count).withColumn("idf", F.lit(1.0))
