@@ -205,7 +205,15 @@ def score_shift(a: DataFrame, b: DataFrame, key: str, col: str, threshold: float
 
 
 def join_one_row(a: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``a`` via an
-    equi-join on a constant key (broadcast hash join of a single row)."""
-    return (a.withColumn("__one", F.lit(1))
-             .join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one", "left").drop("__one"))
+    """Put the columns of two one-row aggregates side by side without a join:
+    each frame becomes one struct column, the two rows are unioned and a
+    global ``max`` keeps the non-null struct of each (a constant-key join would
+    be planned as a nested-loop join)."""
+    sa = F.struct(*[F.col(c) for c in a.columns])
+    sb = F.struct(*[F.col(c) for c in one.columns])
+    ta = a.select(sa.alias("__a"))
+    tb = one.select(sb.alias("__b"))
+    u = (ta.select("__a", F.lit(None).cast(tb.schema["__b"].dataType).alias("__b"))
+           .unionByName(tb.select(F.lit(None).cast(ta.schema["__a"].dataType).alias("__a"), "__b")))
+    m = u.agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    return m.select("__a.*", "__b.*")
