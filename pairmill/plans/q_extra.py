@@ -509,3 +509,43 @@ def q_roc_auc(spark, d):
     auc = ev.evaluate(s)
     counts = s.agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
     return counts.select(F.round(F.lit(auc), 6).alias("auc"), "n_pos", "n_neg")
+
+
+# ---------------------------------------------------------------- F22, F46
+
+from ..functions import parse as PZ  # noqa: E402
+
+_EXCL_PATHS_SQL = ", ".join(f"'{p}'" for p in PZ.EXCLUDED_PATHS)
+_EXCL_PREF_SQL = " OR ".join(f"starts_with(href, '{p}')" for p in PZ.EXCLUDED_PREFIXES)
+
+
+@register("profile_links", f"""
+SELECT href, min(page_id) AS first_page, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+WHERE regexp_full_match(href, '/[a-zA-Z][a-zA-Z0-9_-]{{2,}}') AND href NOT IN ({_EXCL_PATHS_SQL})
+  AND NOT ({_EXCL_PREF_SQL})
+GROUP BY href
+""")
+def q_profile_links(spark, d):
+    """Distinct profile links found on list pages."""
+    from ..sources import pages
+    links = pages.page_links(roles.table(spark, d, "pages"))
+    return links.filter(PZ.is_profile_link("href"))
+
+
+@register("area_lookup", f"""
+WITH r AS ({R.RESUMES})
+SELECT r.resume_id, r.resume_location, n.n_nationkey AS area_id, g.r_name AS region
+FROM r LEFT JOIN nation n ON n.n_name = r.resume_location LEFT JOIN region g ON g.r_regionkey = n.n_regionkey
+""")
+def q_area_lookup(spark, d):
+    """location name → area id and region through the dimension tables
+    (unknown names keep null ids)."""
+    res = roles.resumes(spark, d).select("resume_id", "resume_location")
+    nat = roles.table(spark, d, "nation")
+    reg = roles.table(spark, d, "region")
+    x = PZ.dimension_lookup(res, "resume_location", nat, "n_name", "n_nationkey", "area_id")
+    x = x.join(F.broadcast(nat.select(F.col("n_nationkey").alias("area_id"), "n_regionkey")), "area_id", "left")
+    x = x.join(F.broadcast(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))),
+               "n_regionkey", "left")
+    return x.select("resume_id", "resume_location", "area_id", "region")
