@@ -95,3 +95,33 @@ def to_json_docs(df: DataFrame, id_col: str, defaults: dict) -> DataFrame:
     """Every row → a JSON feature document, nulls replaced by defaults."""
     fields = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()]
     return df.select(id_col, F.to_json(F.struct(*fields)).alias("features_json"))
+
+
+def normalize_rows(df: DataFrame, strings: list[str] = (), arrays: list[str] = (), numbers: list[str] = (),
+                   timestamps: dict[str, str] | None = None, source: str | None = None) -> DataFrame:
+    """Fixed row layout for parsed records — missing strings → '',
+    arrays → [], numbers and dates coerced with ``try_*`` (bad → null), plus
+    ``source`` and ``parsed_date``."""
+    out = df
+    for c in strings:
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in out.columns \
+            else out.withColumn(c, F.lit(""))
+    for c in arrays:
+        empty = F.array().cast("array<string>")
+        out = out.withColumn(c, F.coalesce(F.col(c), empty)) if c in out.columns else out.withColumn(c, empty)
+    for c in numbers:
+        out = out.withColumn(c, F.col(c).try_cast("double")) if c in out.columns \
+            else out.withColumn(c, F.lit(None).cast("double"))
+    for c, fmt in (timestamps or {}).items():
+        out = out.withColumn(c, F.try_to_timestamp(F.col(c).cast("string"), F.lit(fmt))) if c in out.columns \
+            else out.withColumn(c, F.lit(None).cast("timestamp"))
+    if source is not None:
+        out = out.withColumn("source", F.lit(source))
+    return out.withColumn("parsed_date", F.current_timestamp())
+
+
+def export_top(df: DataFrame, score: str, path: str, n: int = 20, id_col: str | None = None) -> None:
+    """The ``n`` best rows by score written as one CSV (a bounded
+    report: TakeOrderedAndProject, then a single small file)."""
+    order = [F.desc(score)] + ([F.asc(id_col)] if id_col else [])
+    df.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
