@@ -80,6 +80,8 @@ def fill_missing_vectors_stream(spark: SparkSession, source_dir: str, schema: St
     ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]`` for ``mapInPandas``
     (the model is loaded once per task)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
+    import hashlib
+    run = hashlib.md5(checkpoint_dir.encode()).hexdigest()[:12]  # epochs restart per checkpoint
 
     def fill(batch: DataFrame, epoch: int) -> None:
         todo = batch.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(id_col, text_col) \
@@ -90,16 +92,21 @@ def fill_missing_vectors_stream(spark: SparkSession, source_dir: str, schema: St
         except Exception:  # first run: no vectors yet
             pass
         enc = todo.mapInPandas(encoder, out_schema).withColumn("model_name", F.lit(model_name))
-        # one folder per epoch, overwritten on replay → idempotent append
-        enc.write.mode("overwrite").parquet(f"{vectors_dir.rstrip('/')}/epoch={epoch}")
+        # one folder per (run, epoch), overwritten on replay → idempotent append
+        enc.write.mode("overwrite").parquet(f"{vectors_dir.rstrip('/')}/run={run}/epoch={epoch}")
 
     return (stream.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
 
 
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; NTZ event times are read in the session zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def recent_activity_counts(events: DataFrame, ts: str, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """ST3: watermarked tumbling-window counts (streaming or batch frame)."""
-    return (events.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
+    return (_event_time(events, ts).withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
                   .agg(F.count(F.lit(1)).alias("n"))
                   .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
 
@@ -108,7 +115,7 @@ def enrich_decisions_stream(decisions: DataFrame, resumes: DataFrame, ts: str, k
                             watermark: str = "1 hour") -> DataFrame:
     """ST4: stream-static join with the résumé snapshot; duplicate decisions
     dropped within the watermark."""
-    d = decisions.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+    d = _event_time(decisions, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
     return d.join(resumes, "resume_id", "left")
 
 
@@ -116,7 +123,7 @@ def service_stats_stream(log: DataFrame, ts: str, value: str, window: str = "1 h
                          watermark: str = "2 hours") -> DataFrame:
     """ST5: windowed count / mean / approximate p50-p95-p99 / min / max."""
     q = F.percentile_approx(value, [0.5, 0.95, 0.99], 10000)
-    return (log.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
+    return (_event_time(log, ts).withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
                .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), q.alias("q"),
                     F.min(value).alias("min"), F.max(value).alias("max"))
                .select(F.col("w.start").alias("window_start"), "n", "mean",
