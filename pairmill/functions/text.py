@@ -480,3 +480,32 @@ def explode_list_literal(s) -> Column:
     """U5: "[1, 2, 3]" → array<bigint> (never ``eval``)."""
     return F.transform(F.filter(list_literal_to_array(s), lambda x: F.trim(x) != ""),
                        lambda x: F.trim(x).try_cast("bigint"))
+
+
+def schedule_variant_a(raw) -> Column:
+    """Schedule mapping with the hybrid rule; unknown → the raw text,
+    empty → ''."""
+    r = _c(raw)
+    t = F.lower(F.regexp_replace(r, r"(?U)\s+", " "))
+    c = lambda s: F.contains(t, F.lit(s))
+    return (F.when(r.isNull() | (r == ""), F.lit(""))
+             .when(c("сменн"), F.lit("Сменный график"))
+             .when(c("гибрид") | (c("удал") & (c("или") | c(", "))), F.lit("Гибкий график"))
+             .when(c("удал"), F.lit("Удаленная работа"))
+             .when(c("на месте") | c("офис"), F.lit("Полный день"))
+             .otherwise(r))
+
+
+def schedule_variant_b(raw) -> Column:
+    """Schedule mapping with 2/2, 5/2 and remote rules; unknown → the
+    trimmed raw text, empty → ''."""
+    r = _c(raw)
+    t = F.lower(F.regexp_replace(r, r"(?U)\s+", " "))
+    c = lambda s: F.contains(t, F.lit(s))
+    return (F.when(r.isNull() | (r == ""), F.lit(""))
+             .when(c("сменн") | c("2/2") | c("3/3"), F.lit("Сменный график"))
+             .when(c("гибк") | c("свободн"), F.lit("Гибкий график"))
+             .when(c("удал") | c("дистанц") | c("remote"), F.lit("Удаленная работа"))
+             .when(c("стандартн") | c("полн") | c("5/2"), F.lit("Полный день"))
+             .when(c("вахт"), F.lit("Вахтовый метод"))
+             .otherwise(F.trim(r)))

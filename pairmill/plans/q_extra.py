@@ -549,3 +549,42 @@ def q_area_lookup(spark, d):
     x = x.join(F.broadcast(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))),
                "n_regionkey", "left")
     return x.select("resume_id", "resume_location", "area_id", "region")
+
+
+@register("schedule_mapping", f"""
+WITH v AS ({R.VACANCIES}),
+t AS (SELECT vacancy_id, vacancy_schedule_raw AS r, lower(regexp_replace(vacancy_schedule_raw, '\\s+', ' ', 'g')) AS t FROM v)
+SELECT vacancy_id, r AS vacancy_schedule_raw,
+  CASE WHEN r IS NULL OR r = '' THEN ''
+       WHEN contains(t, 'сменн') THEN 'Сменный график'
+       WHEN contains(t, 'гибрид') OR (contains(t, 'удал') AND (contains(t, 'или') OR contains(t, ', '))) THEN 'Гибкий график'
+       WHEN contains(t, 'удал') THEN 'Удаленная работа'
+       WHEN contains(t, 'на месте') OR contains(t, 'офис') THEN 'Полный день'
+       ELSE r END AS schedule_a,
+  CASE WHEN r IS NULL OR r = '' THEN ''
+       WHEN contains(t, 'сменн') OR contains(t, '2/2') OR contains(t, '3/3') THEN 'Сменный график'
+       WHEN contains(t, 'гибк') OR contains(t, 'свободн') THEN 'Гибкий график'
+       WHEN contains(t, 'удал') OR contains(t, 'дистанц') OR contains(t, 'remote') THEN 'Удаленная работа'
+       WHEN contains(t, 'стандартн') OR contains(t, 'полн') OR contains(t, '5/2') THEN 'Полный день'
+       WHEN contains(t, 'вахт') THEN 'Вахтовый метод'
+       ELSE trim(r) END AS schedule_b
+FROM t
+""")
+def q_schedule_mapping(spark, d):
+    """The two crawlers' schedule mappings."""
+    v = roles.vacancies(spark, d)
+    return v.select("vacancy_id", "vacancy_schedule_raw", T.schedule_variant_a("vacancy_schedule_raw").alias("schedule_a"),
+                    T.schedule_variant_b("vacancy_schedule_raw").alias("schedule_b"))
+
+
+@register("corpus_stack", f"""
+WITH v AS ({R.VACANCIES}), r AS ({R.RESUMES}),
+s AS (SELECT DISTINCT vacancy_description AS text, 'vacancy_description' AS origin FROM v
+      UNION ALL SELECT DISTINCT resume_last_position, 'resume_last_position' FROM r)
+SELECT origin, count(*) AS n_texts, count(DISTINCT text) AS n_distinct FROM s GROUP BY origin
+""")
+def q_corpus_stack(spark, d):
+    """Stacked distinct corpora of the two entity texts (for fitting)."""
+    from ..operators.sets import corpus_stack
+    s = corpus_stack(roles.vacancies(spark, d), "vacancy_description", roles.resumes(spark, d), "resume_last_position")
+    return s.groupBy("origin").agg(F.count(F.lit(1)).alias("n_texts"), F.countDistinct("text").alias("n_distinct"))
