@@ -141,3 +141,15 @@ def nan_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """NaN → null in float columns; '' kept for strings."""
     return df.select([F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
+
+
+def replace_values(df: DataFrame, mapping: dict, subset: list[str]) -> DataFrame:
+    """Value replacement on the given columns (e.g. 'NDT' and a
+    mis-scraped status → the passive status); other values unchanged."""
+    out = df
+    for c in subset:
+        expr = F.col(c)
+        for old, new in mapping.items():
+            expr = F.when(F.col(c) == F.lit(old), F.lit(new)).otherwise(expr)
+        out = out.withColumn(c, expr)
+    return out

@@ -86,3 +86,13 @@ def test_ndcg_tie_average_and_empty_group(spark):
     dcg = (d[0] + d[1]) / 2 * 1 + d[2]
     assert abs(out["g"] - dcg / (d[0] + d[1])) < 1e-12
     assert out["h"] == 0.0 and "s" not in out  # no positives → 0; one-row group skipped
+
+
+def test_replace_values_and_validation(spark):
+    from pairmill.operators.clean import replace_values, validate
+    df = spark.createDataFrame([("NDT", 1), ("Активно ищет работу", 2), ("x", 0)], "s string, t int")
+    out = replace_values(df, {"NDT": "Рассматривает предложения", "x": "Рассматривает предложения"}, ["s"])
+    assert [r.s for r in out.collect()] == ["Рассматривает предложения", "Активно ищет работу",
+                                            "Рассматривает предложения"]
+    ok, bad = validate(df, {"target_in_01": F.col("t").isin(0, 1)})
+    assert ok.count() == 2 and bad.first()["reasons"] == ["target_in_01"]
