@@ -113,3 +113,12 @@ def bow_vocab(counts: DataFrame, min_count: int = 2) -> DataFrame:
     yields L2-normalised raw counts."""
     tf = counts.groupBy("term").agg(F.sum("c").alias("tf"))
     return tf.filter(F.col("tf") >= min_count).withColumn("idf", F.lit(1.0))
+
+
+def scores_with_mean_padding(rows: DataFrame, scores: DataFrame, id_col: str, score: str,
+                             out: str = "similarity_score_tfidf") -> DataFrame:
+    """Attach per-row scores; rows without a score get the mean of the
+    scored rows (the reference's padding), 0.0 when nothing is scored."""
+    mean = scalar(scores.agg(F.avg(score)), 0.0)
+    j = rows.join(scores.select(id_col, F.col(score).alias("__s")), id_col, "left")
+    return j.withColumn(out, F.coalesce("__s", F.lit(float(mean)))).drop("__s")

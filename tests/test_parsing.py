@@ -54,3 +54,18 @@ def test_similar_items_excludes_self(spark):
                               "id string, f array<double>")
     got = [r.id for r in similar_items(f, "id", "f", "a", 2).collect()]
     assert got == ["d", "b"]
+
+
+def test_mean_padding_and_one_against_all(spark):
+    from pairmill.operators.als import one_against_all
+    from pairmill.operators.tfidf import scores_with_mean_padding
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    sc = spark.createDataFrame([("a", 0.2), ("b", 0.4)], "id string, s double")
+    got = {r.id: r.similarity_score_tfidf for r in scores_with_mean_padding(rows, sc, "id", "s").collect()}
+    assert abs(got["c"] - 0.3) < 1e-12 and got["a"] == 0.2
+    uf = spark.createDataFrame([("v1", [1.0, 2.0])], "vacancy_id string, uf array<double>")
+    itf = spark.createDataFrame([("r1", [1.0, 1.0]), ("r2", [0.0, 1.0])], "resume_id string, if_ array<double>")
+    s = {r.resume_id: r.als_score for r in one_against_all(uf, itf, "vacancy_id", "resume_id", "v1").collect()}
+    assert s == {"r1": 3.0, "r2": 2.0}
+    z = one_against_all(uf, itf, "vacancy_id", "resume_id", "nope").collect()
+    assert all(r.als_score == 0.0 for r in z)
