@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.tokens import default_stop_words
+from ..operators import clean as C
+from ..operators.joins import anti_join, negative_pairs, semi_join
+from ..operators.rank import latest_per_key
 from ..sources import roles
+from ..sources.io import upsert
 from . import oracle_roles as R
 from .catalog import register
 from .matching import top_candidates
@@ -36,12 +42,6 @@ def q_top_candidates(spark, d):
 
 # ---------------------------------------------------------------- snapshots
 
-from ..functions import text as T  # noqa: E402
-from ..functions.tokens import default_stop_words  # noqa: E402
-from ..operators import clean as C  # noqa: E402
-from ..operators.joins import anti_join, negative_pairs, semi_join  # noqa: E402
-from ..operators.rank import latest_per_key  # noqa: E402
-from ..sources.io import upsert  # noqa: E402
 
 
 def _snap_cols(df):

@@ -36,7 +36,7 @@ def write_dated(df: DataFrame, base: str, name: str, fmt: str = "parquet",
     """Write under an optional timestamp-suffixed folder; returns the path."""
     path = f"{base.rstrip('/')}/{name}"
     if stamp is not None:
-        path += "_" + (stamp or _dt.datetime.utcnow().strftime("%Y%m%d_%H%M%S"))
+        path += "_" + (stamp or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S"))
     df.write.mode(mode).format(fmt).save(path)
     return path
 
