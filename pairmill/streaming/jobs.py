@@ -132,24 +132,28 @@ def service_stats_stream(log: DataFrame, ts: str, value: str, window: str = "1 h
 
 
 def hashed_ngram_encoder(dim: int = 64, n: int = 3):
-    """T14 built-in encoder for ``mapInPandas``: hashed character n-grams,
-    mean-pooled and L2-normalised (a stand-in for a sentence encoder; any
-    callable with the same signature can replace it)."""
-    import hashlib
-
+    """T14 built-in encoder for ``mapInPandas``: hashed byte n-grams of the
+    lower-cased UTF-8 text (a polynomial rolling hash, vectorised with
+    numpy), counts pooled into ``dim`` buckets and L2-normalised.  A
+    stand-in for a sentence encoder: any callable with the same signature
+    (batches of (id, text) → (id, embedding)) can replace it, e.g. one that
+    loads a model once per task."""
     import numpy as np
     import pandas as pd
 
+    weights = np.array([257 ** (n - 1 - j) for j in range(n)], dtype=np.int64)
+
+    def one(text: str) -> list[float]:
+        b = np.frombuffer(text.lower().encode("utf-8"), dtype=np.uint8).astype(np.int64)
+        if len(b) < n:
+            return [0.0] * dim
+        grams = sum(b[j:len(b) - n + 1 + j] * weights[j] for j in range(n))
+        v = np.bincount((grams * 2654435761) % 4294967291 % dim, minlength=dim).astype(np.float64)
+        nv = np.linalg.norm(v)
+        return (v / nv if nv > 0 else v).astype(np.float32).tolist()
+
     def enc(batches):
         for pdf in batches:
-            vecs = []
-            for t in pdf.iloc[:, 1].fillna("").astype(str):
-                v = np.zeros(dim, dtype=np.float64)
-                s = t.lower()
-                for i in range(max(len(s) - n + 1, 0)):
-                    h = int(hashlib.md5(s[i:i + n].encode()).hexdigest()[:8], 16)
-                    v[h % dim] += 1.0
-                nv = np.linalg.norm(v)
-                vecs.append((v / nv if nv > 0 else v).astype(np.float32).tolist())
-            yield pd.DataFrame({pdf.columns[0]: pdf.iloc[:, 0], "embedding": vecs})
+            texts = pdf.iloc[:, 1].fillna("").astype(str)
+            yield pd.DataFrame({pdf.columns[0]: pdf.iloc[:, 0], "embedding": [one(t) for t in texts]})
     return enc
