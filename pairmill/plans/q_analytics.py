@@ -109,7 +109,7 @@ tg AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS resume_id FROM orders WHERE
 b AS (SELECT s.resume_id, CAST(least(greatest(ceil(salary_rub / 50000.0), 1), 21) AS INTEGER) AS bin,
              CASE WHEN tg.resume_id IS NULL THEN 0 ELSE 1 END AS target
       FROM s LEFT JOIN tg ON s.resume_id = tg.resume_id)
-SELECT bin, (bin - 1) * 50000.0 AS lo, CASE WHEN bin <= 20 THEN bin * 50000.0 END AS hi,
+SELECT bin, CAST((bin - 1) * 50000.0 AS DOUBLE) AS lo, CAST(CASE WHEN bin <= 20 THEN bin * 50000.0 END AS DOUBLE) AS hi,
        count(*) AS n, round(avg(target), 6) AS rate
 FROM b GROUP BY bin
 """)
@@ -163,7 +163,7 @@ def q_pearson_pairs(spark, d):
 
 def _cramer_sql(tbl, a, b):
     return f"""
-SELECT '{a}' AS x, '{b}' AS y, n, round(n * (q - 1), 6) AS chi2,
+SELECT '{a}' AS x, '{b}' AS y, CAST(n AS BIGINT) AS n, round(n * (q - 1), 6) AS chi2,
        round(CASE WHEN least(r, c) - 1 > 0 THEN sqrt(n * (q - 1) / (n * (least(r, c) - 1))) END, 6) AS cramers_v
 FROM (
   SELECT sum(o * o / (ra * cb)) AS q, sum(o) AS n, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM (
@@ -285,10 +285,10 @@ def q_history_page(spark, d):
 
 
 @register("json_features", """
-SELECT o_orderkey, to_json({'o_orderstatus': coalesce(o_orderstatus, 'NDT'),
+SELECT o_orderkey, CAST(to_json({'o_orderstatus': coalesce(o_orderstatus, 'NDT'),
                             'o_orderpriority': coalesce(o_orderpriority, 'NDT'),
                             'o_custkey': coalesce(o_custkey, 0),
-                            'o_totalprice': coalesce(o_totalprice, 0.0)}) AS features_json
+                            'o_totalprice': coalesce(o_totalprice, 0.0)}) AS VARCHAR) AS features_json
 FROM orders
 """)
 def q_json_features(spark, d):
@@ -402,9 +402,9 @@ def q_group_metrics_mean(spark, d):
 @register("top_errors", f"""
 WITH s AS ({R.DECISIONS}),
 fp AS (SELECT 'FP' AS error_type, doc_id, score, target,
-              row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.5 AND target = 0),
+              CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score >= 0.5 AND target = 0),
 fn AS (SELECT 'FN' AS error_type, doc_id, score, target,
-              row_number() OVER (ORDER BY score ASC, doc_id) AS rank FROM s WHERE score < 0.5 AND target = 1)
+              CAST(row_number() OVER (ORDER BY score ASC, doc_id) AS INTEGER) AS rank FROM s WHERE score < 0.5 AND target = 1)
 SELECT * FROM fp WHERE rank <= 10 UNION ALL SELECT * FROM fn WHERE rank <= 10
 """)
 def q_top_errors(spark, d):

@@ -23,11 +23,11 @@ p AS (SELECT v.vacancy_id, r.resume_id, r.resume_location, r.resume_last_positio
       FROM v, r),
 s AS (SELECT *, round(location_matching + resume_skill_count_in_vacancy + last_position_in_vacancy, 9) AS s9
       FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY vacancy_id ORDER BY s9 DESC, resume_id) AS rank
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vacancy_id ORDER BY s9 DESC, resume_id) AS INTEGER) AS rank
       FROM s WHERE s9 > 0)
 SELECT vacancy_id, rank, resume_id,
        round(location_matching + resume_skill_count_in_vacancy + last_position_in_vacancy, 6) AS score,
-       location_matching, resume_skill_count_in_vacancy,
+       location_matching, CAST(resume_skill_count_in_vacancy AS INTEGER) AS resume_skill_count_in_vacancy,
        round(last_position_in_vacancy, 6) AS last_position_in_vacancy,
        resume_location, resume_last_position
 FROM k WHERE rank <= 10
@@ -241,9 +241,9 @@ def _clean_sql(e: str) -> str:
 
 @register("skill_count", _PAIRS_FROM + f"""
 SELECT vacancy_id, resume_id,
-  CASE WHEN vacancy_description IS NULL OR resume_skills IS NULL THEN 0 ELSE
+  CAST(CASE WHEN vacancy_description IS NULL OR resume_skills IS NULL THEN 0 ELSE
     len(list_filter(resume_skills, lambda s: s IS NOT NULL AND s <> '' AND contains(vacancy_description, s))) END
-    AS resume_skill_count_in_vacancy,
+    AS INTEGER) AS resume_skill_count_in_vacancy,
   CAST(len(list_filter(list_filter(list_transform(
         string_split_regex(regexp_replace(array_to_string(resume_skills, ', '), '[\\[\\]''"]', '', 'g'), '[,;\\n]'),
         lambda s: {_clean_sql('s')}), lambda s: length(s) > 2),
@@ -317,12 +317,12 @@ def q_position_share(spark, d):
 @register("location_match", _PAIRS_FROM + f"""
 SELECT vacancy_id, resume_id,
   CASE WHEN vacancy_area = resume_location THEN 1 ELSE 0 END AS location_matching,
-  CASE WHEN vacancy_area IS NULL OR resume_location IS NULL THEN 0.0
+  CAST(CASE WHEN vacancy_area IS NULL OR resume_location IS NULL THEN 0.0
        WHEN ({_clean_sql('vacancy_area')} = {_clean_sql('resume_location')}
              OR contains({_clean_sql('vacancy_area')}, {_clean_sql('resume_location')})
              OR contains({_clean_sql('resume_location')}, {_clean_sql('vacancy_area')}))
             AND {_clean_sql('vacancy_area')} <> '' AND {_clean_sql('resume_location')} <> '' THEN 1.0
-       ELSE 0.0 END AS location_match_clean
+       ELSE 0.0 END AS DOUBLE) AS location_match_clean
 FROM pr
 """)
 def q_location_match(spark, d):

@@ -62,7 +62,7 @@ def q_first_per_key(spark, d):
 
 @register("global_top10", """
 SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice,
-       row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank
+       CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
 FROM orders QUALIFY rank <= 10
 """)
 def q_global_top10(spark, d):
@@ -80,7 +80,7 @@ t AS (SELECT group_id, sum(target) AS hits FROM (
         SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10
       GROUP BY group_id),
 g AS (SELECT group_id, sum(target) AS relevant, count(*) AS n FROM s GROUP BY group_id)
-SELECT g.group_id, g.relevant, g.n, coalesce(t.hits, 0) AS hits, CAST(floor(coalesce(t.hits, 0) * 100 / 10) AS BIGINT) AS hit_pct
+SELECT g.group_id, CAST(g.relevant AS BIGINT) AS relevant, g.n, CAST(coalesce(t.hits, 0) AS BIGINT) AS hits, CAST(floor(coalesce(t.hits, 0) * 100 / 10) AS BIGINT) AS hit_pct
 FROM g LEFT JOIN t ON g.group_id = t.group_id
 """)
 def q_hits_at_n(spark, d):
@@ -451,7 +451,7 @@ def q_russian_dates(spark, d):
 
 @register("page_main_text", """
 SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-       length(best) AS main_chars,
+       CAST(length(best) AS INTEGER) AS main_chars,
        CASE WHEN length(best) > 80 THEN substr(best, 1, 80) || '...' ELSE best END AS main_preview
 FROM (SELECT page_id, html,
              list_reduce(list_prepend('', list_filter(list_transform(regexp_extract_all(html, '(?s)<p>([^<]*)</p>', 1),
@@ -475,8 +475,8 @@ WITH u AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subs
 m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i),
 nrm AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY label),
 z AS (SELECT m.label, m.i, CASE WHEN nrm.norm = 0 THEN m.m ELSE m.m / nrm.norm END AS z FROM m JOIN nrm USING (label))
-SELECT z.label, count(*) AS dims, round(max(nrm.norm), 6) AS mean_norm,
-       count(*) FILTER (WHERE abs(z.z) >= 0.01) AS nnz, round(sum(CASE WHEN abs(z.z) < 0.01 THEN 0 ELSE z.z END), 6) AS sum_sparse
+SELECT z.label, CAST(count(*) AS INTEGER) AS dims, round(max(nrm.norm), 6) AS mean_norm,
+       CAST(count(*) FILTER (WHERE abs(z.z) >= 0.01) AS INTEGER) AS nnz, round(sum(CASE WHEN abs(z.z) < 0.01 THEN 0 ELSE z.z END), 6) AS sum_sparse
 FROM z JOIN nrm USING (label) GROUP BY z.label
 """)
 def q_vector_pool(spark, d):

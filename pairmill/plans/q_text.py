@@ -72,7 +72,7 @@ def q_top_tokens(spark, d):
 
 @register("tfidf_terms", f"""
 WITH {_vocab_sql('SELECT text FROM documents')}
-SELECT term, df, tf, round(idf, 6) AS idf FROM vocab
+SELECT term, df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf FROM vocab
 """)
 def q_tfidf_terms(spark, d):
     """T4: fitted vocabulary over the documents (uni+bigrams, min_df 2,
@@ -117,7 +117,7 @@ WITH {_vocab_sql('SELECT text FROM documents')},
 {_weights_sql('q', 'SELECT item_id AS id, text FROM benchmark')},
 s AS (SELECT q_w.id AS item_id, d_w.id AS doc_id, round(sum(q_w.w * d_w.w), 9) AS s9
       FROM q_w JOIN d_w ON q_w.term = d_w.term GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s9 DESC, doc_id) AS rank FROM s WHERE s9 > 0)
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s9 DESC, doc_id) AS INTEGER) AS rank FROM s WHERE s9 > 0)
 SELECT item_id, rank, doc_id, round(s9, 6) AS score FROM k WHERE rank <= 10
 """)
 def q_tfidf_query_scores(spark, d):
@@ -162,7 +162,7 @@ q AS (SELECT x AS qx, vec_id AS qid FROM e ORDER BY vec_id LIMIT 1),
 s AS (SELECT vec_id, CASE WHEN list_dot_product(x, x) = 0 OR list_dot_product(qx, qx) = 0 THEN 0.0
                      ELSE list_dot_product(x, qx) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(qx, qx))) END AS sim
       FROM e, q WHERE vec_id <> qid)
-SELECT vec_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS rank
+SELECT vec_id, round(sim, 6) AS sim, CAST(row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS INTEGER) AS rank
 FROM s QUALIFY rank <= 10
 """)
 def q_nearest_rows(spark, d):
@@ -181,7 +181,7 @@ def q_nearest_rows(spark, d):
 
 @register("pair_vector_features", _EMB_PAIRS + """
 SELECT CAST(tp.v AS VARCHAR) AS vacancy_id, CAST(tp.r AS VARCHAR) AS resume_id,
-       len(a.x) * 4 AS n_dims,
+       CAST(len(a.x) * 4 AS INTEGER) AS n_dims,
        round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))), 6) AS l1_diff,
        round(list_dot_product(a.x, b.x), 6) AS dot
 FROM tp JOIN e a ON a.vec_id = tp.v JOIN e b ON b.vec_id = tp.r
@@ -207,8 +207,8 @@ def q_pair_vector_features(spark, d):
 SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host,
        trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,
        trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS h1,
-       len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS n_links,
-       length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars
+       CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS INTEGER) AS n_links,
+       CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS INTEGER) AS text_chars
 FROM pages
 """)
 def q_page_fields(spark, d):

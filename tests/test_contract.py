@@ -58,6 +58,9 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(E.oracle_sql()[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    from tools.type_check import MAP
+    stypes = {f.name: MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert len(srows) == len(drows)
     assert _digest(df.columns, srows) == _digest(rel.columns, drows)
 
