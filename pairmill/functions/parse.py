@@ -207,9 +207,11 @@ def json_state(blob, schema: str = STATE_SCHEMA) -> Column:
 
 def dimension_lookup(df: DataFrame, col: str, dim: DataFrame, dim_name: str, dim_id: str,
                      out: str = "area_id") -> DataFrame:
-    """name → id via a dimension table (a dimension is small by nature;
-    the join is left so unknown names keep a null id and can be reported)."""
-    return df.join(F.broadcast(dim.select(F.col(dim_name).alias(col), F.col(dim_id).alias(out))), col, "left")
+    """name → id via a dimension table, broadcast after a size check;
+    the join is left so unknown names keep a null id and can be reported."""
+    from ..session import broadcast_if_small
+    d = broadcast_if_small(dim.select(F.col(dim_name).alias(col), F.col(dim_id).alias(out)))
+    return df.join(d, col, "left")
 
 
 def explode_catalogue(df: DataFrame, group: str, items: str, out: str = "item") -> DataFrame:

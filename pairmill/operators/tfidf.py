@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import stop_words_remover, tokenize, uni_bi_grams
-from ..session import checkpoint, scalar
+from ..session import broadcast_if_small, checkpoint, scalar
 
 
 def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None) -> DataFrame:
@@ -55,10 +55,13 @@ def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
     return kept.withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1)
 
 
-def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h") -> DataFrame:
-    """L2-normalised TF-IDF (key, term, w); the vocabulary (≤ max_features
-    rows) is the broadcast side."""
-    x = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("x", F.col("c") * F.col("idf"))
+def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h", bounded: bool = True) -> DataFrame:
+    """L2-normalised TF-IDF (key, term, w).  A vocabulary capped by
+    ``max_features`` is broadcast (``bounded``); an uncapped one (T13) only
+    after a size check."""
+    v = vocab.select("term", "idf")
+    v = F.broadcast(v) if bounded else broadcast_if_small(v)
+    x = counts.join(v, "term").withColumn("x", F.col("c") * F.col("idf"))
     norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__norm"))
     return x.join(norm, key).select(key, "term", (F.col("x") / F.col("__norm")).alias("w"))
 

@@ -13,7 +13,7 @@ from ..operators import clean as C
 from ..operators import rank as RK
 from ..operators.joins import anti_join, negative_pairs
 from ..operators.metrics import hits_at_n
-from ..session import scalar
+from ..session import broadcast_if_small, scalar
 from ..sources import roles
 from . import oracle_roles as R
 from .catalog import register
@@ -545,8 +545,8 @@ def q_area_lookup(spark, d):
     nat = roles.table(spark, d, "nation")
     reg = roles.table(spark, d, "region")
     x = PZ.dimension_lookup(res, "resume_location", nat, "n_name", "n_nationkey", "area_id")
-    x = x.join(F.broadcast(nat.select(F.col("n_nationkey").alias("area_id"), "n_regionkey")), "area_id", "left")
-    x = x.join(F.broadcast(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))),
+    x = x.join(broadcast_if_small(nat.select(F.col("n_nationkey").alias("area_id"), "n_regionkey")), "area_id", "left")
+    x = x.join(broadcast_if_small(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))),
                "n_regionkey", "left")
     return x.select("resume_id", "resume_location", "area_id", "region")
 
