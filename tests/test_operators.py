@@ -26,10 +26,11 @@ def test_dense_index_and_group_positions(spark):
     df = spark.createDataFrame(rows, "k string, v double, id int").repartition(7)
     idx = sorted(r.idx for r in dense_index(df, [F.col("v"), F.col("id")]).collect())
     assert idx == list(range(300))
-    gp = {(r.id): r.pos for r in group_positions(df, ["k"], [F.desc("v"), F.col("id")]).collect()}
     w = Window.partitionBy("k").orderBy(F.desc("v"), "id")
     ref = {r.id: r.rn - 1 for r in df.withColumn("rn", F.row_number().over(w)).collect()}
-    assert gp == ref
+    for chunk in (1 << 20, 7):  # 7: every group spans several salt chunks
+        gp = {(r.id): r.pos for r in group_positions(df, ["k"], [F.desc("v"), F.col("id")], chunk=chunk).collect()}
+        assert gp == ref
 
 
 def test_stratified_split_exact(spark):
