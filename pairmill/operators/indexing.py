@@ -42,7 +42,8 @@ def dense_index(df: DataFrame, order: list, name: str = "idx", reliable: bool =
 
 
 def group_positions(df: DataFrame, keys: list[str], order: list, pos: str = "pos",
-                    size: str | None = "group_n", reliable: bool = True, chunk: int = 1 << 20) -> DataFrame:
+                    size: str | None = "group_n", reliable: bool = True, chunk: int = 1 << 20,
+                    extra: dict | None = None) -> DataFrame:
     """Add the 0-based position of each row inside its group (``keys``) under
     ``order``, plus the group size.  Skew-safe replacement for
     ``row_number() over (partition by keys order by ...)``.
@@ -51,19 +52,21 @@ def group_positions(df: DataFrame, keys: list[str], order: list, pos: str = "pos
     a partial-aggregated ``min``; it is joined back on (group, index // chunk),
     with the start row replicated once per chunk the group spans — an exact
     salt, so a group holding a third of all rows is spread over
-    rows / ``chunk`` join keys instead of one.
+    rows / ``chunk`` join keys instead of one.  ``extra`` = {name: aggregate
+    Column} adds further per-group aggregates to every row.
     """
     idx = dense_index(df, [F.col(k) for k in keys] + list(order), "__gidx", reliable) \
         .withColumn("__chunk", F.floor(F.col("__gidx") / chunk).cast("long"))
+    extra = extra or {}
     starts = (idx.groupBy(*keys).agg(F.min("__gidx").alias("__gstart"), F.max("__gidx").alias("__gend"),
-                                     F.count(F.lit(1)).alias("__gn"))
+                                     F.count(F.lit(1)).alias("__gn"), *[c.alias(n) for n, c in extra.items()])
                  .withColumn("__chunk", F.explode(F.sequence(F.floor(F.col("__gstart") / chunk).cast("long"),
                                                              F.floor(F.col("__gend") / chunk).cast("long")))))
     s = starts.alias("__s")
     cond = [F.col(f"__i.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in keys] + \
            [F.col("__i.__chunk") == F.col("__s.__chunk")]
     out = (idx.alias("__i").join(s, cond)
-              .select("__i.*", F.col("__s.__gstart"), F.col("__s.__gn")))
+              .select("__i.*", F.col("__s.__gstart"), F.col("__s.__gn"), *[F.col(f"__s.{n}") for n in extra]))
     out = out.withColumn(pos, F.col("__gidx") - F.col("__gstart"))
     if size:
         out = out.withColumn(size, F.col("__gn"))

@@ -17,15 +17,16 @@ def group_ndcg(df: DataFrame, group: str, score: str, target: str, id_col: str,
     share the average discount of their positions); 0 when the ideal DCG is
     0; groups with fewer than ``min_rows`` rows skipped.  Binary targets:
     the ideal DCG is the sum of the first (#positives) discounts."""
+    # positions and the per-group positive count come from one sort + one group aggregate
     pos = group_positions(df.select(group, score, target, id_col), [group],
-                          [F.desc(score), F.asc(id_col)], pos="__pos", size="__n")
+                          [F.desc(score), F.asc(id_col)], pos="__pos", size="__n",
+                          extra={"__npos": F.sum(target)})
     pos = pos.withColumn("__disc", 1.0 / F.log2(F.col("__pos") + 2))
-    npos = pos.groupBy(group).agg(F.sum(target).alias("__npos"))
     ties = pos.groupBy(group, score).agg(F.avg("__disc").alias("__ad"), F.sum(target).alias("__st"))
     dcg = ties.groupBy(group).agg(F.sum(F.col("__ad") * F.col("__st")).alias("__dcg"))
-    ideal = (pos.join(npos, group)
-                .groupBy(group).agg(F.sum(F.when(F.col("__pos") < F.col("__npos"), F.col("__disc")).otherwise(0.0))
-                                    .alias("__idcg"), F.max("__n").alias("n")))
+    ideal = pos.groupBy(group).agg(
+        F.sum(F.when(F.col("__pos") < F.col("__npos"), F.col("__disc")).otherwise(0.0)).alias("__idcg"),
+        F.max("__n").alias("n"))
     out = dcg.join(ideal, group).filter(F.col("n") >= min_rows)
     return out.select(group, "n", F.when(F.col("__idcg") > 0, F.col("__dcg") / F.col("__idcg"))
                       .otherwise(F.lit(0.0)).alias("ndcg"))
