@@ -588,3 +588,62 @@ def q_corpus_stack(spark, d):
     from ..operators.sets import corpus_stack
     s = corpus_stack(roles.vacancies(spark, d), "vacancy_description", roles.resumes(spark, d), "resume_last_position")
     return s.groupBy("origin").agg(F.count(F.lit(1)).alias("n_texts"), F.countDistinct("text").alias("n_distinct"))
+
+
+# ---------------------------------------------------------------- A7, W8, O3/O4, O5
+
+@register("target_rate_filtered", """
+SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS n_pos, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_neg,
+       round(CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0
+                  THEN count(*) FILTER (WHERE o_orderstatus = 'F') * 100.0 / count(*) END, 6) AS pos_pct,
+       round(CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'F') > 0
+                  THEN count(*) FILTER (WHERE o_orderstatus <> 'F') * 100.0 / count(*) END, 6) AS neg_pct
+FROM orders WHERE o_totalprice > 200000 GROUP BY o_orderpriority
+""")
+def q_target_rate_filtered(spark, d):
+    """The category rate table on a filtered subset (large orders)."""
+    o = (roles.table(spark, d, "orders").filter(F.col("o_totalprice") > 200000)
+         .withColumn("target", (F.col("o_orderstatus") == "F").cast("int")))
+    g = A.rate_by_category(o, "target", ["o_orderpriority"])
+    return g.select("column", "value", "n", "n_pos", "n_neg", r6("pos_pct").alias("pos_pct"),
+                    r6("neg_pct").alias("neg_pct"))
+
+
+@register("nested_split", f"""
+WITH s AS ({R.DECISIONS}),
+p AS (SELECT doc_id, target, row_number() OVER (PARTITION BY target ORDER BY {R.hash_key('42', 'doc_id')}, doc_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY target) AS n FROM s),
+tr AS (SELECT doc_id, target FROM p WHERE pos >= ceil(n * 0.2)),
+q AS (SELECT doc_id, target, row_number() OVER (PARTITION BY target ORDER BY {R.hash_key('7', 'doc_id')}, doc_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY target) AS n FROM tr)
+SELECT doc_id, target, CASE WHEN pos < ceil(n * 0.3) THEN 'holdout' ELSE 'fit' END AS part FROM q
+""")
+def q_nested_split(spark, d):
+    """70 % of the training part (itself 80 % of the data) for fitting
+    the ALS feature, stratified, with a second seed."""
+    s = roles.decisions(spark, d).select("doc_id", "target")
+    train = RK.stratified_split(s, "target", "doc_id", 0.2, "42").filter(F.col("split") == "train").drop("split")
+    inner = RK.stratified_split(train, "target", "doc_id", 0.3, "7", out="part")
+    return inner.select("doc_id", "target", F.when(F.col("part") == "test", "holdout").otherwise("fit").alias("part"))
+
+
+@register("seeded_sample", f"""
+SELECT doc_id, source FROM documents ORDER BY {R.hash_key('200', 'doc_id')}, doc_id LIMIT 200
+""")
+def q_seeded_sample(spark, d):
+    """A seeded simple random sample of 200 rows (the sample is the
+    feature: robustness checks run on it)."""
+    docs = roles.table(spark, d, "documents").select("doc_id", "source")
+    return RK.sample_n(docs, 200, "200", ["doc_id"])
+
+
+@register("random_group", f"""
+WITH g AS (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY {R.hash_key('g', 'source')}, source LIMIT 1)
+SELECT d.doc_id, d.source, d.n_chars FROM documents d JOIN g ON d.source = g.source
+""")
+def q_random_group(spark, d):
+    """Pick one group at random (seeded) and return its rows."""
+    docs = roles.table(spark, d, "documents")
+    g = RK.sample_n(docs.select("source").distinct(), 1, "g", ["source"])
+    return docs.join(g, "source", "left_semi").select("doc_id", "source", "n_chars")
