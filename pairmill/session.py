@@ -35,17 +35,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the reliable checkpoint folder, configuring the context if needed.
 
     Order: the context's folder if already set; else ``spark.checkpoint.dir``
-    from the session/conf; else (only when unset) ``<warehouse>/_checkpoints``.
+    from the session/conf; else (only when unset) ``fallback`` (tests, bench)
+    or ``<warehouse>/_checkpoints``.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and fallback:
+        d = fallback
     if not d:
         wh = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         d = wh.rstrip("/") + "/_checkpoints"

@@ -16,7 +16,8 @@ def spark():
     from pairmill.session import local_session
     ckpt = tempfile.mkdtemp(prefix="pairmill-ckpt-")
     s = local_session(cores=4, shuffle_partitions=8, app="pairmill-tests",
-                      extra={"spark.checkpoint.dir": ckpt,
-                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pairmill-wh-")})
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pairmill-wh-")})
+    from pairmill.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(s, fallback=ckpt)  # only used when the environment names none
     yield s
     s.stop()
