@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fm_index, jaccard_join, line_dedup, toxicity, wrappers
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, toxicity, wrappers
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ def op10_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=(75, 100))
+
+
+@query("op8_context_tree")
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, n_train = ctw.score(docs, remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"),
+                         "base_score", "score", "bits_per_byte")
