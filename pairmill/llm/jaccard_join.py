@@ -5,14 +5,16 @@ that link share a shingle among the first quarter of their own order; those
 go into lists.  Equal sets are one set from the start.
 
 * Lists by position: a list's sets are kept by length, and what length and
-  position rule out is skipped before a pair is made.
-* Lists of frequent shingles (large groups of near copies, passages that many
-  texts share) are never paired out.  Each of their sets is compared with a
-  few leaders; a list whose sets are in one component is done.  The rest is
-  compared again with other leaders, and at last what is still open is
-  answered from the leaders' answers: with the differences |X ^ L| and
-  |Z ^ L| known, |X ^ Z| is at least their gap and at most their sum, and only
-  what these leave open is compared set by set.
+  position rule out is skipped; a set that can link with none of a list leaves it.
+* Lists with the same first set (by a hash) are answered together, so a group
+  of near copies meets in few places and its sets travel a few times, not once
+  for each pair.  There the sets are taken in an order that brings similar ones
+  together, and each set's overlaps are derived from those of the one before,
+  by the lists of the shingles in which the two differ.  Links that join
+  nothing new are not returned.
+* A group of more sets than a block holds is cut into blocks, and its first set
+  goes into each.  Only sets that are then outside the group's largest
+  component are answered against the group's other blocks.
 
 Frequent shingles are found by counting every shingle of every text: tasks
 hand on sorted hashes as packed differences, by hash range.  The counts only
@@ -28,23 +30,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairmill.session import scalar
 
-from .common import LOWER_BYTES, free_names, staged
+from .common import LOWER_BYTES, staged
 
 #: A shingle of so many texts counts as frequent; the tasks know the most frequent ones, up to a bound (16 MB).
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
-#: Shingles that a task holds before it packs them, and those of a hash range.
-HELD, RANGE = 1_500_000, 4_000_000
+#: Shingles that a task holds before it packs them, those of a hash range, and bytes hashed at a time.
+HELD, RANGE, BYTES = 1_500_000, 3_000_000, 1 << 20
 #: Ids handed to all tasks at most (24 MB); beyond, the texts are joined.
 IDS_MAX = 1_000_000
-#: Leaders of a list in a round, and rounds at most before the rest is compared.
-LEADERS, ROUNDS = 4, 6
+#: Sets of a block, and sets that a task takes up together.
+BLOCK, TOGETHER = 512, 256
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,22 +58,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte after lower-casing, and an odd base with its inverse modulo 2^64.
+LETTERS = mix(np.frombuffer(LOWER_BYTES, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+BASE = 0xD6E8FEB86659FD93
+UNBASE = pow(BASE, -1, 1 << 64)
+IS_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Powers:
+    """Powers of the base and its inverse, as many as were needed yet."""
+
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = _powers(BASE, n + n // 4), _powers(UNBASE, n + n // 4)
+        return cls.up, cls.down
+
+
+def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of bytes with white space at both ends: differences of a running polynomial sum."""
+    raw = np.frombuffer(block, np.uint8)
+    up, down = _Powers.to(len(raw))
+    white = IS_WHITE[raw]
+    edge = np.diff(white)
+    start, stop = np.flatnonzero(edge & white[:-1]) + 1, np.flatnonzero(edge & ~white[:-1]) + 1
+    run = np.cumsum(LETTERS[raw] * up[: len(raw)])
+    return start, mix((run[stop - 1] - run[start - 1]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many each text has.  Long texts are hashed in pieces that end at spaces."""
+    data = b" ".join([b"", *(t or b"" for t in texts), b""])
+    starts, hashes, at = [], [], 0
+    while at < len(data) - 1:
+        end = at + BYTES
+        if end < len(data) - 1:
+            end = max(data.rfind(b" ", at + 1, end), 0) or data.find(b" ", end)
+        else:
+            end = len(data) - 1
+        start, h = _hash_block(data[at: end + 1])
+        starts.append(start + at)
+        hashes.append(h)
+        at = end
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends, side="right"), prepend=0)
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    words = [t.translate(LOWER_BYTES).split() if t else [] for t in texts]
-    flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-    by_word = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
-    h = by_word[flat.indices.to_numpy(zero_copy_only=False)] if len(by_word) else np.zeros(0, np.uint64)
+    if not texts:
+        return []
+    h, sizes = word_hashes(texts)
     odd = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     whole = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
         whole += h[j: j + len(whole)] * odd[j]
     whole = mix(whole)
     out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    for n in sizes.tolist():
         if n >= k:
-            out.append(np.unique(whole[at: at + n - k + 1]))
+            s = np.sort(whole[at: at + n - k + 1])
+            new = s[1:] != s[:-1]
+            out.append(s if new.all() else s[np.concatenate([[True], new])])
         elif n:
             out.append(mix(np.array([(h[at: at + n] * odd[:n]).sum() + np.uint64(n)], np.uint64)))
         else:
@@ -100,12 +157,18 @@ class Frequent:
     hashes: np.ndarray
     counts: np.ndarray
 
+    def __post_init__(self):
+        self.leading = np.zeros(1 << 22, bool)
+        self.leading[(self.hashes << np.uint64(self.shift)) >> np.uint64(42)] = True
+
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        short = h >> np.uint64(self.shift)
-        at = np.minimum(np.searchsorted(self.hashes, short), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == short, self.counts[at], 0)
+        out = np.zeros(len(h), np.int64)
+        maybe = np.flatnonzero(self.leading[h >> np.uint64(42)])
+        if len(maybe):
+            short = h[maybe] >> np.uint64(self.shift)
+            at = np.minimum(np.searchsorted(self.hashes, short), len(self.hashes) - 1)
+            out[maybe] = np.where(self.hashes[at] == short, self.counts[at], 0)
+        return out
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -116,10 +179,16 @@ def _unzip(b: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128, size: int = 4 * BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows and bytes of text, but of one row at least."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+        ends = np.cumsum(pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def _texts(b: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
@@ -180,12 +249,12 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, bits: int) -> Freque
     return Frequent(shift, h[by], n[by])
 
 
-def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], ranges: int) -> DataFrame:
-    """One row for each text (``doc_id``, ``n``, ``sid``), one for each frequent prefix shingle (``key``, ``sid``, ``n``,
-    ``pos``), and the other prefix shingles packed by hash range (``part``, ``packed``)."""
+def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], ranges: int, bits: int) -> DataFrame:
+    """One row for each text (``doc_id``, ``n``, ``sid``), one for each frequent prefix shingle (``key``,
+    ``sid``), and the other prefix shingles packed by hash range (``part``, ``packed``)."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
     schema = (StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", "integer").add("sid", "long").add("key", "long")
-              .add("pos", "integer").add("part", "integer").add("packed", "binary"))
+              .add("part", "integer").add("packed", "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -195,19 +264,20 @@ def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], range
         id_type = None
 
         def batch(size: int, /, **cols) -> pa.RecordBatch:
-            types = {"doc_id": id_type, "n": pa.int32(), "sid": pa.int64(), "key": pa.int64(), "pos": pa.int32(), "part": pa.int32(), "packed": pa.binary()}
+            types = {"doc_id": id_type, "n": pa.int32(), "sid": pa.int64(), "key": pa.int64(), "part": pa.int32(), "packed": pa.binary()}
             return pa.RecordBatch.from_arrays([cols[c] if isinstance(cols.get(c), pa.Array) else pa.array(cols[c], x) if c in cols else pa.nulls(size, x)
                                                for c, x in types.items()], list(types))
 
         def out() -> pa.RecordBatch:
-            h = np.concatenate([x for _, x, _ in held])
+            # a list may serve two shingles that agree in so many bits, which costs a comparison at most
+            h = np.concatenate([x for _, x, _ in held]) >> np.uint64(64 - bits)
             pos = np.concatenate([p for _, _, p in held]).astype(np.uint32)
             of = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for _, x, _ in held])
             sids = np.array([s for s, _, _ in held], np.int64)
             lens = np.array([ns[s] for s, _, _ in held], np.int64)
             by = np.argsort(h)
             h, pos, of = h[by], pos[by], of[by]
-            part = (h.astype(np.float64) / 2.0**64 * ranges).astype(np.int64)
+            part = (h.astype(np.float64) / 2.0**bits * ranges).astype(np.int64)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             parts, blobs = [], []
             for a, b in zip(cut, np.append(cut[1:], len(h))):
@@ -228,26 +298,23 @@ def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], range
             sets = shingle_sets(_texts(b), k)
             ids = [set_id(s) if len(s) else 0 for s in sets]
             yield batch(b.num_rows, doc_id=b.column("doc_id"), n=[len(s) for s in sets], sid=ids)
-            keys, key_sid, key_n, key_pos = [], [], [], []
+            keys, key_sid = [], []
             for s, sid in zip(sets, ids):
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
                 df = order.of(s)
-                first = np.lexsort((s, df))[: prefix_length(len(s), t)]
+                first = np.argsort(df, kind="stable")[: prefix_length(len(s), t)] if df.any() else np.arange(prefix_length(len(s), t))
                 h, hot = s[first], df[first] > 0
-                for p in np.flatnonzero(hot):
-                    keys.append(int(h[p].astype(np.int64)))
-                    key_sid.append(sid)
-                    key_n.append(len(s))
-                    key_pos.append(int(p))
+                keys += h[hot].astype(np.int64).tolist()
+                key_sid += [sid] * int(hot.sum())
                 cold = np.flatnonzero(~hot)
                 if len(cold):
                     ns[sid] = len(s)
                     held.append((sid, h[cold], cold))
                     size += len(cold)
             if keys:
-                yield batch(len(keys), key=keys, sid=key_sid, n=key_n, pos=key_pos)
+                yield batch(len(keys), key=keys, sid=key_sid)
             if size >= HELD // 3:
                 yield out()
                 size = 0
@@ -264,28 +331,32 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         out.append(_unzip(blob[at: at + size], count, kind))
         at += size
     gaps, of, pos, sids, lens = out
-    return np.cumsum(gaps), sids[of], lens[of].astype(np.int64), pos.astype(np.int64)
+    return np.cumsum(gaps), sids[of], lens[of], pos
 
 
-def _short_lists(t: tuple[int, int]):
-    """Lists of a hash range: pairs ``a`` < ``b`` of short ones; of long ones the rows, ``a`` key and ``b`` set.
+def _listed(t: tuple[int, int]):
+    """Lists of a hash range: (``key``, ``sid``) of the sets that can link with another one of their list.
 
-    Each list is in order of length.  A set is paired with the next, the one
+    Each list is in order of length.  A set is held against the next, the one
     after and so on, as long as its length allows: beyond the first that is
     too long, the rest of the list is skipped for it.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cols = [np.concatenate(c) for c in zip(*map(_unpack, rows["packed"]))]
-        by = np.lexsort((cols[1], cols[2], cols[0]))
-        h, sid, n, pos = (c[by] for c in cols)
+        h, sid, n, pos = (np.concatenate(c) for c in zip(*map(_unpack, rows["packed"])))
+        by = np.argsort(h)
+        same = h[by[1:]] == h[by[:-1]]
+        by = by[np.append(same, False) | np.append(False, same)]  # most shingles are in one set only
+        by = by[np.lexsort((sid[by], n[by], h[by]))]
+        h, sid, n, pos = h[by], sid[by], n[by].astype(np.int64), pos[by].astype(np.int64)
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
         h, sid, n, pos = h[fresh], sid[fresh], n[fresh], pos[fresh]
-        start = np.flatnonzero(np.diff(h, prepend=h[0] + np.uint64(1)))
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(h)))
         stop = np.repeat(start + size, size)
-        i = np.flatnonzero(np.repeat((size > 1) & (size <= FREQUENT), size))
-        pairs = [np.zeros((2, 0), np.int64)]
+        size = np.repeat(size, size)
+        useful = size > FREQUENT  # only if more shingles are frequent than the tasks know
+        i = np.flatnonzero((size > 1) & ~useful)
         for gap in range(1, FREQUENT):
             i = i[i + gap < stop[i]]
             i = i[least_overlap(n[i], n[i + gap], t) <= n[i]]
@@ -293,53 +364,104 @@ def _short_lists(t: tuple[int, int]):
                 break
             left = np.minimum(n[i] - pos[i], n[i + gap] - pos[i + gap])
             x = i[left >= least_overlap(n[i], n[i + gap], t)]
-            pairs.append(np.stack([np.minimum(sid[x], sid[x + gap]), np.maximum(sid[x], sid[x + gap])]))
-        p = np.unique(np.concatenate(pairs, 1), axis=1)
-        long = np.repeat(size > FREQUENT, size)
-        # whole columns of longs: with nulls, pandas would pass ids through floats
-        none = np.zeros(p.shape[1], np.int64)
-        return pd.DataFrame({
-            "long_list": np.repeat([False, True], [len(none), int(long.sum())]),
-            "a": np.concatenate([p[0], h[long].astype(np.int64)]), "b": np.concatenate([p[1], sid[long]]),
-            "n": np.concatenate([none, n[long]]), "pos": np.concatenate([none, pos[long]])})
+            useful[x] = useful[x + gap] = True
+        return pd.DataFrame({"key": h[useful].astype(np.int64), "sid": sid[useful]})
     return run
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``sid``, ``n`` and the shingle hashes of wanted sets (``doc_id``, ``sid``: a document that has the set)."""
-    (mine,) = free_names(["doc_id", "text"], "want")
-    few = wanted.limit(IDS_MAX + 1).count() <= IDS_MAX
-    side = wanted.select(F.col("doc_id").alias("_id"), F.col("sid").alias(mine))
-    joined = docs.join(F.broadcast(side) if few else side, docs["doc_id"].eqNullSafe(F.col("_id"))).select("text", mine)
+def _sent(docs: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+    """The hashes of each routed set (``doc_id``: a document that has it, ``sid``, ``to``: array of groups), once for each group.
+
+    Of a hash 48 bits are sent, which tell the shingles of two sets apart.  A
+    task sends a set once, so a repeated document does not multiply it.
+    """
+    few = routes.limit(IDS_MAX + 1).count() <= IDS_MAX
+    side = routes.withColumnRenamed("doc_id", "_id")
+    joined = docs.join(F.broadcast(side) if few else side, docs["doc_id"].eqNullSafe(F.col("_id"))).select("text", "sid", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in _pieces(batches):
-            sets = shingle_sets(_texts(b), k)
-            hit = [(sid, s) for s, sid in zip(sets, b.column(mine).to_pylist()) if len(s) and set_id(s) == sid]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hit], pa.int64()), pa.array([len(s) for _, s in hit], pa.int32()),
-                                              pa.array([s.tobytes() for _, s in hit], pa.binary())], ["sid", "n", "hashes"])
-    got = joined.mapInArrow(run, "sid long, n int, hashes binary")
-    return staged(got.groupBy("sid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "jaccard-sets")
-
+            rows: list[tuple] = []
+            for s, sid, to in zip(shingle_sets(_texts(b), k), b.column("sid").to_pylist(), b.column("to").to_pylist()):
+                if len(s) and sid not in seen and set_id(s) == sid:
+                    seen.add(sid)
+                    packed = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+                    rows += [(x["first"], x["z"], x["x"], x["ask"], sid, x["label"], packed) for x in to]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT_ARROW)], SENT_ARROW)
+    return joined.mapInArrow(run, SENT)
+
+
+SENT = "first long, z int, x int, ask boolean, sid long, label long, hashes binary"
+SENT_ARROW = pa.schema([("first", pa.int64()), ("z", pa.int32()), ("x", pa.int32()), ("ask", pa.bool_()), ("sid", pa.int64()),
+                        ("label", pa.int64()), ("hashes", pa.binary())])
+ROUTE = "array<struct<first:bigint,z:int,x:int,ask:boolean,label:bigint>>"
+
+
+def _hashes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _answers(t: tuple[int, int]):
+    """Links in each group (``first``, ``z``, ``x``) of the rows, between a set that asks and any, that join two labels."""
+    def group(ask: list[bool], sids: list[int], labels: np.ndarray, sets: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        by = np.argsort(flat, kind="stable")
+        flat, of = flat[by], of[by]
+        index = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        known, ends = flat[index], np.append(index[1:], len(flat))
+
+        def overlaps(s: np.ndarray) -> np.ndarray:
+            """How many of these shingles each set has."""
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            at = at[known[at] == s]
+            size = ends[at] - index[at]
+            rows = np.repeat(index[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            return np.bincount(of[rows], minlength=len(sets))
+
+        # sets with the same smallest hash are likely similar
+        order = sorted((i for i in range(len(sets)) if ask[i]), key=lambda i: (int(mix(sets[i]).min()), sids[i]))
+        last, same = np.zeros(0, np.uint64), np.zeros(len(sets), np.int64)
+        for i in order:
+            s = sets[i]
+            more, less = np.setdiff1d(s, last, assume_unique=True), np.setdiff1d(last, s, assume_unique=True)
+            same = same + overlaps(more) - overlaps(less) if len(more) + len(less) < len(s) else overlaps(s)
+            last = s
+            hit = np.flatnonzero((t[1] * same >= t[0] * (len(s) + sizes - same)) & (labels != labels[i]))
+            new, one = np.unique(labels[hit], return_index=True)
+            for j in hit[one].tolist():
+                out.append((min(sids[i], sids[j]), max(sids[i], sids[j])))
+            labels[np.isin(labels, new)] = labels[i]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("first", "ascending"), ("z", "ascending"), ("x", "ascending"), ("sid", "ascending")])
+        key = np.stack([rows.column(c).to_numpy() for c in ("first", "z", "x")])
+        sid = rows.column("sid").to_numpy()
+        fresh = np.append(True, (key[:, 1:] != key[:, :-1]).any(0))
+        keep = fresh | np.append(True, sid[1:] != sid[:-1])
+        cut = np.flatnonzero(fresh)
+        out: list[tuple[int, int]] = []
+        for a, b in zip(cut, np.append(cut[1:], len(sid))):
+            mine = rows.slice(a, b - a).filter(pa.array(keep[a:b]))
+            if len(mine) > 1:
+                group(mine.column("ask").to_pylist(), mine.column("sid").to_pylist(), mine.column("label").to_numpy().copy(),
+                      [_hashes(h) for h in mine.column("hashes").to_pylist()], out)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    return run
 
-def _compare(pairs: DataFrame, contents: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """``a``, ``b``, ``diff`` (size of the symmetric difference) and ``linked``, from the whole sets."""
-    side = lambda x: contents.select(F.col("sid").alias(x), F.col("n").alias("n_" + x), F.col("hashes").alias("h_" + x))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            diff, linked = [], []
-            for x, y in zip(b.column("h_a").to_pylist(), b.column("h_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                same = int((z[1:] == z[:-1]).sum())
-                diff.append(len(z) - 2 * same)
-                linked.append(t[1] * same >= t[0] * (len(z) - same))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(diff, pa.int64()), pa.array(linked, pa.bool_())],
-                                             ["a", "b", "diff", "linked"])
-    return staged(both.mapInArrow(run, "a long, b long, diff long, linked boolean"), "jaccard-compared")
+def _answered(docs: DataFrame, routes: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Links found by sending sets to groups; ``routes``: ``first``, ``z``, ``x``, ``ask``, ``sid``, ``label``."""
+    to = routes.groupBy("sid").agg(F.collect_list(F.struct("first", "z", "x", "ask", "label")).cast(ROUTE).alias("to"))
+    to = staged(to.join(classes, "sid").select(F.col("first").alias("doc_id"), "sid", "to"), "jaccard-routes")
+    buckets = max(1, math.ceil(scalar(to.agg(F.sum(F.size("to"))), 0) / TOGETHER))
+    sent = _sent(docs, to, k).withColumn("bucket", F.pmod(F.xxhash64("first", "z", "x"), F.lit(buckets)))
+    return staged(sent.groupBy("bucket").applyInArrow(_answers(t), "a long, b long"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -365,70 +487,35 @@ def _label(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
 
 
-def _near(t: tuple[int, int], a: str, b: str) -> Column:
-    """By length and position; columns n and pos of both sides."""
-    least = F.ceil(F.lit(t[0]) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(t[0] + t[1]))
-    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= least - 1  # a place to spare for rounding
-
-
-def _ordered(p: DataFrame) -> DataFrame:
-    return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-
-
-def _long_lists(lists: DataFrame, roots: DataFrame, contents: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Further links (``a``, ``b``) that join the components of sets in long lists."""
-    links = None
-    told = None  # differences from the first leader of each list
-    for turn in range(ROUNDS + 1):
-        held = _label(lists, roots)
-        split = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_ = staged(held.join(split, "key"), "jaccard-open")
-        parts = open_.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by(
-            F.struct("sid", "n", "pos"), F.struct(F.xxhash64("sid", F.lit(turn)), "sid")).alias("lead"))
-        place = Window.partitionBy("key").orderBy(F.desc("m"), F.xxhash64("label", F.lit(turn)), "label")
-        leads = staged(parts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LEADERS), "jaccard-leaders")
-        # how many comparisons would settle all that is open
-        largest = leads.where("place = 1").select("key", "m")
-        sizes = open_.groupBy("key").agg(F.count("*").alias("all")).join(largest, "key")
-        rest = scalar(sizes.agg(F.sum(F.expr("cast(all - m as double) * all"))), 0.0)
-        if not rest:
-            break
-        last = turn == ROUNDS or rest <= 4 * scalar(open_.agg(F.count("*")), 0)
-        if last:
-            pairs = _open_pairs(open_, largest, leads, told, t)
-        else:
-            x, y = open_.alias("x"), leads.select("key", "label", "lead.*").alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.label") != F.col("y.label")) & _near(t, "x", "y"))
-            pairs = pairs.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y"))
-        done = _compare(_ordered(pairs), contents, t)
-        if told is None and not last:
-            first = leads.where("place = 1").select("key", F.col("lead.sid").alias("first"))
-            far = done.select(F.col("a").alias("sid"), F.col("b").alias("first"), "diff").unionAll(
-                done.select(F.col("b").alias("sid"), F.col("a").alias("first"), "diff"))
-            told = staged(lists.select("key", "sid").join(first, "key").join(far, ["sid", "first"]).select("key", "sid", "diff"), "jaccard-told")
-        new = done.where("linked").select("a", "b")
-        links = new if links is None else links.unionAll(new)
-        if last:
-            break
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
-    return links if links is not None else contents.select(F.col("sid").alias("a"), F.col("sid").alias("b")).where("false")
-
-
-def _open_pairs(open_: DataFrame, largest: DataFrame, leads: DataFrame, told: DataFrame | None, t: tuple[int, int]) -> DataFrame:
-    """All pairs of a list that no component, length, position or leader's answer settles."""
-    members = open_
-    if told is not None:
-        members = members.join(told, ["key", "sid"], "left")
-    else:
-        members = members.withColumn("diff", F.lit(None).cast("long"))
-    main = leads.where("place = 1").select("key", F.col("label").alias("main"))
-    x = members.join(main, "key").where("label <> main").alias("x")
-    y = members.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.label") != F.col("y.label")) & _near(t, "x", "y"))
-    # linked sets differ in at most (d - n)/(d + n) of their sizes' sum, for a threshold n/d
-    most = F.lit(t[1] - t[0]) * (F.col("x.n") + F.col("y.n")) / F.lit(t[0] + t[1]) + 1
-    gap = F.abs(F.col("x.diff") - F.col("y.diff"))
-    return pairs.where(F.coalesce(gap <= most, F.lit(True))).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y"))
+def _links(docs: DataFrame, lists: DataFrame, classes: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Links that join all sets which links between sets of a list join."""
+    rank = F.struct(F.xxhash64("sid"), "sid")
+    firsts = lists.groupBy("key").agg(F.min(rank)["sid"].alias("first"), F.max(rank)["sid"].alias("other")).where("first <> other")
+    # sets that share a list share its first set
+    groups = staged(lists.join(firsts.drop("other"), "key").select("first", "sid").distinct(), "jaccard-groups")
+    sizes = staged(groups.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "jaccard-sizes")
+    sized = groups.join(sizes, "first")
+    block = F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = F.when(F.col("sid") == F.col("first"), all_of(F.col("blocks"))).otherwise(F.array(block))
+    routes = sized.select("first", "sid", F.explode(inside).alias("z")).select(
+        "first", "z", F.col("z").alias("x"), F.lit(True).alias("ask"), "sid", F.col("sid").alias("label"))
+    links = _answered(docs, routes, classes, k, t)
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    held = staged(_label(large, components(links)), "jaccard-large")
+    main = (held.groupBy("first", "label").agg(F.count("*").alias("m")).groupBy("first")
+            .agg(F.max(F.struct("m", "label")).alias("top")).select("first", F.col("top.label").alias("main")))
+    # asking sets by their own blocks, against each block of the group; a block's own pairs are answered already
+    held = held.join(main, "first").withColumn("ask", F.col("label") != F.col("main"))
+    asks = held.groupBy("first").agg(F.ceil(F.count_if("ask") / BLOCK).cast("int").alias("askers")).where("askers > 0")
+    held = held.join(asks, "first")
+    own = F.pmod(F.xxhash64("sid", F.lit(6)), F.col("askers")).cast("int")
+    asking = held.where("ask").select("first", own.alias("z"), F.explode(all_of(F.col("blocks"))).alias("x"), "ask", "sid", "label", block.alias("mine"))
+    asked = held.select("first", F.explode(all_of(F.col("askers"))).alias("z"), block.alias("x"), F.lit(False).alias("ask"), "sid", "label", F.lit(-1).alias("mine"))
+    both = asking.where("x <> mine").unionAll(asked).drop("mine").groupBy("first", "z", "x", "sid", "label").agg(F.max("ask").alias("ask"))
+    return links.unionAll(_answered(docs, both.select("first", "z", "x", "ask", "sid", "label"), classes, k, t))
 
 
 def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -447,27 +534,15 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = scalar(docs.agg(F.sum(F.length("text"))), 0)
     # a word takes six characters or so; a hash gets eight bits more than it takes to number all shingles
-    ranges = max(1, math.ceil(chars / 6 / RANGE))
+    ranges = max(1, math.ceil((chars or 0) / 6 / RANGE))
     bits = min(62, max(32, math.ceil(math.log2(chars + 2)) + 6))
     often = frequent_shingles(docs, k, ranges, bits)
-    entries = staged(_entries(docs, often, k, threshold, ranges), "jaccard-entries")
+    entries = staged(_entries(docs, often, k, threshold, max(1, ranges // 2), bits + 6 if bits < 56 else 62), "jaccard-entries")
     rows = entries.where("part is null and key is null").select("doc_id", "n", "sid")
     classes = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first"))
-    found = staged(entries.where("part is not null").select("part", "packed").groupBy("part")
-                   .applyInPandas(_short_lists(threshold), "long_list boolean, a long, b long, n long, pos long"), "jaccard-lists")
-    pairs = found.where("not long_list").select("a", "b").distinct()
-    listed = found.where("long_list").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n", "pos").unionAll(
-        entries.where("key is not null").select("key", "sid", F.col("n").cast("long"), F.col("pos").cast("long"))).distinct()
-    shared = listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    lists = staged(listed.join(shared, "key"), "jaccard-long")
-    pairs = staged(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).unionAll(lists.select("sid")).distinct()
-    wanted = staged(wanted.join(classes, "sid").select(F.col("first").alias("doc_id"), "sid"), "jaccard-wanted")
-    contents = _contents(docs, wanted, k)
-    links = _compare(pairs, contents, threshold).where("linked").select("a", "b")
-    roots = components(links)
-    more = _long_lists(lists, roots, contents, threshold)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    listed = entries.where("part is not null").select("part", "packed").groupBy("part").applyInPandas(_listed(threshold), "key long, sid long")
+    lists = staged(listed.unionAll(entries.where("key is not null").select("key", "sid")), "jaccard-lists")
+    roots = components(_links(docs, lists, classes, k, threshold))
     # of every class that has links or copies: the smallest id of its component
     tied = _label(classes, roots)
     best = tied.groupBy("label").agg(F.min("first").alias("component"))

@@ -88,7 +88,7 @@ def test_against_brute_force(spark, monkeypatch, seed, ranges):
 def test_without_known_frequent_shingles(spark, monkeypatch):
     """When more shingles are frequent than the tasks are told, their long lists take the same way."""
     monkeypatch.setattr(jj, "FREQUENT_MAX", 3)
-    monkeypatch.setattr(jj, "ROUNDS", 0)
+    monkeypatch.setattr(jj, "BLOCK", 16)
     rows = _corpus(2)
     df = spark.createDataFrame(rows, "doc_id long, text string, sid string, n int")
     assert _sorted(tuple(x) for x in jj.join_sets(df).collect()) == _sorted(brute(rows)[0])
