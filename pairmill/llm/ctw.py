@@ -40,10 +40,10 @@ from pairmill.session import scalar
 
 from .common import LOWER_BYTES, staged
 
-#: Bytes of context; the model's slots (60 MB); parts of the tree (by the last two bytes) and of the slot table.
-DEPTH, SLOT_BITS, SUBTREES, SLOT_PARTS = 5, 23, 256, 64
-#: Bytes of text scored at a time, entries of a range of word hashes, and scores that a worker keeps (32 MB).
-CHUNK, WORD_RANGE, KEPT = 3_000_000, 3_000_000, 2_000_000
+#: Bytes of context; the model's slots (30 MB); parts of the tree (by the last two bytes) and of the slot table.
+DEPTH, SLOT_BITS, SUBTREES, SLOT_PARTS = 5, 22, 256, 64
+#: Bytes of text scored at a time, entries of a range of word hashes, and scores that a worker keeps (24 MB).
+CHUNK, WORD_RANGE, KEPT = 2_000_000, 2_000_000, 1_500_000
 END = b"\n"
 HALF = math.log(0.5)
 

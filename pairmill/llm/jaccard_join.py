@@ -43,7 +43,7 @@ from .common import LOWER_BYTES, staged
 #: A shingle of so many texts counts as frequent; the tasks know the most frequent ones, up to a bound (16 MB).
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
 #: Shingles that a task holds before it packs them, those of a hash range, and bytes hashed at a time.
-HELD, RANGE, BYTES = 1_500_000, 3_000_000, 1 << 20
+HELD, RANGE, BYTES = 1_000_000, 2_000_000, 1 << 20
 #: Ids handed to all tasks at most (24 MB); beyond, the texts are joined.
 IDS_MAX = 1_000_000
 #: Sets of a block, and sets that a task takes up together.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, fm_index, jaccard_join, line_dedup, toxicity, wrappers
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, surrogates, toxicity, wrappers
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,16 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, n_train = ctw.score(docs, remainder(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"),
                          "base_score", "score", "bits_per_byte")
+
+
+@query("op1_mix_sources")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, max_repeat=4.0).drop("text")
+
+
+@query("op2_pii_surrogates")
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = surrogates.pseudonymise(docs, key="pairmill")
+    return done.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_replaced"))
