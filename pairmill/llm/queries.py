@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, surrogates, toxicity, wrappers
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, surrogates, toxicity, wrappers
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = surrogates.pseudonymise(docs, key="pairmill")
     return done.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_replaced"))
+
+
+@query("op6_onebit_ann")
+def op6_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return onebit_ann.search(rows, F.col("vec_id") % 50 == 0, k=5)
