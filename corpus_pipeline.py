@@ -1,12 +1,77 @@
-"""Corpus pipeline: the stages that turn ``documents`` into a training mix."""
+"""Corpus pipeline: the stages that turn ``documents`` into a training mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``.  ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairmill.llm import fm_index, jaccard_join, line_dedup, mixing, toxicity
+from pairmill.llm.common import staged, table
+
+#: Ids handed to all tasks at most; beyond, the texts are joined.
+IDS_MAX = 1_000_000
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, with the length of the text that is left."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold of their language go; the model learns from the labelled ones."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("not rejected").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line in 10 or more documents stays in the first of them only.
+
+    A document that loses lines and has no other text left goes; one that had
+    no text to begin with stays.
+    """
+    bitmaps = line_dedup.keep_bitmaps(docs, min_docs=10, keep_first=True)
+    done = line_dedup.apply_bitmaps(docs, bitmaps)
+    return _counted(done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one with the smallest id stays.
+
+    An id that comes with several texts goes only if all of them go.  Of a null
+    id's texts, those stay that link with no document that has an id.
+    """
+    found = jaccard_join.join_sets(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = staged(found.groupBy("doc_id").agg(F.max(stays).alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone")), "pipeline-near")
+    side = F.broadcast(gone) if gone.limit(IDS_MAX + 1).count() <= IDS_MAX else gone
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_gone"]), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside benchmark passages are cut out; a document of which nothing else is left goes."""
+    found = fm_index.find_spans(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    return _counted(fm_index.remove_spans(found.where((F.size("spans") == 0) | (hit < F.col("n_words")))), docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the number of copies that it has in the mix: at least one, and four passes of a source at most."""
+    return mixing.mix(docs, max_repeat=4.0)
 
-from pairmill.llm.common import table
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", dedup_near),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
 
 #: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
@@ -14,6 +79,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
