@@ -30,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +37,16 @@ from pyspark.sql.types import ArrayType, StructType
 
 from pairmill.session import scalar
 
-from .common import LOWER_BYTES, staged
+from .common import LOWER_BYTES, by_group, map_arrow, staged
+from .jaccard_join import word_hashes
 
 #: Bytes of context; the model's slots (30 MB); parts of the tree (by the last two bytes) and of the slot table.
 DEPTH, SLOT_BITS, SUBTREES, SLOT_PARTS = 5, 22, 256, 64
 #: Bytes of text scored at a time, entries of a range of word hashes, and scores that a worker keeps (24 MB).
 CHUNK, WORD_RANGE, KEPT = 2_000_000, 2_000_000, 1_500_000
 END = b"\n"
+#: Stands for the end among the hashes of words.
+END_HASH = 1
 HALF = math.log(0.5)
 
 
@@ -247,7 +249,7 @@ def _read(docs: DataFrame, word_parts: int) -> DataFrame:
             trained = np.array([t for _, _, t in held])
             yield rows(kind=["texts"], uid=[uid], n=[len(texts)], ids=[[i.as_py() for i, _, _ in held]], sizes=[[len(t) for t in texts]],
                        trained=[trained.tolist()], a=[pa.compress(b"".join(texts), codec="zstd", asbytes=True)])
-            hashes, numbers, counts = tokens([w for _, w, _ in held])
+            hashes, numbers, counts = tokens(texts)
             n = np.bincount(numbers[np.repeat(trained, counts)], minlength=len(hashes))
             part = (hashes.astype(np.float64) / 2.0**64 * word_parts).astype(np.int64)
             yield rows(**_cut("words", uid, part, hashes, n))
@@ -274,7 +276,7 @@ def _read(docs: DataFrame, word_parts: int) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.select("doc_id", "text", "trained").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text", "trained"), run, schema)
 
 
 def _cut(kind: str, uid: int, part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> dict:
@@ -292,14 +294,18 @@ def _joined(rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate([_unzip(b, n, np.uint32) for n, _, b in zip(*cols)])
 
 
-def tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct words (and the end), every token's place among them, and the texts' token counts."""
-    flat = pa.array([w for ws in texts for w in (*ws, END)], pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
+    h, sizes = word_hashes(texts)
+    flat = np.full(len(h) + len(texts), END_HASH, np.uint64)
+    is_word = np.ones(len(flat), bool)
+    is_word[np.cumsum(sizes + 1) - 1] = False
+    flat[is_word] = h
+    codes, hashes = pd.factorize(flat)
     by = np.argsort(hashes)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    return hashes[by], place[flat.indices.to_numpy(zero_copy_only=False)], np.array([len(ws) + 1 for ws in texts])
+    return hashes[by], place[codes], sizes + 1
 
 
 def _count_words(rows: pa.Table) -> pa.Table:
@@ -425,11 +431,11 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
     parts = max(1, math.ceil(chars / 24 / WORD_RANGE))  # a distinct word of a chunk for every 24 characters or so
     read = staged(_read(docs, parts), "ctw-read")
     words = read.where("kind = 'words'").select("uid", "part", "n", "a", "b")
-    counted = staged(words.groupBy("part").applyInArrow(_count_words, "uid long, part int, n long, total long, counts binary"), "ctw-words")
+    counted = staged(words.groupBy("part").applyInArrow(by_group(_count_words), "uid long, part int, n long, total long, counts binary"), "ctw-words")
     total = counted.where("uid = -1").agg(F.sum("total").alias("n"), F.sum("n").alias("v")).collect()[0]
     n_train, n_words = total["n"] or 0, total["v"] or 0
-    grown = staged(read.where("kind = 'grams'").select("part", "n", "a", "b").groupBy("part").applyInArrow(_grow, TREE), "ctw-tree")
-    settled = grown.groupBy("kind", "part").applyInArrow(_settle, TREE).select("kind", "n", "packed").toArrow()
+    grown = staged(read.where("kind = 'grams'").select("part", "n", "a", "b").groupBy("part").applyInArrow(by_group(_grow), TREE), "ctw-tree")
+    settled = grown.groupBy("kind", "part").applyInArrow(by_group(_settle), TREE).select("kind", "n", "packed").toArrow()
     model = _model(list(zip(*(settled.column(c).to_pylist() for c in settled.column_names))))
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     id_type = docs.schema["doc_id"].dataType
@@ -442,7 +448,7 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
         raw = pa.decompress(row.column("a")[0].as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
         ends = np.cumsum(sizes)
         mine = [raw[e - s: e] for s, e in zip(sizes, ends)]
-        hashes, numbers, n_tokens = tokens([t.split() for t in mine])
+        hashes, numbers, n_tokens = tokens(mine)
         order = np.argsort(answers.column("part").to_numpy())
         got = [(answers.column("counts")[int(i)].as_py(), answers.column("n")[int(i)].as_py()) for i in order]
         known = np.concatenate([_unzip(b, n, np.int64) for b, n in got])
@@ -462,4 +468,4 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
 
     chunks = read.where("kind = 'texts'").select("uid", "ids", "sizes", "trained", "a")
     asked = counted.where("uid >= 0").select("uid", "part", "n", "counts")
-    return chunks.groupBy("uid").cogroup(asked.groupBy("uid")).applyInArrow(finish, schema), n_train
+    return chunks.groupBy("uid").cogroup(asked.groupBy("uid")).applyInArrow(by_group(finish), schema), n_train
