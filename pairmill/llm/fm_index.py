@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import free_names, map_arrow
 
 #: Bytes outside ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` become spaces, A-Z lower case.
 WORD_BYTES = bytes(
@@ -293,7 +293,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
             out = out.select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
                              F.array().cast("array<string>").alias("items"))
         first = False
-        out = out.mapInArrow(_searcher(test, text_col, out.columns), schema)
+        out = map_arrow(out, _searcher(test, text_col, out.columns), schema)
     return out
 
 
@@ -369,5 +369,5 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
             texts, spans = b.column(names.index(text_col)), b.column(names.index("spans"))
             done = pa.array([cut_spans(t.as_py(), s.as_py()) if len(s.as_py() or ()) else t.as_py() for t, s in zip(texts, spans)], pa.string())
             yield pa.RecordBatch.from_arrays([done if c == text_col else b.column(names.index(c)) for c in cols], cols)
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)
 

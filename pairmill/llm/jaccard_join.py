@@ -38,12 +38,12 @@ from pyspark.sql.types import StructType
 
 from pairmill.session import scalar
 
-from .common import LOWER_BYTES, staged
+from .common import LOWER_BYTES, by_group, map_arrow, staged
 
 #: A shingle of so many texts counts as frequent; the tasks know the most frequent ones, up to a bound (16 MB).
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
 #: Shingles that a task holds before it packs them, those of a hash range, and bytes hashed at a time.
-HELD, RANGE, BYTES = 1_000_000, 2_000_000, 1 << 20
+HELD, RANGE, BYTES = 750_000, 2_000_000, 1 << 20
 #: Ids handed to all tasks at most (24 MB); beyond, the texts are joined.
 IDS_MAX = 1_000_000
 #: Sets of a block, and sets that a task takes up together.
@@ -179,7 +179,7 @@ def _unzip(b: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128, size: int = 4 * BYTES) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 128, size: int = 2 * BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of so many rows and bytes of text, but of one row at least."""
     for b in batches:
         ends = np.cumsum(pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
@@ -241,8 +241,8 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, bits: int) -> Freque
         often = total >= FREQUENT
         return pd.DataFrame({"h": h[cut][often].astype(np.int64), "n": total[often]})
 
-    packed = docs.select("text").mapInArrow(pack, "part int, first long, n long, gaps binary, counts binary")
-    top = (packed.groupBy("part").applyInPandas(count, "h long, n long")
+    packed = map_arrow(docs.select("text"), pack, "part int, first long, n long, gaps binary, counts binary")
+    top = (packed.groupBy("part").applyInPandas(by_group(count), "h long, n long")
            .orderBy(F.desc("n"), "h").limit(FREQUENT_MAX).toArrow())
     h, n = top.column("h").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     by = np.argsort(h)
@@ -321,7 +321,7 @@ def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], range
         if held:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -390,7 +390,7 @@ def _sent(docs: DataFrame, routes: DataFrame, k: int) -> DataFrame:
                     rows += [(x["first"], x["z"], x["x"], x["ask"], sid, x["label"], packed) for x in to]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT_ARROW)], SENT_ARROW)
-    return joined.mapInArrow(run, SENT)
+    return map_arrow(joined, run, SENT)
 
 
 SENT = "first long, z int, x int, ask boolean, sid long, label long, hashes binary"
@@ -461,7 +461,7 @@ def _answered(docs: DataFrame, routes: DataFrame, classes: DataFrame, k: int, t:
     to = staged(to.join(classes, "sid").select(F.col("first").alias("doc_id"), "sid", "to"), "jaccard-routes")
     buckets = max(1, math.ceil(scalar(to.agg(F.sum(F.size("to"))), 0) / TOGETHER))
     sent = _sent(docs, to, k).withColumn("bucket", F.pmod(F.xxhash64("first", "z", "x"), F.lit(buckets)))
-    return staged(sent.groupBy("bucket").applyInArrow(_answers(t), "a long, b long"), "jaccard-links")
+    return staged(sent.groupBy("bucket").applyInArrow(by_group(_answers(t)), "a long, b long"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -540,7 +540,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     entries = staged(_entries(docs, often, k, threshold, max(1, ranges // 2), bits + 6 if bits < 56 else 62), "jaccard-entries")
     rows = entries.where("part is null and key is null").select("doc_id", "n", "sid")
     classes = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first"))
-    listed = entries.where("part is not null").select("part", "packed").groupBy("part").applyInPandas(_listed(threshold), "key long, sid long")
+    listed = entries.where("part is not null").select("part", "packed").groupBy("part").applyInPandas(by_group(_listed(threshold)), "key long, sid long")
     lists = staged(listed.unionAll(entries.where("key is not null").select("key", "sid")), "jaccard-lists")
     roots = components(_links(docs, lists, classes, k, threshold))
     # of every class that has links or copies: the smallest id of its component

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, staged
+from .common import free_names, map_arrow, staged
 
 #: Entities with a later try that are handed to the tasks at a time.
 BLOCK = 200_000
@@ -248,7 +248,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             seen = {(kind, e) for t in b.column(0).to_pylist() if t for _, _, kind, e in mentions(t)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.string())], ["kind", "entity"])
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, entity string").distinct()
+    return map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "kind string, entity string").distinct()
 
 
 def assign(known: DataFrame, key: bytes, make=surrogate) -> DataFrame:
@@ -316,7 +316,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", block: int =
     for r in late.toLocalIterator():
         part[r["kind"], r["entity"]] = r["turn"]
         if len(part) >= block:
-            held, part = held.mapInArrow(known(part), schema), {}
+            held, part = map_arrow(held, known(part), schema), {}
     # the last block is looked up while replacing
     rest = docs.sparkSession.sparkContext.broadcast(part)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -334,4 +334,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", block: int =
             cols = list(b.columns[:-1])
             cols[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, spans)], done_names)
-    return held.mapInArrow(finish, done)
+    return map_arrow(held, finish, done)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, staged
+from .common import free_names, map_arrow, staged
 
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -409,7 +409,8 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         return pd.DataFrame({"host": [key[0]], "part": [key[1] if len(key) > 1 else 0], "wrapper": [_merge(key[0], rows["wrapper"])]})
 
     schema = "host string, part int, wrapper string"
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(partial, schema)
+    read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    parts = map_arrow(read, partial, schema)
     return parts.groupBy("host", "part").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema).select("host", "wrapper")
 
 
@@ -447,4 +448,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                     read[r] = json.loads(r)
                 texts.append(text_of(parse(page), read[r]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*names, "text"])
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
