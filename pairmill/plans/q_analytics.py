@@ -337,7 +337,7 @@ def q_balanced_sample(spark, d):
 
 # ---------------------------------------------------------------- ranking metrics
 
-NDCG_SQL = f"""
+NDCG_CTE = f"""
 WITH s AS ({R.DECISIONS}),
 p AS (SELECT group_id, doc_id, score, target,
              row_number() OVER (PARTITION BY group_id ORDER BY score DESC, doc_id) - 1 AS pos,
@@ -346,9 +346,10 @@ d AS (SELECT *, 1.0 / log2(pos + 2) AS disc FROM p),
 t AS (SELECT group_id, score, avg(disc) AS ad, sum(target) AS st FROM d GROUP BY group_id, score),
 dcg AS (SELECT group_id, sum(ad * st) AS dcg FROM t GROUP BY group_id),
 idcg AS (SELECT group_id, sum(CASE WHEN pos < npos THEN disc ELSE 0 END) AS idcg, max(n) AS n FROM d GROUP BY group_id)
-SELECT group_id, n, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg
+SELECT group_id, n, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg
 FROM dcg JOIN idcg USING (group_id) WHERE n > 1
 """
+NDCG_SQL = f"SELECT group_id, n, round(ndcg, 6) AS ndcg FROM ({NDCG_CTE})"
 
 
 @register("group_ndcg", NDCG_SQL)
@@ -358,7 +359,7 @@ def q_group_ndcg(spark, d):
     return group_ndcg(s, "group_id", "score", "target", "doc_id").withColumn("ndcg", r6("ndcg"))
 
 
-PRF_SQL = f"""
+PRF_CTE = f"""
 WITH s AS ({R.DECISIONS}),
 g AS (SELECT group_id, count(*) AS n,
              count(*) FILTER (WHERE score >= 0.5 AND target = 1) AS tp,
@@ -366,10 +367,13 @@ g AS (SELECT group_id, count(*) AS n,
              count(*) FILTER (WHERE score < 0.5 AND target = 1) AS fn FROM s GROUP BY group_id),
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
                 CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM g)
-SELECT group_id, n, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
-       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+SELECT group_id, n, tp, fp, fn, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1
 FROM m WHERE n > 1
 """
+PRF_SQL = f"""
+SELECT group_id, n, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({PRF_CTE})
+"""
 
 
 @register("group_prf", PRF_SQL)
@@ -382,7 +386,7 @@ def q_group_prf(spark, d):
 
 
 @register("group_metrics_mean", f"""
-WITH a AS ({NDCG_SQL}), b AS ({PRF_SQL})
+WITH a AS ({NDCG_CTE}), b AS ({PRF_CTE})
 SELECT count(*) AS n_groups, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision,
        round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1
 FROM a JOIN b USING (group_id)
@@ -390,10 +394,9 @@ FROM a JOIN b USING (group_id)
 def q_group_metrics_mean(spark, d):
     """Macro averages over groups (the reference's headline)."""
     s = roles.decisions(spark, d)
-    nd = group_ndcg(s, "group_id", "score", "target", "doc_id").withColumn("ndcg", r6("ndcg"))
-    pr = group_prf(s, "group_id", "score", "target", 0.5).select(
-        "group_id", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
-    j = nd.join(pr, "group_id")
+    nd = group_ndcg(s, "group_id", "score", "target", "doc_id")
+    pr = group_prf(s, "group_id", "score", "target", 0.5).select("group_id", "precision", "recall", "f1")
+    j = nd.join(pr, "group_id")  # averages of unrounded values, rounded once
     return j.agg(F.count(F.lit(1)).alias("n_groups"), r6(F.avg("ndcg")).alias("ndcg"),
                  r6(F.avg("precision")).alias("precision"), r6(F.avg("recall")).alias("recall"),
                  r6(F.avg("f1")).alias("f1"))

@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
     Order: the context's folder if already set; else ``spark.checkpoint.dir``
     from the session/conf; else (only when unset) ``fallback`` (tests, bench)
-    or ``<warehouse>/_checkpoints``.
+    or ``<warehouse>/_checkpoints``, the latter on local masters alone.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if not d and fallback:
         d = fallback
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         wh = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         d = wh.rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(d)

@@ -47,28 +47,47 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", with_created_at: bool
     out.write.mode("append").format(fmt).save(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_if_empty(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """Write only when nothing is there yet (``ignore`` mode)."""
-    df.write.mode("ignore").format(fmt).save(path)
+    """Write only when the table is missing or has no rows; tells whether it wrote."""
+    spark = df.sparkSession
+    if path_exists(spark, path) and not spark.read.schema(df.schema).format(fmt).load(path).isEmpty():
+        return False
+    df.write.mode("overwrite").format(fmt).save(path)
     return True
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``old`` whose key is not in ``new``, plus all of ``new``
-    (by name; columns missing on one side become null)."""
-    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """Rows of ``old`` whose key is not in ``new``, plus ``new`` (by
+    name; columns missing on one side become null).  With ``order_col`` a row
+    of ``new`` that is older than the one it would replace is left out (equal
+    times: the new row counts, a null time is oldest); without it, arrival
+    decides."""
+    if order_col is not None:
+        held = old.groupBy(*keys).agg(F.max(order_col).alias("__held"))
+        match = [new[k].eqNullSafe(held[k]) for k in keys]
+        new = new.join(held, match, "left").filter(
+            F.col("__held").isNull() | F.coalesce(new[order_col] >= F.col("__held"), F.lit(False))).select(*[new[c] for c in new.columns])
+    hit = new.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    kept = old.join(hit, [old[k].eqNullSafe(hit[f"__{k}"]) for k in keys], "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version_path: str) -> str:
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version_path: str,
+                 order_col: str | None = None) -> str:
     """Upsert into a table by writing the merged result to a fresh
-    ``version_path`` (never overwriting the folder being read) — the caller
-    swaps a pointer/catalog entry to the returned path."""
-    try:
-        old = spark.read.parquet(path)
-        merged = upsert(old, new, keys)
-    except Exception:  # first load: nothing to merge with
-        merged = new
+    ``version_path`` (never overwriting the folder being read); the caller
+    swaps a pointer/catalog entry to the returned path.  Only a missing table
+    counts as a first load; any other error rises."""
+    merged = upsert(spark.read.parquet(path), new, keys, order_col) if path_exists(spark, path) else new.select(*new.columns)
+    missing = [k for k in keys if k not in new.columns]
+    if missing:
+        raise ValueError(f"key columns missing in the new rows: {missing}")
     merged.write.mode("overwrite").parquet(version_path)
     return version_path
 

@@ -14,35 +14,38 @@ over landed files with ``trigger(availableNow=True)`` for catch-up runs:
 * ST5 ``service_stats_stream`` — windowed latency statistics with bounded
   memory (``percentile_approx``); exact quantiles stay batch (A13).
 
-Every sink is idempotent by micro-batch id (versions are written under the
-epoch id, so a replayed epoch overwrites the same folder).
+Every sink is idempotent by run and micro-batch id (a replayed epoch is
+skipped or overwrites its own folder).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.rank import latest_per_key
-from ..sources.io import upsert
+from ..sources.io import path_exists, upsert
 
 
-def _latest_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Newest committed version folder of a versioned table (by epoch)."""
+def _versions(spark: SparkSession, table_dir: str) -> list[tuple[int, str]]:
+    """Committed version folders ``v=<number>-<run>-<epoch>`` of a table, oldest first."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(conf)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            ep = int(name[2:])
-            best = ep if best is None or ep > best else best
-    return None if best is None else f"{table_dir.rstrip('/')}/v={best}"
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(path)
+             if st.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return sorted((int(n[2:].split("-")[0]), n) for n in names)
+
+
+def _latest_version(spark: SparkSession, table_dir: str) -> str | None:
+    """Newest committed version folder of a versioned table."""
+    found = _versions(spark, table_dir)
+    return f"{table_dir.rstrip('/')}/{found[-1][1]}" if found else None
 
 
 def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
@@ -52,21 +55,30 @@ def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
 
 def snapshot_upsert_stream(spark: SparkSession, source_dir: str, schema: StructType | str, table_dir: str,
                            keys: list[str], order_col: str, tiebreak: list[str], checkpoint_dir: str,
-                           max_files: int = 1):
+                           max_files: int | None = None):
     """ST1: landed snapshot files → upsert by ``keys`` into ``table_dir``.
 
     Each micro-batch is reduced to its newest row per key, merged with the
-    current version and written as version ``v=<epoch>`` (write-new-then-
-    switch; readers pick the newest complete version)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
+    current version (a held row that is newer by ``order_col`` stays) and
+    written as a version of its own; readers pick the newest complete one.
+    Versions are numbered on from the last one and carry the run (by its
+    checkpoint folder) and epoch, so a replayed epoch is known and a new
+    checkpoint folder hides nothing."""
+    stream = spark.readStream.schema(schema)
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    stream = stream.parquet(source_dir)
+    run = hashlib.md5(checkpoint_dir.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = latest_per_key(batch, keys, order_col, ties="one", tiebreak=tiebreak)
-        cur = _latest_version(spark, table_dir)
-        if cur is not None and cur.endswith(f"v={epoch}"):
+        found = _versions(spark, table_dir)
+        if any(name.endswith(f"-{run}-{epoch}") for _, name in found):
             return  # this epoch was committed before a restart
-        merged = new if cur is None else upsert(spark.read.parquet(cur), new, keys)
-        merged.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={epoch}")
+        new = latest_per_key(batch, keys, order_col, ties="one", tiebreak=tiebreak)
+        top = table_dir.rstrip("/")
+        merged = upsert(spark.read.parquet(f"{top}/{found[-1][1]}"), new, keys, order_col) if found else new
+        number = found[-1][0] + 1 if found else 0
+        merged.write.mode("overwrite").parquet(f"{top}/v={number}-{run}-{epoch}")
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
@@ -80,17 +92,14 @@ def fill_missing_vectors_stream(spark: SparkSession, source_dir: str, schema: St
     ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]`` for ``mapInPandas``
     (the model is loaded once per task)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    import hashlib
     run = hashlib.md5(checkpoint_dir.encode()).hexdigest()[:12]  # epochs restart per checkpoint
 
     def fill(batch: DataFrame, epoch: int) -> None:
         todo = batch.filter(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(id_col, text_col) \
                     .dropDuplicates([id_col])
-        try:
+        if path_exists(spark, vectors_dir):
             have = spark.read.parquet(vectors_dir).filter(F.col("model_name") == model_name).select(id_col)
             todo = todo.join(have, id_col, "left_anti")
-        except Exception:  # first run: no vectors yet
-            pass
         enc = todo.mapInPandas(encoder, out_schema).withColumn("model_name", F.lit(model_name))
         # one folder per (run, epoch), overwritten on replay → idempotent append
         enc.write.mode("overwrite").parquet(f"{vectors_dir.rstrip('/')}/run={run}/epoch={epoch}")
