@@ -6,6 +6,8 @@ per-row Python."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ STATUS_PHRASES = ["Ищу работу", "Рассматриваю предло
 #   section headings / stop lines
 EXPERIENCE_END = ["Образование", "Навыки", "Обо мне", "Рекомендательные письма", "Хабр Карьера", "О сервисе"]
 SKILLS_END = ["Опыт работы", "Образование", "Обо мне", "Рекомендательные письма", "Друзья"]
+#   a card's title ends here, as does its description snippet
+TITLE_END = ["Ищу работу", "Рассматриваю предложения", "Не ищу работу", "Профессиональные навыки", "Возраст",
+             "Опыт работы", "Написать на Хабре", "Написать", "Войти", "•", ""]
+SNIPPET_END = ["Образование", "Профессиональные навыки", "Добавить в избранное", "Открыть контакты", "Написать",
+               "Хабр Карьера"]
+LEVEL_LINE = r"^(Lead|Senior|Middle|Junior|Ведущий|Старший|Средний|Младший)$"
+SNIPPET_SKIP = r"(?iU)^\d+\s+компани|\d+\s*(лет|год|года|месяц)|^•$"
 SKILLS_NOISE = ["Выберите навык", "чтобы посмотреть"]
 ABOUT_END = ["Навыки", "Опыт работы", "Образование", "Рекомендательные письма"]
 EDUCATION_NOISE = ["Хабр Карьера", "О сервисе", "Услуги и цены", "Журнал", "Каталог вакансий", "Каталог курсов",
@@ -69,17 +78,18 @@ def employer_from_title(title) -> Column:
 
 def first_known(text, names: list[str]) -> Column:
     """first name of a dimension (e.g. city list) found in the text."""
-    alt = "|".join(sorted({n for n in names if n}, key=lambda x: (-len(x), x)))
+    alt = "|".join(re.escape(n) for n in sorted({n for n in names if n}, key=lambda x: (-len(x), x)))
     return F.regexp_extract(_c(text), "(" + alt + ")", 1) if alt else F.lit("")
 
 
-def section(text, markers: list[str], limit: int = 2000) -> Column:
-    """text after the first marker up to the next 'Heading:' line, at
-    most ``limit`` characters; '' when no marker is found."""
+def section(text, markers: list[str], limit: int | None = None) -> Column:
+    """text after the first marker up to the next 'Heading:' line (its
+    first ``limit`` characters if given); '' when no marker is found."""
     out = None
     for mk in markers:
         pat = "(?isU)" + mk + r"[:\s]*(.*?)(?=\n[А-ЯЁ][^\n]{3,}:|\z)"
-        v = F.when(_c(text).rlike(pat), F.substring(F.trim(F.regexp_extract(_c(text), pat, 1)), 1, limit))
+        v = F.trim(F.regexp_extract(_c(text), pat, 1))
+        v = F.when(_c(text).rlike(pat), v if limit is None else F.substring(v, 1, limit))
         out = v if out is None else F.coalesce(out, v)
     return F.coalesce(out, F.lit("")) if out is not None else F.lit("")
 
@@ -132,28 +142,47 @@ def age_from_lines(ls) -> Column:
 
 
 def experience_line(ls) -> Column:
-    """first of the 4 lines after 'Опыт работы' naming years/months."""
-    w = F.slice(_after(_c(ls), "Опыт работы"), 1, 4)
+    """first line after 'Опыт работы', before the next section, naming
+    years/months."""
+    w = _until(_after(_c(ls), "Опыт работы"), EXPERIENCE_END)
     return F.coalesce(F.try_element_at(F.filter(w, lambda s: s.rlike(r"(?iU)лет|год|месяц")), F.lit(1)), F.lit(""))
 
 
 def skills_section(ls) -> Column:
     """skill lines after 'Навыки' up to the next section."""
-    w = _until(F.slice(_after(_c(ls), "Навыки"), 1, 59), SKILLS_END)
+    w = _until(_after(_c(ls), "Навыки"), SKILLS_END)
     return F.filter(w, lambda s: s.rlike(SKILL_LINE) & ~F.array_contains(_arr(SKILLS_NOISE), s))
 
 
 def about_section(ls) -> Column:
-    """'Обо мне' text (≤ 2 000 characters)."""
-    w = _until(F.slice(_after(_c(ls), "Обо мне"), 1, 39), ABOUT_END)
-    return F.substring(F.array_join(w, " "), 1, 2000)
+    """'Обо мне' text up to the next section."""
+    return F.array_join(_until(_after(_c(ls), "Обо мне"), ABOUT_END), " ")
+
+
+def title_from_lines(ls, name) -> Column:
+    """title of a card: the lines after the one equal to ``name`` and the
+    date line below it, up to a status, level, salary or section line."""
+    start = F.array_position(_c(ls), _c(name))
+    w = F.when(start > 0, F.slice(_c(ls), (start + 2).cast("int"), F.size(_c(ls)))) \
+         .otherwise(F.array().cast("array<string>"))
+    ends = F.transform(w, lambda s: F.array_contains(_arr(TITLE_END), s) | s.rlike(LEVEL_LINE) | F.contains(s, F.lit("₽")))
+    idx = F.array_position(ends, F.lit(True))
+    kept = F.when(idx > 0, F.slice(w, 1, (idx - 1).cast("int"))).otherwise(w)
+    return F.trim(F.array_join(F.filter(kept, lambda s: F.length(s) > 1), " "))
+
+
+def description_snippet(ls) -> Column:
+    """the card's text after 'Опыт работы' up to the next section,
+    without counts of companies or years and lines of 5 characters or fewer."""
+    w = _until(_after(_c(ls), "Опыт работы"), SNIPPET_END)
+    return F.trim(F.array_join(F.filter(w, lambda s: ~s.rlike(SNIPPET_SKIP) & (F.length(s) > 5)), " "))
 
 
 def last_experience(ls) -> Column:
     """(company, position, period, description) of the first job after
     'Опыт работы' — the reference's line state machine as an ``aggregate``
-    over the (≤ 99) following lines."""
-    w = F.slice(_after(_c(ls), "Опыт работы"), 1, 99)
+    over the following lines up to the next section."""
+    w = _until(_after(_c(ls), "Опыт работы"), EXPERIENCE_END)
     empty = F.array().cast("array<string>")
     init = F.struct(F.lit(False).alias("stop"), F.lit("").alias("company"), F.lit("").alias("position"),
                     F.lit("").alias("period"), F.lit(False).alias("in_desc"), empty.alias("desc"))
@@ -175,12 +204,13 @@ def last_experience(ls) -> Column:
 
     r = F.aggregate(w, init, step)
     return F.struct(r["company"].alias("company"), r["position"].alias("position"), r["period"].alias("period"),
-                    F.substring(F.array_join(r["desc"], " "), 1, 1500).alias("description"))
+                    F.array_join(r["desc"], " ").alias("description"))
 
 
 def education(ls) -> Column:
-    """first plausible institution line among the 5 after 'Образование'."""
-    w = F.slice(_after(_c(ls), "Образование"), 1, 5)
+    """first plausible institution line after 'Образование', before the
+    next section."""
+    w = _until(_after(_c(ls), "Образование"), ["Навыки", "Опыт работы", "Обо мне", "Рекомендательные письма"])
     ok = F.filter(w, lambda s: ~F.array_contains(_arr(EDUCATION_NOISE), s) & (F.length(s) >= 3)
                   & ~s.startswith("/")
                   & ~((F.lower(F.substring(s, 1, 1)) == F.substring(s, 1, 1))
@@ -188,30 +218,42 @@ def education(ls) -> Column:
     return F.coalesce(F.try_element_at(ok, F.lit(1)), F.lit(""))
 
 
-STATE_SCHEMA = ("struct<keySkills:array<string>, education:array<struct<name:string, organization:string>>, "
-                "courses:array<string>, additionalCourses:array<string>, area:struct<title:string>>")
+_SCHOOLS = "struct<value:array<struct<organization:string,{}:string,year:string>>>"
+STATE_SCHEMA = ("struct<keySkills:struct<value:array<struct<string:string>>>,"
+                "primaryEducation:" + _SCHOOLS.format("faculty") + ",additionalEducation:" + _SCHOOLS.format("name") +
+                ",attestationEducation:" + _SCHOOLS.format("name") + ",area:struct<value:struct<title:string>>>")
 
 
 def json_state(blob, schema: str = STATE_SCHEMA) -> Column:
     """parsed page state → struct(skills, education lines, courses =
-    both course lists, area title)."""
+    additional then attestation lines, area title).  A line is organization,
+    faculty (or course name) and (year), empty parts left out.  Missing parts
+    give empty lists and a null area."""
     s = F.from_json(_c(blob), schema)
-    edu = F.transform(F.coalesce(s["education"], F.array().cast("array<struct<name:string,organization:string>>")),
-                      lambda e: F.trim(F.concat_ws(" ", e["name"], e["organization"])))
-    courses = F.concat(F.coalesce(s["courses"], F.array().cast("array<string>")),
-                       F.coalesce(s["additionalCourses"], F.array().cast("array<string>")))
-    return F.struct(F.coalesce(s["keySkills"], F.array().cast("array<string>")).alias("skills"),
-                    F.filter(edu, lambda x: x != "").alias("education"), courses.alias("courses"),
-                    s["area"]["title"].alias("area"))
+
+    def filled(c):
+        return F.when(c != "", c)
+
+    def line(e, second):
+        y = filled(e["year"])
+        return F.concat_ws(" ", filled(e["organization"]), filled(e[second]), F.concat(F.lit("("), y, F.lit(")")))
+
+    def rows(field, second):
+        return F.coalesce(F.transform(s[field]["value"], lambda e: line(e, second)), F.array().cast("array<string>"))
+
+    skills = F.filter(F.transform(s["keySkills"]["value"], lambda e: e["string"]), lambda x: x != "")
+    return F.struct(F.coalesce(skills, F.array().cast("array<string>")).alias("skills"),
+                    rows("primaryEducation", "faculty").alias("education"),
+                    F.concat(rows("additionalEducation", "name"), rows("attestationEducation", "name")).alias("courses"),
+                    s["area"]["value"]["title"].alias("area"))
 
 
 def dimension_lookup(df: DataFrame, col: str, dim: DataFrame, dim_name: str, dim_id: str,
                      out: str = "area_id") -> DataFrame:
-    """name → id via a dimension table, broadcast after a size check;
-    the join is left so unknown names keep a null id and can be reported."""
-    from ..session import broadcast_if_small
-    d = broadcast_if_small(dim.select(F.col(dim_name).alias(col), F.col(dim_id).alias(out)))
-    return df.join(d, col, "left")
+    """name → id via a dimension table (Spark broadcasts it if its bytes
+    allow); the join is left so unknown names keep a null id and can be
+    reported."""
+    return df.join(dim.select(F.col(dim_name).alias(col), F.col(dim_id).alias(out)), col, "left")
 
 
 def explode_catalogue(df: DataFrame, group: str, items: str, out: str = "item") -> DataFrame:

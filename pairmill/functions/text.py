@@ -467,12 +467,36 @@ def relative_date(text, as_of) -> Column:
              .when(t.rlike(dm), _ymd(year, m, d)))
 
 
-def longest_block(html, lo: int = 100, hi: int = 6000) -> Column:
-    """longest leaf paragraph (no inner tags) with lo < length < hi;
-    the first one wins ties; null when none."""
-    blocks = F.filter(F.transform(F.regexp_extract_all(_c(html), F.lit(r"(?s)<p>([^<]*)</p>"), 1), lambda x: F.trim(x)),
-                      lambda x: (F.length(x) > lo) & (F.length(x) < hi))
-    best = F.aggregate(blocks, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+def longest_block(html, lo: int | None = None, hi: int | None = None, blocks=("p", "div", "section")) -> Column:
+    """text of the longest leaf block (a ``blocks`` element holding no
+    other one).  Inner tags go, text nodes are stripped and joined; scripts,
+    styles and comments are not text.  ``lo`` / ``hi`` keep only lengths
+    strictly between them.  The first of the longest wins; null when none.
+
+    The page is cut before every block tag: a leaf is a piece that opens a
+    block and is followed by the piece that closes it, so one linear split
+    replaces a nested pattern."""
+    names, ws = "|".join(blocks), r"[ \t\r\n\f]"
+    h = F.regexp_replace(_c(html), r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>", "")
+    pieces = F.split(h, r"(?i)(?=</?(?:" + names + r")\b)")
+    opened, closed = r"(?i)^<((?:" + names + r")\b)?", r"(?i)^</((?:" + names + r")\b)?"
+    # carries the piece before; a struct state keeps the page out of the lambda
+    init = F.struct(F.lit("").alias("prev"), F.lit("").alias("best"))
+
+    def step(a, x):
+        tag = F.lower(F.regexp_extract(a["prev"], opened, 1))
+        inner = F.regexp_replace(F.regexp_replace(a["prev"], r"^<[^>]*>", ""), ws + "*<[^>]*>" + ws + "*", "")
+        t = F.regexp_replace(inner, "^" + ws + "+|" + ws + r"+\z", "")
+        ok = (tag != "") & (tag == F.lower(F.regexp_extract(x, closed, 1)))
+        if lo is not None:
+            ok = ok & (F.length(t) > lo)
+        if hi is not None:
+            ok = ok & (F.length(t) < hi)
+        return F.struct(x.alias("prev"),
+                        F.when(ok, F.when(F.length(t) > F.length(a["best"]), t).otherwise(a["best"]))
+                         .otherwise(a["best"]).alias("best"))
+
+    best = F.aggregate(pieces, init, step)["best"]
     return F.when(best != "", best)
 
 

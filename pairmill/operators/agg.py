@@ -4,8 +4,8 @@ Everything is a partial-aggregatable ``groupBy``/``agg`` (hot keys are
 combined map-side).  Small per-column side tables (totals, min/max,
 marginals) have one row per column or category value and are joined back by
 key.  Exact quantiles avoid Spark's ``percentile``/``median`` aggregates,
-which buffer every value of a group in one task: they read the values at the
-needed positions of a distributed sort instead.
+which buffer every value of a group in one task: they read the needed
+positions from running counts over the sorted distinct values instead.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scalar
-from .indexing import dense_index
+from ..session import checkpoint, scalar
 
 
 def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "column", value: str = "value",
@@ -133,29 +132,33 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy default, DuckDB
-    ``quantile_cont``) as one row with a column per name in ``probs``.
+    ``quantile_cont``) as one row with a column per name in ``probs``; nulls
+    when there is no value.
 
-    Values are placed by a distributed sort; only the rows at the needed
-    positions are kept.  Works for any size; no group is gathered in one
-    task."""
-    spark = df.sparkSession
+    Rows are first counted per value (partial aggregation), so a value held by
+    most rows is one row of the distributed sort that follows.  Positions are
+    running counts inside each range partition plus the partition's start."""
     v = df.select(F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    idx = dense_index(v, [F.col("__v")], "__i")
-    n = int(scalar(idx.agg(F.count(F.lit(1)))) or 0)
-    if n == 0:
-        return spark.createDataFrame([tuple([None] * len(probs))], ", ".join(f"{k} double" for k in probs))
-    rows = []
+    g = checkpoint(v.groupBy("__v").agg(F.count(F.lit(1)).alias("__c")).orderBy("__v")
+                    .withColumn("__pid", F.spark_partition_id()))
+    sizes = g.groupBy("__pid").agg(F.sum("__c").alias("__s"))  # one row per partition
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__pid", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
+    n = int(scalar(sizes.agg(F.sum("__s")), 0))
+    run = Window.partitionBy("__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("__start") + F.sum("__c").over(run)
+    x = g.join(F.broadcast(starts), "__pid").select("__v", end.alias("__end"), (end - F.col("__c")).alias("__from"))
+
+    def at(i):
+        return F.max(F.when((F.col("__from") <= i) & (F.col("__end") > i), F.col("__v")))
+
+    out = []
     for name, p in probs.items():
-        h = p * (n - 1)
-        lo = int(h // 1)
-        hi = min(lo + 1, n - 1)
-        rows.append((name, lo, hi, float(h - lo)))
-    want = spark.createDataFrame(rows, "q string, lo long, hi long, frac double")
-    vlo = idx.select(F.col("__i").alias("lo"), F.col("__v").alias("vlo"))
-    vhi = idx.select(F.col("__i").alias("hi"), F.col("__v").alias("vhi"))
-    got = (F.broadcast(want).join(vlo, "lo").join(vhi, "hi")
-           .select("q", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).alias("val")))
-    return got.agg(*[F.max(F.when(F.col("q") == k, F.col("val"))).alias(k) for k in probs])
+        h = p * max(n - 1, 0)
+        lo = int(h)
+        hi = max(min(lo + 1, n - 1), 0)
+        out.append((at(lo) + F.lit(float(h - lo)) * (at(hi) - at(lo))).alias(name))
+    return x.agg(*out)
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:

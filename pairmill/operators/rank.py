@@ -62,12 +62,8 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, group: list[str], n: int, seed: str, id_cols: list[str]) -> DataFrame:
-    """``n`` seeded random rows per group (md5 order).  Small ``n``
-    uses ``row_number <= n`` (partial WindowGroupLimit before the shuffle);
-    large ``n`` uses skew-safe global-sort positions."""
-    if n <= 1000:
-        w = Window.partitionBy(*group).orderBy(hash_key(seed, *id_cols), *[F.col(c) for c in id_cols])
-        return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+    """``n`` seeded random rows per group (md5 order), by
+    skew-safe global-sort positions."""
     pos = group_positions(df.withColumn("__h", hash_key(seed, *id_cols)), group,
                           [F.col("__h")] + [F.col(c) for c in id_cols], pos="__r", size=None)
     return pos.filter(F.col("__r") < n).drop("__r", "__h")

@@ -2,13 +2,13 @@
 
 Vectors are rows ``(id, term, w)`` rather than dense/sparse vector cells:
 cosines become an equi-join on ``term`` plus a ``groupBy`` sum, which stays
-in whole-stage codegen and partitions by term.  The vocabulary is capped by
-``max_features`` (default 5 000), so it is the one side that is broadcast
-(its size is bounded by that parameter).
+in whole-stage codegen and partitions by term.  The vocabulary holds every
+term unless ``max_features`` caps it; it is joined on the term, and Spark picks
+the join by the bytes it finds (a frequent term's rows are split by AQE).
 
 Fit rules follow the reference's vectorizer: tokens from T1 minus T2 stop
 words, uni+bigrams, document frequency in [min_df, max_df · n_docs], the
-``max_features`` most frequent terms (ties: term ascending), smooth IDF
+``max_features`` most frequent terms if given (ties: term ascending), smooth IDF
 ``ln((1 + n) / (1 + df)) + 1`` (Spark ML's ``IDF`` lacks the +1), raw
 counts × idf, L2 normalised per document.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import stop_words_remover, tokenize, uni_bi_grams
-from ..session import broadcast_if_small, checkpoint, scalar
+from ..session import checkpoint, scalar
 
 
 def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None) -> DataFrame:
@@ -46,7 +46,7 @@ def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None) -
 
 
 def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
-               max_features: int | None = 5000) -> DataFrame:
+               max_features: int | None = None) -> DataFrame:
     """Vocabulary (term, df, tf, idf) from per-text counts."""
     dfs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
     kept = dfs.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
@@ -55,13 +55,9 @@ def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
     return kept.withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1)
 
 
-def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h", bounded: bool = True) -> DataFrame:
-    """L2-normalised TF-IDF (key, term, w).  A vocabulary capped by
-    ``max_features`` is broadcast (``bounded``); an uncapped one (T13) only
-    after a size check."""
-    v = vocab.select("term", "idf")
-    v = F.broadcast(v) if bounded else broadcast_if_small(v)
-    x = counts.join(v, "term").withColumn("x", F.col("c") * F.col("idf"))
+def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h") -> DataFrame:
+    """L2-normalised TF-IDF (key, term, w)."""
+    x = counts.join(vocab.select("term", "idf"), "term").withColumn("x", F.col("c") * F.col("idf"))
     norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__norm"))
     return x.join(norm, key).select(key, "term", (F.col("x") / F.col("__norm")).alias("w"))
 
@@ -72,7 +68,7 @@ def map_to_rows(df: DataFrame, id_col: str, text: str, text_weights: DataFrame)
     return rows.join(text_weights, "__h").select(id_col, "term", "w")
 
 
-def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_features: int | None = 5000,
+def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_features: int | None = None,
         ngram_max: int = 2, stop_words=None) -> DataFrame:
     """Vocabulary (term, df, tf, idf) fitted on the *distinct* texts of
     ``corpus`` (the reference's service/retrain corpus rule, X9)."""
@@ -89,7 +85,7 @@ def transform(df: DataFrame, id_col: str, text: str, vocab: DataFrame, ngram_max
 
 
 def fit_transform(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_df: float = 0.8,
-                  max_features: int | None = 5000, ngram_max: int = 2, stop_words=None):
+                  max_features: int | None = None, ngram_max: int = 2, stop_words=None):
     """Fit on the distinct texts of ``df`` and weigh its rows with one
     tokenisation pass.  Returns (vocab, (id, term, w))."""
     counts, n = text_counts(df, text, ngram_max, stop_words)

@@ -24,7 +24,7 @@ p AS (SELECT v.vacancy_id, r.resume_id, r.resume_location, r.resume_last_positio
 s AS (SELECT *, round(location_matching + resume_skill_count_in_vacancy + last_position_in_vacancy, 9) AS s9
       FROM p),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vacancy_id ORDER BY s9 DESC, resume_id) AS INTEGER) AS rank
-      FROM s WHERE s9 > 0)
+      FROM s)
 SELECT vacancy_id, rank, resume_id,
        round(location_matching + resume_skill_count_in_vacancy + last_position_in_vacancy, 6) AS score,
        location_matching, CAST(resume_skill_count_in_vacancy AS INTEGER) AS resume_skill_count_in_vacancy,

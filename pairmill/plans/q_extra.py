@@ -13,7 +13,7 @@ from ..operators import clean as C
 from ..operators import rank as RK
 from ..operators.joins import anti_join, negative_pairs
 from ..operators.metrics import hits_at_n
-from ..session import broadcast_if_small, scalar
+from ..session import scalar
 from ..sources import roles
 from . import oracle_roles as R
 from .catalog import register
@@ -450,19 +450,26 @@ def q_russian_dates(spark, d):
 # ---------------------------------------------------------------- F29 pages' main text
 
 @register("page_main_text", """
+WITH c AS (SELECT page_id, html, regexp_replace(html,
+       '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script[^>]*>|<style\\b[^>]*>.*?</style[^>]*>', '', 'g') AS h FROM pages),
+p AS (SELECT page_id, html, string_split(regexp_replace(h, '(?i)(</?(?:p|div|section)\\b)', chr(1) || '\\1', 'g'), chr(1)) AS s
+      FROM c),
+l AS (SELECT page_id, html, list_transform(
+        list_filter(range(1, len(s)), lambda i: regexp_matches(s[i], '(?i)^<(?:p|div|section)\\b')
+          AND regexp_matches(s[i + 1], '(?i)^</') AND lower(regexp_extract(s[i], '^<([a-zA-Z]+)', 1)) =
+              lower(regexp_extract(s[i + 1], '^</([a-zA-Z]+)', 1))),
+        lambda i: regexp_replace(regexp_replace(regexp_replace(s[i], '^<[^>]*>', ''),
+          '[ \\t\\r\\n\\f]*<[^>]*>[ \\t\\r\\n\\f]*', '', 'g'), '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')) AS b FROM p),
+t AS (SELECT page_id, html, nullif(list_reduce(list_prepend('', b),
+        lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END), '') AS best FROM l)
 SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
        CAST(length(best) AS INTEGER) AS main_chars,
        CASE WHEN length(best) > 80 THEN substr(best, 1, 80) || '...' ELSE best END AS main_preview
-FROM (SELECT page_id, html,
-             list_reduce(list_prepend('', list_filter(list_transform(regexp_extract_all(html, '(?s)<p>([^<]*)</p>', 1),
-                                      lambda x: trim(x)), lambda x: length(x) > 100 AND length(x) < 6000)),
-                         lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END) AS best0,
-             nullif(best0, '') AS best
-      FROM pages)
+FROM t
 """)
 def q_page_main_text(spark, d):
-    """main text of each page = longest leaf paragraph of
-    100–6 000 characters, the page language, and a truncated preview."""
+    """main text of each page = longest leaf block (inner tags
+    removed, no length limits), the page language, and a truncated preview."""
     p = roles.table(spark, d, "pages").select("page_id", "html", T.longest_block("html").alias("best"))
     return p.select("page_id", F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"),
                     F.length("best").alias("main_chars"), T.truncate("best", 80).alias("main_preview"))
@@ -545,8 +552,8 @@ def q_area_lookup(spark, d):
     nat = roles.table(spark, d, "nation")
     reg = roles.table(spark, d, "region")
     x = PZ.dimension_lookup(res, "resume_location", nat, "n_name", "n_nationkey", "area_id")
-    x = x.join(broadcast_if_small(nat.select(F.col("n_nationkey").alias("area_id"), "n_regionkey")), "area_id", "left")
-    x = x.join(broadcast_if_small(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))),
+    x = x.join(nat.select(F.col("n_nationkey").alias("area_id"), "n_regionkey"), "area_id", "left")
+    x = x.join(reg.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")),
                "n_regionkey", "left")
     return x.select("resume_id", "resume_location", "area_id", "region")
 

@@ -28,8 +28,9 @@ def _grams_sql(tok: str) -> str:
     return f"list_concat({tok}, list_transform(range(1, len({tok})), lambda i: {tok}[i] || ' ' || {tok}[i + 1]))"
 
 
-def _vocab_sql(corpus_sql: str) -> str:
+def _vocab_sql(corpus_sql: str, top: int | None = None) -> str:
     """CTE chain (fit) → vocab(term, df, tf, idf) over distinct texts of corpus_sql(text)."""
+    cut = f" ORDER BY tf DESC, term LIMIT {top}" if top else ""
     return f"""
 fd AS (SELECT DISTINCT text FROM ({corpus_sql}) WHERE text IS NOT NULL),
 fn AS (SELECT count(*) AS n FROM fd),
@@ -38,7 +39,7 @@ fg AS (SELECT doc, unnest({_grams_sql('t')}) AS term FROM ft),
 ftf AS (SELECT doc, term, count(*) AS c FROM fg GROUP BY ALL),
 fdf AS (SELECT term, count(*) AS df, sum(c) AS tf FROM ftf GROUP BY term),
 vocab AS (SELECT term, df, tf, ln((1.0 + n) / (df + 1)) + 1 AS idf FROM fdf, fn
-          WHERE df >= 2 AND df <= 0.8 * n ORDER BY tf DESC, term LIMIT 5000)"""
+          WHERE df >= 2 AND df <= 0.8 * n{cut})"""
 
 
 def _weights_sql(name: str, rows_sql: str) -> str:
@@ -76,11 +77,21 @@ SELECT term, df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf FROM vocab
 """)
 def q_tfidf_terms(spark, d):
     """T4: fitted vocabulary over the documents (uni+bigrams, min_df 2,
-    max_df 0.8, top 5 000, smooth IDF)."""
+    max_df 0.8, smooth IDF)."""
     v = tfidf.fit(roles.table(spark, d, "documents"), "text")
     return v.select("term", "df", "tf", r6("idf").alias("idf"))
 
 
+@register("tfidf_terms_top", f"""
+WITH {_vocab_sql('SELECT text FROM documents', 5000)}
+SELECT term, df, CAST(tf AS BIGINT) AS tf, round(idf, 6) AS idf FROM vocab
+""")
+def q_tfidf_terms_top(spark, d):
+    """T4 with the reference's feature limit: the 5 000 most frequent terms."""
+    v = tfidf.fit(roles.table(spark, d, "documents"), "text", max_features=5000)
+    return v.select("term", "df", "tf", r6("idf").alias("idf"))
+
+
 _CONV_ROWS = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text FROM conversations"
 
 
@@ -117,19 +128,21 @@ WITH {_vocab_sql('SELECT text FROM documents')},
 {_weights_sql('q', 'SELECT item_id AS id, text FROM benchmark')},
 s AS (SELECT q_w.id AS item_id, d_w.id AS doc_id, round(sum(q_w.w * d_w.w), 9) AS s9
       FROM q_w JOIN d_w ON q_w.term = d_w.term GROUP BY ALL),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s9 DESC, doc_id) AS INTEGER) AS rank FROM s WHERE s9 > 0)
+a AS (SELECT b.item_id, x.doc_id, coalesce(s.s9, 0.0) AS s9 FROM benchmark b CROSS JOIN documents x
+      LEFT JOIN s ON s.item_id = b.item_id AND s.doc_id = x.doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s9 DESC, doc_id) AS INTEGER) AS rank FROM a)
 SELECT item_id, rank, doc_id, round(s9, 6) AS score FROM k WHERE rank <= 10
 """)
 def q_tfidf_query_scores(spark, d):
     """Each benchmark passage as a query against all documents; exact
     top-10 by TF-IDF cosine via threshold rounds (no query × document
-    product)."""
-    docs = roles.table(spark, d, "documents")
+    product), always ten: zero scores by smallest id."""
+    docs, bench = roles.table(spark, d, "documents"), roles.table(spark, d, "benchmark")
     vocab, dw = tfidf.fit_transform(docs, "doc_id", "text")
-    qw = tfidf.transform(roles.table(spark, d, "benchmark"), "item_id", "text", vocab)
+    qw = tfidf.transform(bench, "item_id", "text", vocab)
     top = topk_sparse_dot(qw.select("item_id", F.col("term").alias("key"), F.col("w").alias("qw")),
                           dw.select("doc_id", F.col("term").alias("key"), F.col("w").alias("iw")),
-                          10, q_id="item_id", i_id="doc_id")
+                          10, q_id="item_id", i_id="doc_id", all_queries=bench, all_items=docs)
     return top.select("item_id", "rank", "doc_id", r6("score").alias("score"))
 
 

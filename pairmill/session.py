@@ -73,11 +73,3 @@ def scalar(df: DataFrame, default=None):
         return default
     v = row[0][0]
     return default if v is None else v
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a row-count check; larger sides stay a
-    shuffle join (the count is one small job)."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

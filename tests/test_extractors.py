@@ -46,8 +46,37 @@ def test_links_titles_sections(spark):
 
 
 def test_json_state(spark):
-    blob = ('{"keySkills": ["SQL", "Python"], "education": [{"name": "МГУ", "organization": "ВМК"}], '
-            '"courses": ["A"], "additionalCourses": ["B"], "area": {"title": "Москва"}}')
-    r = spark.createDataFrame([(blob,)], "b string").select(P.json_state("b").alias("s")).first()["s"]
-    assert r["skills"] == ["SQL", "Python"] and r["education"] == ["МГУ ВМК"] and r["courses"] == ["A", "B"]
-    assert r["area"] == "Москва"
+    """The state's real shape: every field holds its data under ``value``."""
+    blob = ('{"keySkills": {"value": [{"string": "SQL"}, {"string": "Python"}, {"string": ""}]}, '
+            '"primaryEducation": {"value": [{"organization": "МГУ", "faculty": "ВМК", "year": 2010}, {"organization": "МФТИ"}]}, '
+            '"additionalEducation": {"value": [{"organization": "A", "name": "B"}]}, '
+            '"attestationEducation": {"value": [{"name": "C", "year": 2020}]}, '
+            '"area": {"value": {"title": "Москва"}}}')
+    rows = [(blob,), ("{}",), ('{"keySkills": {"value": null}}',), (None,)]
+    got = [r["s"] for r in spark.createDataFrame(rows, "b string").select(P.json_state("b").alias("s")).collect()]
+    r = got[0]
+    assert r["skills"] == ["SQL", "Python"] and r["education"] == ["МГУ ВМК (2010)", "МФТИ"]
+    assert r["courses"] == ["A B", "C (2020)"] and r["area"] == "Москва"
+    for r in got[1:]:
+        assert (r["skills"], r["education"], r["courses"], r["area"]) == ([], [], [], None)
+
+
+def test_sections_have_no_length_limit(spark):
+    """Long sections come back whole, up to the next heading."""
+    many = [f"строка описания {i}" for i in range(300)]
+    card = ["Опыт работы", "ООО Ромашка", "Ведущий инженер", "Март 2022 — Настоящее время", *many, "Образование",
+            *["Хабр Карьера"] * 9, "МГУ", "Навыки", *[f"Skill{i}" for i in range(200)], "Обо мне", *many]
+    text = "Обязанности: " + "а" * 9000 + "\nТребования: SQL"
+    df = spark.createDataFrame([(card, text)], "ls array<string>, t string")
+    r = df.select(P.last_experience("ls").alias("x"), P.education("ls").alias("e"), P.skills_section("ls").alias("s"),
+                  P.about_section("ls").alias("a"), P.section("t", ["Обязанности"]).alias("o")).first()
+    assert r["x"]["description"] == " ".join(many) and r["a"] == " ".join(many)
+    assert r["e"] == "МГУ" and len(r["s"]) == 200 and len(r["o"]) == 9000
+
+
+def test_card_title_and_snippet(spark):
+    ls = ["Иван Петров", "вчера", "Data", "Engineer", "•", "Senior", "Опыт работы", "3 компании", "7 лет", "Строил хранилище",
+          "abc", "Написать"]
+    r = spark.createDataFrame([(ls, "Иван Петров"), (ls, "Нет")], "ls array<string>, n string").select(
+        P.title_from_lines("ls", "n"), P.description_snippet("ls")).collect()
+    assert r[0][0] == "Data Engineer" and r[1][0] == "" and r[0][1] == "Строил хранилище"

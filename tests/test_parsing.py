@@ -36,10 +36,13 @@ def test_dates(spark):
 
 
 def test_longest_block_and_lists(spark):
-    html = "<p>" + "a" * 150 + "</p><div><p>" + "b" * 300 + "</p></div><p>short</p><p><b>x</b></p>"
-    df = spark.createDataFrame([(html, "[1, 2, 3]")], "h string, l string")
-    r = df.select(T.longest_block("h"), T.explode_list_literal("l")).first()
-    assert r[0] == "b" * 300 and r[1] == [1, 2, 3]
+    html = ["<p>" + "a" * 150 + "</p><div><p class='x'>" + "b" * 300 + "</p></div><p>short</p>",
+            "<div><p>aa</p><DIV id=1> b <b>c</b> d<br/></DIV></div><script>var x = '<p>" + "z" * 99 + "</p>'</script>",
+            "<section>" + "s" * 50_000 + "</section><p><i>x</i></p>", "<span>none</span>", "", None]
+    df = spark.createDataFrame([(i, h, "[1, 2, 3]") for i, h in enumerate(html)], "i int, h string, l string")
+    r = df.orderBy("i").select(T.longest_block("h"), T.explode_list_literal("l"), T.longest_block("h", 100, 6000)).collect()
+    assert [x[0] for x in r] == ["b" * 300, "bcd", "s" * 50_000, None, None, None]
+    assert [x[2] for x in r] == ["b" * 300, None, None, None, None, None] and r[0][1] == [1, 2, 3]
 
 
 def test_lemmatize_keeps_order(spark):
