@@ -180,10 +180,12 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def interaction_density(pairs: DataFrame, left: str, right: str, value: str) -> DataFrame:
-    """Interaction matrix shape, stored and non-zero entries, density."""
+    """Interaction matrix shape, stored and non-zero entries, density.
+    ``pairs`` has one row per (left, right); rows with a null id do not count."""
+    known = F.col(left).isNotNull() & F.col(right).isNotNull()
     return pairs.agg(F.countDistinct(left).alias("n_rows"), F.countDistinct(right).alias("n_cols"),
-                     F.countDistinct(left, right).alias("stored"),
-                     F.countDistinct(F.when(F.col(value) != 0, F.struct(left, right))).alias("nonzero")) \
+                     F.count_if(known).alias("stored"),
+                     F.count_if(known & (F.col(value) != 0)).alias("nonzero")) \
                 .withColumn("density", F.col("nonzero") / (F.col("n_rows") * F.col("n_cols")))
 
 
