@@ -40,7 +40,7 @@ from pairmill.session import scalar
 from .common import LOWER_BYTES, by_group, map_arrow, staged
 from .jaccard_join import word_hashes
 
-#: Bytes of context; the model's slots (30 MB); parts of the tree (by the last two bytes) and of the slot table.
+#: Bytes of context; the model's slots (46 MB); parts of the tree (by the last two bytes) and of the slot table.
 DEPTH, SLOT_BITS, SUBTREES, SLOT_PARTS = 5, 22, 256, 64
 #: Bytes of text scored at a time, entries of a range of word hashes, and scores that a worker keeps (24 MB).
 CHUNK, WORD_RANGE, KEPT = 2_000_000, 2_000_000, 1_500_000
@@ -145,9 +145,8 @@ def parents(nodes: Nodes) -> Nodes:
 
 
 def small_side(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The smaller of both outcomes' probabilities in half precision, negative if it is the outcome 0's."""
-    p = (n1 + 0.5) / (n0 + n1 + 1.0)
-    return np.where(p <= 0.5, p, -(1 - p)).astype(np.float16)
+    """The smaller of both outcomes' probabilities, never rounded to 0, and negative if it is the outcome 0's."""
+    return (np.where(n1 <= n0, n1 + 0.5, -(n0 + 0.5)) / (n0 + n1 + 1.0)).astype(np.float32)
 
 
 def slots(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +165,13 @@ class Model:
     used: np.ndarray
 
     def look(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether the node is known, its probability of the outcome 1, and its own weight."""
+        """Whether the node is known, the smaller side of its probabilities, and its own weight."""
         if depth < 2:
             seen, side, stop = (x[key] for x in self.top[depth])
         else:
             at, tag = slots(depth, key)
             seen, side, stop = self.used[at] & (self.tag[at] == tag), self.side[at], self.stop[at]
-        side = side.astype(np.float64)
-        return seen, np.where(side >= 0, side, 1 + side), stop.astype(np.float64)
+        return seen, side.astype(np.float64), stop.astype(np.float64)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Logarithm of each byte's probability after its context."""
@@ -187,15 +185,16 @@ class Model:
             live = np.arange(len(keys))
             for depth in range(DEPTH + 1):
                 key = ((context[live] >> (8 * (DEPTH - depth))) << 8) | done[live]
-                seen, q, s = self.look(depth, key)
-                live, q, s = live[seen], q[seen], s[seen]
+                seen, side, s = self.look(depth, key)
+                live, side, s = live[seen], side[seen], s[seen]
+                q = np.where((side > 0) == (bit[live] == 1), np.abs(side), 1 - np.abs(side))  # of the outcome that follows
                 # the depth above has its own weight now that one more is known below
                 part = rest[live] * stop[live]
                 mixed[live] += part * p[live]
                 rest[live] -= part
                 p[live], stop[live] = q, s
             mixed += rest * p
-            total += np.log10(np.where(bit == 1, mixed, 1 - mixed))
+            total += np.log10(mixed)
         return total
 
 
@@ -331,7 +330,7 @@ def _grow(rows: pa.Table) -> pa.Table:
     nodes, parts = leaves(keys, counts), []
     for depth in range(DEPTH, 1, -1):
         at, tag = slots(depth, nodes.key)
-        parts.append((at, tag, small_side(nodes.n0, nodes.n1), nodes.stop.astype(np.float16), nodes.n0 + nodes.n1))
+        parts.append((at, tag, small_side(nodes.n0, nodes.n1), nodes.stop, nodes.n0 + nodes.n1))
         if depth > 2:
             nodes = parents(nodes)
     at, tag, side, stop, n = _best(*(np.concatenate(x) for x in zip(*parts)))
@@ -356,7 +355,7 @@ def _best(at, tag, side, stop, n):
     at = at[by]
     first = np.flatnonzero(np.diff(at, prepend=-1))
     by = by[first]
-    return at[first], tag[by], side[by], stop[by], n[by]
+    return at[first], tag[by], side[by], stop[by].astype(np.float32), n[by]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -373,7 +372,7 @@ def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-SLOT_KINDS = (np.uint32, np.uint16, np.float16, np.float16, np.int64)
+SLOT_KINDS = (np.uint32, np.uint16, np.float32, np.float32, np.int64)
 NODE_KINDS = (np.int64, np.int64, np.int64, np.float64, np.float64)
 TREE = "kind int, part int, n long, packed binary"
 
@@ -398,7 +397,7 @@ def _settle(rows: pa.Table) -> pa.Table:
 def _model(tree: list) -> Model:
     """From the settled parts: the slot table, and at most 256 * 255 nodes of depth 1, which give the root's."""
     size = 1 << SLOT_BITS
-    m = Model([], np.zeros(size, np.uint16), np.zeros(size, np.float16), np.zeros(size, np.float16), np.zeros(size, bool))
+    m = Model([], np.zeros(size, np.uint16), np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, bool))
     ones = []
     for kind, n, blob in tree:
         if kind:
@@ -408,7 +407,7 @@ def _model(tree: list) -> Model:
             m.tag[at], m.side[at], m.stop[at], m.used[at] = m_tag, m_side, m_stop, True
     one = Nodes(*(np.concatenate(x) for x in zip(*ones))) if ones else Nodes(*(np.zeros(0, k) for k in NODE_KINDS))
     for nodes, width in ((parents(one), 256), (one, 65536)):
-        seen, side, stop = np.zeros(width, bool), np.zeros(width, np.float16), np.zeros(width, np.float16)
+        seen, side, stop = np.zeros(width, bool), np.zeros(width, np.float32), np.zeros(width)
         seen[nodes.key], side[nodes.key], stop[nodes.key] = True, small_side(nodes.n0, nodes.n1), nodes.stop
         m.top.append((seen, side, stop))
     return m

@@ -114,6 +114,29 @@ def test_probabilities_sum_to_one():
         assert abs((10 ** model.log10(np.arange(256) + k)).sum() - 1) < 1e-9
 
 
+def _whole(keys, n):
+    nodes, parts = ctw.leaves(keys, n), []
+    for depth in range(ctw.DEPTH, 1, -1):
+        at, tag = ctw.slots(depth, nodes.key)
+        parts.append((at, tag, ctw.small_side(nodes.n0, nodes.n1), nodes.stop, nodes.n0 + nodes.n1))
+        nodes = ctw.parents(nodes)
+    best = ctw._best(*(np.concatenate(x) for x in zip(*parts)))
+    return ctw._model([(0, len(best[0]), ctw._pack(*(x.astype(k) for x, k in zip(best, ctw.SLOT_KINDS)))),
+                       (1, len(nodes.key), ctw._pack(nodes.key, nodes.n0, nodes.n1, nodes.log_p, nodes.stop))])
+
+
+def test_large_counts():
+    """A context with some 1e8 counts: neither the usual nor an unseen outcome gets probability 0."""
+    times = 10**8
+    texts = [b"that that the\n", b"this that\n"]
+    keys, n = np.unique(ctw.grams(texts), return_counts=True)
+    model, brute = _whole(keys, n * times), Brute(texts, ctw.DEPTH)
+    for v in brute.n.values():
+        v[:] = [x * times for x in v]
+    for t in (*texts, b"that tha\n", b"that\xff\n"):
+        assert math.isclose(model.log10(ctw.grams([t])).sum(), brute.score(t), rel_tol=1e-5, abs_tol=1e-5)
+
+
 def test_no_training_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got, n = ctw.score(df, F.lit(False))
