@@ -10,26 +10,28 @@ training text decides.  What training gathers are counts of byte strings, and
 all of a node's probabilities follow from its counts: they are added up and
 weighted from the leaves to the root in distributed steps.
 
-Scoring looks up each distinct byte string of a chunk once.  A context that
-training never saw is scored by its longest seen suffix.  The nodes are handed
-to the tasks as a hash table of fixed size in which the most used node of a
-slot stays; a node that lost its slot counts as not seen.
-
-The base score is a word unigram model's.  Every chunk of texts asks for the
-counts of its distinct words only, by hash range, and gets them in the same
-order back.
+A context that training never saw is scored by its longest seen suffix.  Every
+chunk of texts asks for the scores of its distinct byte strings, dealt by the
+last three bytes of context, and gets them in the same order back: a part of
+them holds all nodes of depth 3 and more that its strings can need, and no node
+is dropped.  The number of parts grows with the text.  Only the nodes of up to
+two bytes of context, of which there are at most 255 for each of 65 793
+contexts however much text there is, are handed to all tasks.
+
+The base score is a word unigram model's.  The counts of a chunk's distinct
+words are asked for in the same way, by hash range.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +42,16 @@ from pairmill.session import scalar
 from .common import LOWER_BYTES, by_group, map_arrow, staged
 from .jaccard_join import word_hashes
 
-#: Bytes of context; the model's slots (46 MB); parts of the tree (by the last two bytes) and of the slot table.
-DEPTH, SLOT_BITS, SUBTREES, SLOT_PARTS = 5, 22, 256, 64
-#: Bytes of text scored at a time, entries of a range of word hashes, and scores that a worker keeps (24 MB).
-CHUNK, WORD_RANGE, KEPT = 2_000_000, 2_000_000, 1_500_000
+#: Bytes of context, those by which the tree is parted, parts at least, and characters of text for one part more.
+DEPTH, SPLIT, SUBTREES, PART_CHARS = 5, 3, 256, 50_000_000
+#: Bytes of text packed at a time, entries of a range of word hashes, and byte strings added up or scored at a time.
+CHUNK, WORD_RANGE, BLOCK = 2_000_000, 2_000_000, 1 << 18
 END = b"\n"
 #: Stands for the end among the hashes of words.
 END_HASH = 1
 HALF = math.log(0.5)
+#: Scores of byte strings are sent as whole numbers: 2^-28 of a bit.
+POINT = 2**28 / math.log10(2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -146,32 +150,37 @@ def parents(nodes: Nodes) -> Nodes:
 
 def small_side(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """The smaller of both outcomes' probabilities, never rounded to 0, and negative if it is the outcome 0's."""
-    return (np.where(n1 <= n0, n1 + 0.5, -(n0 + 0.5)) / (n0 + n1 + 1.0)).astype(np.float32)
+    return np.where(n1 <= n0, n1 + 0.5, -(n0 + 0.5)) / (n0 + n1 + 1.0)
 
 
 def slots(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(key.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (depth + 1) % 2**64))
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+    """High and low half of a node's name, which is its depth and its key."""
+    name = np.int64(depth << 48) | key
+    return name >> 32, (name & 0xFFFFFFFF).astype(np.uint32)
+
+
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]  # of nodes: key (sorted) or whether seen, small side, stop
+
+
+NO_NODES: Side = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
 
 
 @dataclass
 class Model:
-    """Depths 0 and 1 as full tables, deeper nodes in the slot table (use 0: empty)."""
+    """Depths 0 and 1 as full tables, deeper nodes by sorted keys."""
 
-    top: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each depth: seen, small side, stop
-    tag: np.ndarray
-    side: np.ndarray
-    stop: np.ndarray
-    used: np.ndarray
+    top: list[Side]
+    deep: dict[int, Side]
 
-    def look(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(self, depth: int, key: np.ndarray) -> Side:
         """Whether the node is known, the smaller side of its probabilities, and its own weight."""
         if depth < 2:
-            seen, side, stop = (x[key] for x in self.top[depth])
-        else:
-            at, tag = slots(depth, key)
-            seen, side, stop = self.used[at] & (self.tag[at] == tag), self.side[at], self.stop[at]
-        return seen, side.astype(np.float64), stop.astype(np.float64)
+            return tuple(x[key] for x in self.top[depth])
+        keys, side, stop = self.deep.get(depth, NO_NODES)
+        if not len(keys):
+            return np.zeros(len(key), bool), np.zeros(len(key)), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return keys[at] == key, side[at], stop[at]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Logarithm of each byte's probability after its context."""
@@ -198,68 +207,23 @@ class Model:
         return total
 
 
-#: Of the model that this worker scored with last: byte strings, sorted, and their scores.
-_KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def kept_log10(model: Model, name: str, keys: np.ndarray) -> np.ndarray:
-    """``model.log10``, with the scores that the worker has already made for this model."""
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = np.zeros(0, np.int64), np.zeros(0)
-    known, values = _KEPT[name]
-    at = np.searchsorted(known, keys)
-    new = np.ones(len(keys), bool)
-    if len(known):
-        new = known[np.minimum(at, len(known) - 1)] != keys
-    out = np.empty(len(keys))
-    out[~new] = values[at[~new]]
-    out[new] = model.log10(keys[new])
-    if len(known) + new.sum() > KEPT:
-        known, values = known[:0], values[:0]
-    known, values = np.concatenate([known, keys[new]]), np.concatenate([values, out[new]])
-    by = np.argsort(known)
-    _KEPT[name] = known[by], values[by]
-    return out
-
-
-def _read(docs: DataFrame, word_parts: int) -> DataFrame:
-    """One row for each chunk of texts, its distinct words by hash range, and its training byte strings by subtree."""
+def _read(docs: DataFrame) -> DataFrame:
+    """One row for each chunk of texts."""
     ids = docs.schema["doc_id"].dataType
-    schema = (StructType().add("kind", "string").add("uid", "long").add("part", "integer").add("n", "long")
-              .add("ids", ArrayType(ids)).add("sizes", ArrayType(docs.schema["size"].dataType))
-              .add("trained", ArrayType(docs.schema["trained"].dataType)).add("a", "binary").add("b", "binary"))
-    names = schema.names
+    schema = (StructType().add("uid", "long").add("ids", ArrayType(ids)).add("sizes", ArrayType(docs.schema["size"].dataType))
+              .add("trained", ArrayType(docs.schema["trained"].dataType)).add("a", "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, chunk = TaskContext.get().partitionId(), 0
-        held: list[tuple[pa.Scalar, list[bytes], bool]] = []
+        held: list[tuple[pa.Scalar, bytes, bool]] = []
         id_type = None
 
-        def rows(**cols) -> pa.RecordBatch:
-            n = len(cols["uid"])
-            types = {"kind": pa.string(), "uid": pa.int64(), "part": pa.int32(), "n": pa.int64(), "ids": pa.list_(id_type),
-                     "sizes": pa.list_(pa.int64()), "trained": pa.list_(pa.bool_()), "a": pa.binary(), "b": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(cols[c], types[c]) if c in cols else pa.nulls(n, types[c]) for c in names], names)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            uid = (task << 32) + chunk
-            texts = [b" ".join(w) + END for _, w, _ in held]
-            trained = np.array([t for _, _, t in held])
-            yield rows(kind=["texts"], uid=[uid], n=[len(texts)], ids=[[i.as_py() for i, _, _ in held]], sizes=[[len(t) for t in texts]],
-                       trained=[trained.tolist()], a=[pa.compress(b"".join(texts), codec="zstd", asbytes=True)])
-            hashes, numbers, counts = tokens(texts)
-            n = np.bincount(numbers[np.repeat(trained, counts)], minlength=len(hashes))
-            part = (hashes.astype(np.float64) / 2.0**64 * word_parts).astype(np.int64)
-            yield rows(**_cut("words", uid, part, hashes, n))
-            keys = grams([t for t, x in zip(texts, trained) if x])
-            if len(keys):
-                codes, found = pd.factorize(keys)
-                by = np.argsort(found)
-                found, n = found[by], np.bincount(codes)[by]
-                part = (mix((found >> (8 * (DEPTH - 1))).astype(np.uint64)) % np.uint64(SUBTREES)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                yield rows(**_cut("grams", uid, part[by], found[by], n[by]))
+        def out() -> pa.RecordBatch:
+            texts = [t for _, t, _ in held]
+            types = (pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
+            cols = ((task << 32) + chunk, [i.as_py() for i, _, _ in held], [len(t) for t in texts], [x for _, _, x in held],
+                    pa.compress(b"".join(texts), codec="zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types)], schema.names)
 
         size = 0
         for big in batches:
@@ -267,27 +231,60 @@ def _read(docs: DataFrame, word_parts: int) -> DataFrame:
                 b = big.slice(lo, 128)
                 id_type = b.schema.field("doc_id").type
                 for i, t, x in zip(b.column("doc_id"), b.column("text").cast(pa.binary()).to_pylist(), b.column("trained").to_pylist()):
-                    held.append((i, words_of(t), bool(x)))
+                    held.append((i, b" ".join(words_of(t)) + END, bool(x)))
                     size += len(t or b"")
                 if size >= CHUNK:
-                    yield from out()
+                    yield out()
                     held, size, chunk = [], 0, chunk + 1
         if held:
-            yield from out()
+            yield out()
 
     return map_arrow(docs.select("doc_id", "text", "trained"), run, schema)
 
 
-def _cut(kind: str, uid: int, part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> dict:
-    """Sorted keys and counts, packed for each part."""
+def _texts(chunk: pa.Table | pa.RecordBatch) -> list[bytes]:
+    sizes = np.array(chunk.column("sizes")[0].as_py(), np.int64)
+    raw = pa.decompress(chunk.column("a")[0].as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
+    return [raw[e - s: e] for s, e in zip(sizes, np.cumsum(sizes))]
+
+
+ASKED = "uid long, part int, n long, a binary, b binary"
+
+
+def _asked(chunks: DataFrame, keys_of: Callable) -> DataFrame:
+    """What each chunk asks: keys and counts by part.  Made again from the texts by every reader, as they take far less disk."""
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                cols = _cut(row.column("uid")[0].as_py(), *keys_of(_texts(row), np.array(row.column("trained")[0].as_py(), bool)))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], list(cols))
+    return map_arrow(chunks.select("uid", "sizes", "trained", "a"), run, ASKED)
+
+
+def _cut(uid: int, part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> dict:
+    """Keys, sorted in each part, and counts, packed for each part."""
     at = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(at[1:], len(part))
-    return {"kind": [kind] * len(at), "uid": [uid] * len(at), "part": part[at].tolist(), "n": (ends - at).tolist(),
+    return {"uid": [uid] * len(at), "part": part[at].tolist(), "n": (ends - at).tolist(),
             "a": [_zip(np.diff(keys[x:y], prepend=keys.dtype.type(0))) for x, y in zip(at, ends)],
             "b": [_zip(n[x:y].astype(np.uint32)) for x, y in zip(at, ends)]}
 
 
-def _joined(rows: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+def strings(texts: list[bytes], subtrees: int, trained: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Every byte's place among the distinct byte strings by subtree, and for these: subtree, string, training count."""
+    codes, found = pd.factorize(grams(texts))
+    n = np.bincount(codes[np.repeat(trained, [len(t) for t in texts])], minlength=len(found))
+    part = (mix((found >> (8 * (DEPTH + 1 - SPLIT))).astype(np.uint64)) % np.uint64(subtrees)).astype(np.int64)
+    by = np.lexsort((found, part))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return place[codes], part[by], found[by], n[by]
+
+
+def _joined(rows: pa.Table | pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray]:
     cols = [rows.column(c).to_pylist() for c in ("n", "a", "b")]
     keys = [np.cumsum(_unzip(a, n, kind)).astype(kind) for n, a, _ in zip(*cols)]
     return np.concatenate(keys), np.concatenate([_unzip(b, n, np.uint32) for n, _, b in zip(*cols)])
@@ -323,39 +320,62 @@ def _count_words(rows: pa.Table) -> pa.Table:
         "counts": pa.array([*(_zip(answer[e - s: e]) for s, e in zip(sizes, ends)), b""], pa.binary())})
 
 
+def _added(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct byte strings of all chunks, sorted, and their counts; added up as they come, so chunks are not held unpacked."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for batch in rows.select(["n", "a", "b"]).to_batches(max_chunksize=64):
+        k, c = _joined(batch, np.int64)
+        held.append(_sums(k, c.astype(np.int64)))
+        size += len(held[-1][0])
+        if size > max(BLOCK, len(keys)):
+            keys, counts = _sums(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+            held, size = [], 0
+    return _sums(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+
+
+def _subtree(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, Nodes]]:
+    """Depths and nodes of a part of the tree, from the full depth to that of the parts."""
+    seen = counts > 0
+    nodes = leaves(keys[seen], counts[seen])
+    yield DEPTH, nodes
+    for depth in range(DEPTH - 1, SPLIT - 1, -1):
+        nodes = parents(nodes)
+        yield depth, nodes
+
+
 def _grow(rows: pa.Table) -> pa.Table:
-    """A part of the tree: its nodes from the full depth to 2 by slot range (kind 0), and those of depth 2 (kind 1)."""
-    keys, counts = _joined(rows, np.int64)
-    keys, counts = _sums(keys, counts.astype(np.int64))
-    nodes, parts = leaves(keys, counts), []
-    for depth in range(DEPTH, 1, -1):
-        at, tag = slots(depth, nodes.key)
-        parts.append((at, tag, small_side(nodes.n0, nodes.n1), nodes.stop, nodes.n0 + nodes.n1))
-        if depth > 2:
-            nodes = parents(nodes)
-    at, tag, side, stop, n = _best(*(np.concatenate(x) for x in zip(*parts)))
-    part = at >> (SLOT_BITS - int(math.log2(SLOT_PARTS)))
-    cut = np.flatnonzero(np.diff(part, prepend=-1))
-    ends = np.append(cut[1:], len(part))
-    out = [(0, int(part[a]), int(b - a), _pack(at[a:b].astype(np.uint32), tag[a:b], side[a:b], stop[a:b], n[a:b].astype(np.int64)))
-           for a, b in zip(cut, ends)]
-    first = nodes.key >> 16
+    """The nodes of a part's lowest depth by the last byte of context."""
+    for _, nodes in _subtree(*_added(rows)):
+        pass
+    first = nodes.key >> (8 * SPLIT)
     by = np.argsort(first, kind="stable")
     nodes, first = nodes.take(by), first[by]
     cut = np.flatnonzero(np.diff(first, prepend=-1))
-    for a, b in zip(cut, np.append(cut[1:], len(first))):
-        x = nodes.take(slice(a, b))
-        out.append((1, int(first[a]), int(b - a), _pack(x.key, x.n0, x.n1, x.log_p, x.stop)))
-    return _packed(out)
+    return _packed([(1, int(first[a]), int(b - a), _pack(*vars(nodes.take(slice(a, b))).values())) for a, b in zip(cut, np.append(cut[1:], len(first)))])
+
+
+def _answer(rows: pa.Table, model: Model) -> pa.Table:
+    """Logarithms of the probabilities of a part's byte strings, for each chunk in the order in which it asked."""
+    keys, counts = _added(rows)
+    below = {depth: (x.key, small_side(x.n0, x.n1), x.stop) for depth, x in _subtree(keys, counts)}
+    model = Model(model.top, model.deep | below)
+    value = np.concatenate([model.log10(keys[a: a + BLOCK]) for a in range(0, len(keys), BLOCK)])
+    value = np.rint(value * -POINT).astype(np.int64)
+    answers = []
+    for n, a in zip(rows.column("n").to_pylist(), rows.column("a").to_pylist()):
+        asked = np.cumsum(_unzip(a, n, np.int64))
+        # equal places of all numbers together, which packs better
+        answers.append(_zip(value[np.searchsorted(keys, asked)].view(np.uint8).reshape(-1, 8).T))
+    return pa.table({"uid": rows.column("uid"), "part": rows.column("part"), "n": rows.column("n"), "counts": pa.array(answers, pa.binary())})
 
 
 def _best(at, tag, side, stop, n):
-    """The most used node of each slot."""
-    by = np.lexsort((tag, -n, at))
-    at = at[by]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    by = by[first]
-    return at[first], tag[by], side[by], stop[by].astype(np.float32), n[by]
+    """Nodes in the order of their names, each once."""
+    by = np.lexsort((-n, tag, at))
+    name = (at[by].astype(np.int64) << 32) | tag[by]
+    by = by[np.flatnonzero(np.diff(name, prepend=-1))]
+    return at[by], tag[by], side[by], stop[by].astype(np.float64), n[by]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -372,7 +392,7 @@ def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-SLOT_KINDS = (np.uint32, np.uint16, np.float32, np.float32, np.int64)
+SLOT_KINDS = (np.uint32, np.uint32, np.float64, np.float64, np.int64)
 NODE_KINDS = (np.int64, np.int64, np.int64, np.float64, np.float64)
 TREE = "kind int, part int, n long, packed binary"
 
@@ -383,31 +403,35 @@ def _packed(rows: list[tuple]) -> pa.Table:
 
 
 def _settle(rows: pa.Table) -> pa.Table:
-    """Of a slot range: the most used node of each slot.  Of one last byte: the nodes of depth 1."""
-    kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
-    kinds = NODE_KINDS if kind else SLOT_KINDS
-    cols = [np.concatenate(x) for x in zip(*(_unpack(b, n, *kinds) for b, n in zip(rows.column("packed").to_pylist(), rows.column("n").to_pylist())))]
-    if kind:
-        x = parents(Nodes(*cols))
-        return _packed([(1, part, len(x.key), _pack(x.key, x.n0, x.n1, x.log_p, x.stop))])
-    best = _best(*cols)
-    return _packed([(0, part, len(best[0]), _pack(*best))])
+    """Of one last byte: the nodes of depth 2 by their names (kind 0) and those of depth 1 (kind 1)."""
+    cols = (_unpack(b, n, *NODE_KINDS) for b, n in zip(rows.column("packed").to_pylist(), rows.column("n").to_pylist()))
+    part, nodes = rows.column("part")[0].as_py(), Nodes(*(np.concatenate(x) for x in zip(*cols)))
+    for _ in range(2, SPLIT):
+        nodes = parents(nodes)
+    two = _best(*slots(2, nodes.key), small_side(nodes.n0, nodes.n1), nodes.stop, nodes.n0 + nodes.n1)
+    one = parents(nodes)
+    return _packed([(0, part, len(two[0]), _pack(*(x.astype(k) for x, k in zip(two, SLOT_KINDS)))), (1, part, len(one.key), _pack(*vars(one).values()))])
 
 
 def _model(tree: list) -> Model:
-    """From the settled parts: the slot table, and at most 256 * 255 nodes of depth 1, which give the root's."""
-    size = 1 << SLOT_BITS
-    m = Model([], np.zeros(size, np.uint16), np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, bool))
-    ones = []
+    """From the settled parts: the named nodes, and at most 256 * 255 nodes of depth 1, which give the root's."""
+    m, ones, named = Model([], {}), [], []
     for kind, n, blob in tree:
         if kind:
             ones.append(_unpack(blob, n, *NODE_KINDS))
         else:
-            at, m_tag, m_side, m_stop, _ = _unpack(blob, n, *SLOT_KINDS)
-            m.tag[at], m.side[at], m.stop[at], m.used[at] = m_tag, m_side, m_stop, True
+            at, tag, side, stop, _ = _unpack(blob, n, *SLOT_KINDS)
+            named.append(((at.astype(np.int64) << 32) | tag, side, stop))
+    if named:
+        name, side, stop = (np.concatenate(x) for x in zip(*named))
+        by = np.argsort(name)
+        name, side, stop = name[by], side[by], stop[by]
+        for depth in range(2, DEPTH + 1):
+            x = slice(*np.searchsorted(name, [depth << 48, (depth + 1) << 48]))
+            m.deep[depth] = name[x] & ((1 << 48) - 1), side[x], stop[x]
     one = Nodes(*(np.concatenate(x) for x in zip(*ones))) if ones else Nodes(*(np.zeros(0, k) for k in NODE_KINDS))
     for nodes, width in ((parents(one), 256), (one, 65536)):
-        seen, side, stop = np.zeros(width, bool), np.zeros(width, np.float32), np.zeros(width)
+        seen, side, stop = np.zeros(width, bool), np.zeros(width), np.zeros(width)
         seen[nodes.key], side[nodes.key], stop[nodes.key] = True, small_side(nodes.n0, nodes.n1), nodes.stop
         m.top.append((seen, side, stop))
     return m
@@ -428,15 +452,30 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
                        F.coalesce(trained, F.lit(False)).alias("trained"), F.lit(0).cast("bigint").alias("size"))
     chars = scalar(docs.agg(F.sum(F.length("text"))), 0)
     parts = max(1, math.ceil(chars / 24 / WORD_RANGE))  # a distinct word of a chunk for every 24 characters or so
-    read = staged(_read(docs, parts), "ctw-read")
-    words = read.where("kind = 'words'").select("uid", "part", "n", "a", "b")
+    subtrees = max(SUBTREES, math.ceil(chars / PART_CHARS))
+    read = staged(_read(docs), "ctw-read")
+
+    def word_keys(texts: list[bytes], is_trained: np.ndarray) -> tuple[np.ndarray, ...]:
+        hashes, numbers, sizes = tokens(texts)
+        part = (hashes.astype(np.float64) / 2.0**64 * parts).astype(np.int64)
+        return part, hashes, np.bincount(numbers[np.repeat(is_trained, sizes)], minlength=len(hashes))
+
+    def all_strings(texts: list[bytes], is_trained: np.ndarray) -> tuple[np.ndarray, ...]:
+        return strings(texts, subtrees, is_trained)[1:]
+
+    def trained_strings(texts: list[bytes], is_trained: np.ndarray) -> tuple[np.ndarray, ...]:
+        texts = [t for t, x in zip(texts, is_trained) if x]
+        return all_strings(texts, np.ones(len(texts), bool))
+
+    words = _asked(read, word_keys)
     counted = staged(words.groupBy("part").applyInArrow(by_group(_count_words), "uid long, part int, n long, total long, counts binary"), "ctw-words")
     total = counted.where("uid = -1").agg(F.sum("total").alias("n"), F.sum("n").alias("v")).collect()[0]
     n_train, n_words = total["n"] or 0, total["v"] or 0
-    grown = staged(read.where("kind = 'grams'").select("part", "n", "a", "b").groupBy("part").applyInArrow(by_group(_grow), TREE), "ctw-tree")
-    settled = grown.groupBy("kind", "part").applyInArrow(by_group(_settle), TREE).select("kind", "n", "packed").toArrow()
+    grown = _asked(read, trained_strings).select("part", "n", "a", "b").groupBy("part").applyInArrow(by_group(_grow), TREE)
+    settled = grown.groupBy("part").applyInArrow(by_group(_settle), TREE).select("kind", "n", "packed").toArrow()
     model = _model(list(zip(*(settled.column(c).to_pylist() for c in settled.column_names))))
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = _asked(read, all_strings).groupBy("part").applyInArrow(by_group(lambda rows: _answer(rows, shared.value)), "uid long, part int, n long, counts binary")
     id_type = docs.schema["doc_id"].dataType
     schema = (StructType().add("doc_id", id_type).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long")
               .add("n_bytes", "long").add("base_score", "double").add("score", "double").add("bits_per_byte", "double"))
@@ -444,27 +483,30 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
         row = texts.slice(0, 1)
         sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
-        raw = pa.decompress(row.column("a")[0].as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
         ends = np.cumsum(sizes)
-        mine = [raw[e - s: e] for s, e in zip(sizes, ends)]
+        mine = _texts(row)
         hashes, numbers, n_tokens = tokens(mine)
-        order = np.argsort(answers.column("part").to_numpy())
-        got = [(answers.column("counts")[int(i)].as_py(), answers.column("n")[int(i)].as_py()) for i in order]
-        known = np.concatenate([_unzip(b, n, np.int64) for b, n in got])
+
+        def answer(kind: str) -> list[tuple[bytes, int]]:
+            got = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
+            return list(zip(got.column("counts").to_pylist(), got.column("n").to_pylist()))
+
+        known = np.concatenate([_unzip(b, n, np.int64) for b, n in answer("words")])
         if len(known) != len(hashes):
             raise ValueError("a chunk's words and their counts differ in number")
         each = np.log10((known + 1) / (n_train + n_words + 1))[numbers]
         start = np.cumsum(n_tokens) - n_tokens
-        keys = grams(mine)
-        codes, found = pd.factorize(keys)
-        bits = kept_log10(shared.value, name, found)[codes]
-        score = np.add.reduceat(bits, ends - sizes)
+        places, _, found, _ = strings(mine, subtrees, np.zeros(len(mine), bool))
+        each_byte = np.concatenate([_unzip(b, 8 * n, np.uint8).reshape(8, n).T.copy().view(np.int64)[:, 0] for b, n in answer("grams")])
+        if len(each_byte) != len(found):
+            raise ValueError("a chunk's byte strings and their scores differ in number")
+        score = np.add.reduceat(each_byte[places], ends - sizes) / -POINT
         return pa.table({
             "doc_id": row.column("ids").combine_chunks().flatten(), "trained": row.column("trained").combine_chunks().flatten(),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(np.add.reduceat((known > 0)[numbers].astype(np.int64), start)),
             "n_bytes": pa.array(sizes), "base_score": pa.array(np.add.reduceat(each, start)), "score": pa.array(score),
             "bits_per_byte": pa.array(-score / math.log10(2) / sizes)})
 
-    chunks = read.where("kind = 'texts'").select("uid", "ids", "sizes", "trained", "a")
-    asked = counted.where("uid >= 0").select("uid", "part", "n", "counts")
-    return chunks.groupBy("uid").cogroup(asked.groupBy("uid")).applyInArrow(by_group(finish), schema), n_train
+    asked = (counted.where("uid >= 0").select("uid", "part", "n", "counts", F.lit("words").alias("kind"))
+             .unionAll(scored.select("uid", "part", "n", "counts", F.lit("grams").alias("kind"))))
+    return read.groupBy("uid").cogroup(asked.groupBy("uid")).applyInArrow(by_group(finish), schema), n_train

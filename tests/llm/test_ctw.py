@@ -137,6 +137,25 @@ def test_large_counts():
         assert math.isclose(model.log10(ctw.grams([t])).sum(), brute.score(t), rel_tol=1e-5, abs_tol=1e-5)
 
 
+def test_all_nodes_kept():
+    """No node of a text with a million of them is lost."""
+    keys, n = np.unique(ctw.grams([random.Random(5).randbytes(40_000)]), return_counts=True)
+    model, nodes = _whole(keys, n), ctw.leaves(keys, n)
+    for depth in range(ctw.DEPTH, 1, -1):
+        seen, side, _ = model.look(depth, nodes.key)
+        assert seen.all() and (np.abs(side) > 0).all()
+        nodes = ctw.parents(nodes)
+
+
+def test_scores_are_exact(spark):
+    rows = [r for r in _docs(7) if r[0] != 103]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mine boolean, size int").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, F.col("mine"))[0].collect()}
+    model = Brute([_norm(t) for _, t, x, _ in rows if x], ctw.DEPTH)
+    for i, t, _, _ in rows:
+        assert math.isclose(got[i], model.score(_norm(t)), rel_tol=1e-7)
+
+
 def test_no_training_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got, n = ctw.score(df, F.lit(False))
