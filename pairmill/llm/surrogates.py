@@ -156,7 +156,9 @@ class Draw:
         return choices[self.below(len(choices))]
 
     def like(self, text: str) -> str:
-        """Letters and digits for letters and digits; anything else stays."""
+        """Letters and digits for letters and digits; anything else stays, but a text of nothing else becomes letters."""
+        if not any(c.isalpha() or c.isdecimal() and c.isascii() for c in text):
+            return self.letters(len(text))
         out = []
         for c in text:
             if c.isdecimal() and c.isascii():
@@ -169,24 +171,29 @@ class Draw:
                 out.append(c)
         return "".join(out)
 
+    def letters(self, n: int) -> str:
+        return "".join(self.of("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
 
 def surrogate(key: bytes, kind: str, entity: str, turn: int) -> str:
     """The surrogate entity, in the same normal form as the entity; never the entity itself."""
     while True:
-        s = _made(Draw(key, kind, entity, turn), kind, entity)
+        s = _made(Draw(key, kind, entity, turn), kind, entity, (turn & 0xFFFF) + (turn >> 16))
         if s != entity:
             return s
         turn += 1 << 16  # tries of the check stay below
 
 
-def _made(d: Draw, kind: str, entity: str) -> str:
+def _made(d: Draw, kind: str, entity: str, tries: int) -> str:
+    """Names, e-mails and secrets get longer with the tries, so that there are always enough of them."""
+    more = tries // 4
     if kind == "email":
         name, _, domain = entity.rpartition("@")
         labels = domain.split(".")
-        return f"{d.like(name)}@{'.'.join([d.like(x) for x in labels[:-1]] + labels[-1:])}"
+        return f"{d.like(name)}{d.letters(more)}@{'.'.join([d.like(x) for x in labels[:-1]] + labels[-1:])}"
     if kind == "ip":
         def octet(x: str) -> str:
-            low, high = {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(x)]
+            low, high = (0, 255) if more else {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(x)]
             return str(low + d.below(high - low + 1))
         return ".".join(octet(x) for x in entity.split("."))
     if kind == "card":
@@ -204,12 +211,12 @@ def _made(d: Draw, kind: str, entity: str) -> str:
         head = re.match(r"AKIA|ASIA|ghp_|sk-", entity)[0]
         return head + d.like(entity[len(head):])
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
-        return "".join(d.of("0123456789abcdef" if entity.lower() == entity else "0123456789ABCDEF") for _ in entity)
+        return "".join(d.of("0123456789abcdef" if entity.lower() == entity else "0123456789ABCDEF") for _ in range(len(entity) + more))
     if kind.startswith(("given-", "surname-")):
         starts, middles, ends, last = SYLLABLES[kind.rpartition("-")[2]]
-        name = d.of(starts) + "".join(d.of(middles) for _ in range(d.below(3)))
+        name = d.of(starts) + "".join(d.of(middles) for _ in range(d.below(3 + tries)))
         return name + d.of(last if kind.startswith("surname") else ends[kind.split("-")[1]])
-    return d.like(entity)
+    return d.like(entity) + (d.letters(more) if kind == "secret" else "")
 
 
 def written(kind: str, new: str, mention: str) -> str:

@@ -85,3 +85,22 @@ def test_query(spark):
         for x, y in zip(a, b):
             assert new.setdefault(x[2:], y[2:]) == y[2:] and y[2:] not in real
     assert len(set(new.values())) == len(new) > 20
+
+
+def test_names_never_run_out(spark):
+    names = [f"όνομα{i}" for i in range(6000)]
+    late = {pii.surrogate(b"k", "surname-greek", n, 6) for n in names}
+    assert len(late) > 4560  # all there are with two middle syllables
+    rows = pii.assign(spark.createDataFrame([("surname-greek", n) for n in names], "kind string, entity string"), b"k").collect()
+    assert len(rows) == len({r["surrogate"] for r in rows}) == 6000 and not {r["surrogate"] for r in rows} & set(names)
+
+
+def test_secrets_without_letters_or_digits():
+    for secret in ("********", "----", "٣٣٣٣"):
+        assert pii.Draw(b"k", "secret", secret, 0).like(secret) != secret
+        new, spans = pii.replace(f"password: {secret} end", b"k", {})
+        assert secret not in new and len(spans) == 1
+
+
+def test_short_secrets_get_longer_with_the_tries():
+    assert len({pii.surrogate(b"k", "secret", "a***", t) for t in range(200)}) > 26
