@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, surrogates, toxicity, wrappers
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, periodic_runs, surrogates, toxicity, wrappers
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,64 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return onebit_ann.search(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+#: unsigned crc32 of the UTF-8 bytes of ``{0}`` in SQL; ``crc_table`` holds the 256 remainders
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({0}))),
+  lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+@query("op12_periodic_runs", r"""
+WITH """ + CRC_TABLE + r""",
+d AS (SELECT doc_id, """ + CRC.format("CAST(doc_id AS VARCHAR)") + r""" AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w
+  FROM documents, crc_table),
+p AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+    CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) ELSE w END AS w FROM p),
+k AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT *, unnest(range(n - 4)) AS i FROM e WHERE n >= 5)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS o, i FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS n FROM island GROUP BY doc_id, q, o),
+run AS (SELECT doc_id, s, n, min(q) AS q FROM stretch WHERE n >= greatest(6, 4 * q) GROUP BY doc_id, s, n),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(n AS DOUBLE) / q DESC, s, q) = 1),
+all_runs AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM e) x
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM e LEFT JOIN all_runs USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(with_planted_runs(docs), exponent=4, shortest=6)
+    exact = lambda x: x["length"].cast("decimal(20,0)")
+    # the greater exponent first, by cross products; then the smaller start and period
+    better = lambda x, y: exact(x) * y["period"] > exact(y) * x["period"]
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+                       lambda top, x: F.when(top.isNull() | better(x, top), x).otherwise(top))
+    line = lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","),
+                              x["period"].cast("string"), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` in which a tenth of the texts (crc32 of the id divisible by ten) repeat one stretch of words up to their end."""
+    h = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    at = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    n, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    # guarded by n > 0, where the remainder is defined
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("_w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.concat(F.slice("_w", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return at.select("doc_id", F.when((F.col("_h") % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
