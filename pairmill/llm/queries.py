@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, periodic_runs, surrogates, toxicity, wrappers
-from .common import remainder, table
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, periodic_runs, spelling, surrogates, toxicity, wrappers
+from .common import ascii_lower, remainder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,7 +150,8 @@ CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(o
 
 @query("op12_periodic_runs", r"""
 WITH """ + CRC_TABLE + r""",
-d AS (SELECT doc_id, """ + CRC.format("CAST(doc_id AS VARCHAR)") + r""" AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w
+d AS (SELECT doc_id, """ + CRC.format("CAST(doc_id AS VARCHAR)") + r""" AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w
   FROM documents, crc_table),
 p AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM d),
 e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
@@ -199,3 +200,38 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     tail = F.flatten(F.array_repeat(F.slice("_w", a + 1, p), F.ceil((n - a) / p).cast("int")))
     text = F.array_join(F.concat(F.slice("_w", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
     return at.select("doc_id", F.when((F.col("_h") % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_spelling_variants", r"""
+WITH RECURSIVE """ + CRC_TABLE + r""",
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+k AS (SELECT CAST(doc_id AS VARCHAR) || ':' || run AS s, run, count(*) AS n FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, """ + CRC.format("s") + r""" AS h FROM k, crc_table),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(CAST(length(word) AS INT))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT near.word, count(*) AS n_near, first(near.near ORDER BY b.n DESC, near.near) AS top, max(b.n) AS top_n
+  FROM near JOIN words b ON b.word = near.near GROUP BY near.word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+follow(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT follow.word, formed.form FROM follow JOIN formed ON formed.word = follow.root WHERE form IS NOT NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN (SELECT follow.word, root FROM follow JOIN formed ON formed.word = root WHERE form IS NULL) USING (word)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text"), 7)
+    return spelling.group_variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2"), ratio=10)
+
+
+def damaged_words(docs: DataFrame, shortest: int) -> DataFrame:
+    """``word``: the letter runs of all texts, of which one in 31 (by the crc32 of id and run) loses a letter, if ``shortest`` letters are left."""
+    runs = F.regexp_extract_all(ascii_lower(text_of(docs)), F.lit(f"[a-z\u00C0-\u00FF]{{{shortest},}}"), F.lit(0))
+    found = docs.select("doc_id", F.explode(runs).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.call_function("substring", F.col("run"), at + 2))
+    words = found.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return words.where(F.length("word") >= shortest)
