@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, onebit_ann, periodic_runs, spelling, surrogates, toxicity, wrappers
+from . import chat, ctw, fm_index, jaccard_join, line_dedup, mixing, odd_sketch, onebit_ann, periodic_runs, spelling, surrogates, toxicity, wrappers
 from .common import ascii_lower, remainder, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,22 @@ def damaged_words(docs: DataFrame, shortest: int) -> DataFrame:
     cut = F.concat(F.substring("run", F.lit(1), at), F.call_function("substring", F.col("run"), at + 2))
     words = found.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
     return words.where(F.length("word") >= shortest)
+
+
+@query("op11_odd_sketch", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach(doc_id, other) AS (SELECT a, b FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other),
+least AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(w.doc_id, least.least), w.doc_id) AS component_id,
+  w.doc_id = coalesce(least(w.doc_id, least.least), w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+""")
+def op11_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = odd_sketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=(85, 100))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
