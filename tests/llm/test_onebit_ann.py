@@ -31,7 +31,7 @@ def recall(found, want):
     return np.mean([len({j for _, j in found.get(i, [])} & {j for _, j in w}) / len(w) for i, w in want.items()])
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "check_s"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_recall(spark, sf):
     path = f"/root/testdata/{sf}"
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()
