@@ -32,13 +32,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairmill.session import scalar
 
-from .common import LOWER_BYTES, by_group, map_arrow, staged
+from .common import LOWER_BYTES, by_group, map_arrow, release, staged
 
 #: A shingle of so many texts counts as frequent; the tasks know the most frequent ones, up to a bound (16 MB).
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
@@ -249,10 +250,9 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, bits: int) -> Freque
     return Frequent(shift, h[by], n[by])
 
 
-def _entries(docs: DataFrame, often: Frequent, k: int, t: tuple[int, int], ranges: int, bits: int) -> DataFrame:
+def _entries(docs: DataFrame, shared: Broadcast, k: int, t: tuple[int, int], ranges: int, bits: int) -> DataFrame:
     """One row for each text (``doc_id``, ``n``, ``sid``), one for each frequent prefix shingle (``key``,
     ``sid``), and the other prefix shingles packed by hash range (``part``, ``packed``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
     schema = (StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n", "integer").add("sid", "long").add("key", "long")
               .add("part", "integer").add("packed", "binary"))
 
@@ -537,7 +537,11 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ranges = max(1, math.ceil((chars or 0) / 6 / RANGE))
     bits = min(62, max(32, math.ceil(math.log2(chars + 2)) + 6))
     often = frequent_shingles(docs, k, ranges, bits)
-    entries = staged(_entries(docs, often, k, threshold, max(1, ranges // 2), bits + 6 if bits < 56 else 62), "jaccard-entries")
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    entries = staged(_entries(docs, shared, k, threshold, max(1, ranges // 2), bits + 6 if bits < 56 else 62), "jaccard-entries")
+    shared.unpersist()
+    del often, shared
+    release()
     rows = entries.where("part is null and key is null").select("doc_id", "n", "sid")
     classes = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first"))
     listed = entries.where("part is not null").select("part", "packed").groupBy("part").applyInPandas(by_group(_listed(threshold)), "key long, sid long")
