@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -9,8 +11,10 @@ from ..functions.tokens import default_stop_words
 from ..operators import clean as C
 from ..operators.joins import anti_join, negative_pairs, semi_join
 from ..operators.rank import latest_per_key
+from ..session import ensure_checkpoint_dir
 from ..sources import roles
 from ..sources.io import upsert
+from ..sources.keyed import read_keyed, upsert_keyed
 from . import oracle_roles as R
 from .catalog import register
 from .matching import top_candidates
@@ -99,6 +103,23 @@ def q_upsert_snapshot(spark, d):
     return out.select("id", "source", "parsed_date", "event_id", F.round("value", 6).alias("value"), "origin")
 
 
+@register("keyed_upsert", f"""
+SELECT id, source, parsed_date, event_id, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY parsed_date DESC, event_id DESC) rn FROM ({R.SNAPSHOTS}))
+WHERE rn = 1
+""")
+def q_keyed_upsert(spark, d):
+    """S10/X18/ST1: two crawl batches (a new one, then the backlog before it)
+    upserted one after the other into a bucketed table in the shared folder;
+    a late batch does not replace newer rows."""
+    s = roles.snapshots(spark, d)
+    keys, path = ["id", "source"], f"{ensure_checkpoint_dir(spark).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    for part in (s.filter(F.dayofmonth("ts") > 10), s.filter(F.coalesce(F.dayofmonth("ts") <= 10, F.lit(True)))):
+        new = latest_per_key(part.drop("ts"), keys, "parsed_date", tiebreak=["event_id"])
+        upsert_keyed(new, path, keys, "parsed_date", buckets=8)
+    return _snap_cols(read_keyed(spark, path))
+
+
 # ---------------------------------------------------------------- pairs (J12), anti/semi
 
 NEG_SQL = f"""

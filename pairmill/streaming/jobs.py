@@ -4,7 +4,7 @@ The reference runs scheduled batch jobs; here they are streaming queries
 over landed files with ``trigger(availableNow=True)`` for catch-up runs:
 
 * ST1 ``snapshot_upsert_stream`` — new snapshot files → newest row per key
-  inside the micro-batch (W1) → keyed upsert into a versioned table.
+  inside the micro-batch (W1) → keyed upsert that rewrites the buckets it touches.
 * ST2 ``fill_missing_vectors_stream`` — only rows whose (id, model) has no
   vector yet are encoded (pluggable ``mapInPandas`` encoder) and appended.
 * ST3 ``recent_activity_counts`` — watermarked daily window counts (the
@@ -27,43 +27,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.rank import latest_per_key
-from ..sources.io import path_exists, upsert
-
-
-def _versions(spark: SparkSession, table_dir: str) -> list[tuple[int, str]]:
-    """Committed version folders ``v=<number>-<run>-<epoch>`` of a table, oldest first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(path)
-             if st.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    return sorted((int(n[2:].split("-")[0]), n) for n in names)
-
-
-def _latest_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Newest committed version folder of a versioned table."""
-    found = _versions(spark, table_dir)
-    return f"{table_dir.rstrip('/')}/{found[-1][1]}" if found else None
+from ..sources.io import path_exists
+from ..sources.keyed import BUCKETS, expire, read_keyed, upsert_keyed
 
 
 def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    v = _latest_version(spark, table_dir)
-    return None if v is None else spark.read.parquet(v)
+    """The table that ``snapshot_upsert_stream`` keeps; None before its first commit."""
+    return read_keyed(spark, table_dir)
 
 
 def snapshot_upsert_stream(spark: SparkSession, source_dir: str, schema: StructType | str, table_dir: str,
                            keys: list[str], order_col: str, tiebreak: list[str], checkpoint_dir: str,
-                           max_files: int | None = None):
+                           max_files: int | None = None, buckets: int = BUCKETS, keep: int = 2):
     """ST1: landed snapshot files → upsert by ``keys`` into ``table_dir``.
 
-    Each micro-batch is reduced to its newest row per key, merged with the
-    current version (a held row that is newer by ``order_col`` stays) and
-    written as a version of its own; readers pick the newest complete one.
-    Versions are numbered on from the last one and carry the run (by its
-    checkpoint folder) and epoch, so a replayed epoch is known and a new
-    checkpoint folder hides nothing."""
+    Each micro-batch is reduced to its newest row per key and upserted (a held
+    row that is newer by ``order_col`` stays); only the buckets of its keys are
+    written (``sources.keyed``), and the ``keep`` newest commits stay readable.
+    A commit carries the run (by its checkpoint folder) and epoch, so a
+    replayed epoch changes nothing and a new checkpoint folder hides nothing."""
     stream = spark.readStream.schema(schema)
     if max_files is not None:
         stream = stream.option("maxFilesPerTrigger", max_files)
@@ -71,14 +53,9 @@ def snapshot_upsert_stream(spark: SparkSession, source_dir: str, schema: StructT
     run = hashlib.md5(checkpoint_dir.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        found = _versions(spark, table_dir)
-        if any(name.endswith(f"-{run}-{epoch}") for _, name in found):
-            return  # this epoch was committed before a restart
         new = latest_per_key(batch, keys, order_col, ties="one", tiebreak=tiebreak)
-        top = table_dir.rstrip("/")
-        merged = upsert(spark.read.parquet(f"{top}/{found[-1][1]}"), new, keys, order_col) if found else new
-        number = found[-1][0] + 1 if found else 0
-        merged.write.mode("overwrite").parquet(f"{top}/v={number}-{run}-{epoch}")
+        upsert_keyed(new, table_dir, keys, order_col, buckets, run, epoch)
+        expire(spark, table_dir, keep)
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
