@@ -161,24 +161,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float]) -> DataFra
     return x.agg(*out)
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count/unique/mean/std/min/max per column (strings: count, unique,
-    top and its frequency)."""
-    parts = []
-    for c in cols:
-        parts.append(df.agg(F.lit(c).alias("column"), F.count(c).alias("count"),
-                            F.countDistinct(c).alias("unique"),
-                            F.avg(F.col(c).try_cast("double")).alias("mean"),
-                            F.stddev(F.col(c).try_cast("double")).alias("std"),
-                            F.min(F.col(c).cast("string")).alias("min"), F.max(F.col(c).cast("string")).alias("max")))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    tops = [df.groupBy(F.col(c).cast("string").alias("top")).agg(F.count(F.lit(1)).alias("freq"))
-              .filter(F.col("top").isNotNull())
-              .agg(F.max(F.struct("freq", F.col("top"))).alias("__t"))
-              .select(F.lit(c).alias("column"), "__t.top", "__t.freq") for c in cols]
-    return out.join(reduce(lambda a, b: a.unionByName(b), tops), "column", "left")
-
-
 def interaction_density(pairs: DataFrame, left: str, right: str, value: str) -> DataFrame:
     """Interaction matrix shape, stored and non-zero entries, density.
     ``pairs`` has one row per (left, right); rows with a null id do not count."""

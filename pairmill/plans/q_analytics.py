@@ -10,6 +10,7 @@ from ..operators import agg as A
 from ..operators import rank as RK
 from ..operators.agg import join_one_row
 from ..operators.metrics import error_table, group_ndcg, group_prf, top_errors
+from ..operators.quantiles import profile
 from ..sources import roles
 from ..sources.io import to_json_docs
 from . import oracle_roles as R
@@ -213,6 +214,44 @@ def q_service_stats(spark, d):
                     "negative_predictions")
 
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+TAILS = QUARTILES | {"p95": 0.95, "p99": 0.99}
+
+
+def _profile_sql(source, cols, probs):
+    return f"WITH s AS ({source}) " + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 6) AS std,
+       round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max,
+       {", ".join(f'round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS {n}' for n, p in probs.items())}
+FROM s""" for c in cols)
+
+
+def _profile(df, cols, probs):
+    out = profile(df, cols, probs)
+    return out.select("column", "count", F.round("mean", 4).alias("mean"), *[r6(c).alias(c) for c in out.columns[3:]])
+
+
+INPUTS = ["processing_time", "resume_age", "resume_salary", "resume_experience_months", "resume_last_company_experience_months", "k"]
+
+
+@register("service_inputs", _profile_sql(
+    f"SELECT * FROM ({R.SERVICE_LOG}) LEFT JOIN ({R.NUMERIC_PROFILE}) USING (resume_id)", INPUTS, TAILS))
+def q_service_inputs(spark, d):
+    """Latency and all five inputs of the logged requests (means, medians,
+    tails), every column in the same few passes (``operators.quantiles``)."""
+    log = roles.service_log(spark, d).join(roles.numeric_profile(spark, d), "resume_id", "left")
+    return _profile(log, INPUTS, TAILS)
+
+
+DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("describe_quartiles", _profile_sql("SELECT * FROM lineitem", DESCRIBED, QUARTILES))
+def q_describe_quartiles(spark, d):
+    """Count, mean, std, min, quartiles and max of all numeric columns of a table at once."""
+    return _profile(roles.table(spark, d, "lineitem"), DESCRIBED, QUARTILES)
+
+
 BATCH_SUMMARY_SQL = f"""
 WITH s AS ({R.DECISIONS})
 SELECT count(*) AS total, count(*) FILTER (WHERE score >= 0.5) AS recommended,
