@@ -82,19 +82,24 @@ def schema_paths(kind: DataType, at: str = "") -> list[str]:
 
 
 def json_paths(record: Column) -> Column:
-    """Field paths of a JSON object, lists told by their first item."""
+    """Field paths of a JSON object; a list has the paths of all its items."""
+    keys = lambda c: F.call_function("json_object_keys", c)
+    none = F.array().cast("array<string>")
+
     def of(key: Column) -> Column:
-        at = F.concat(F.lit("$['"), key, F.lit("']"))
-        inner = lambda c: F.call_function("json_object_keys", c)
-        item = F.call_function("get_json_object", record, F.concat(at, F.lit("[0]")))
-        value = F.call_function("get_json_object", record, at)
-        deeper = F.call_function("get_json_object", record, F.concat(at, F.lit("[0][0]")))
-        listed = value.startswith("[")
-        return (F.when(listed & inner(item).isNotNull(),
-                       F.transform(inner(item), lambda s: F.concat(key, F.lit("[]."), s)))
-                .when(listed & item.startswith("[") & deeper.isNotNull(), F.array(F.concat(key, F.lit("[][]"))))
-                .when(listed, F.array(F.concat(key, F.lit("[]"))))
-                .when(inner(value).isNotNull(), F.transform(inner(value), lambda s: F.concat(key, F.lit("."), s)))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
+
+        def listed(items: Column) -> Column:
+            inner = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(keys(x), none))))
+            lists = F.exists(items, lambda x: x.startswith("[") & F.get_json_object(x, "$[0]").isNotNull())
+            return (F.when(F.size(inner) > 0, F.transform(inner, lambda s: F.concat(key, F.lit("[]."), s)))
+                    .when(lists, F.array(F.concat(key, F.lit("[][]"))))
+                    .otherwise(F.array(F.concat(key, F.lit("[]")))))
+
+        # the array around a list's items makes them a variable, which is read once
+        items = F.array(F.coalesce(F.from_json(value, "array<string>"), none))
+        return (F.when(value.startswith("["), F.flatten(F.transform(items, listed)))
+                .when(keys(value).isNotNull(), F.transform(keys(value), lambda s: F.concat(key, F.lit("."), s)))
                 .otherwise(F.array(key)))
     return F.flatten(F.transform(F.call_function("json_object_keys", record), of))
 
@@ -209,6 +214,18 @@ def format_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
                       F.lit(layout.name).alias("layout"))
 
 
+def masked_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, unescaped: the spans in order, nothing between.
+
+    Spans count code points; four bytes each make a span's place known without
+    counting from the start.
+    """
+    def cut(wide: Column) -> Column:
+        piece = lambda s: F.decode(F.substring(wide, s["start"].cast("int") * 4 + 1, s["length"].cast("int") * 4), "UTF-32")
+        return F.array_join(F.transform(loss_spans, lambda s: unescape(piece(s))), "")
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-32")), cut), F.lit(0))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns (array of role and text) that a formatted text holds."""
     pieces = F.split(formatted, r"<\|end\|>\n", -1)

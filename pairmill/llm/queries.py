@@ -43,9 +43,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"),
                                  F.lit(trap))
     done = chat.format_rows(rows.unionAll(more))
-    back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
-    said = F.filter("turns", lambda x: x["role"] == "assistant")
-    loss = F.array_join(F.transform(said, lambda x: x["text"]), "")
+    back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"),
+                       chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    loss = F.col("loss")
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256)

@@ -26,7 +26,7 @@ from .common import free_names, map_arrow, staged
 
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas video audio select button".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas video audio select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -273,7 +273,7 @@ def rules(wrapper: list) -> dict:
                 c, k = walk(kid, (*path, kid[SIG]))
                 chars, linked = chars + c, linked + k
         tag, words = words_of(node[SIG])
-        if tag in ("ul", "ol", "menu", "div", "section", "table") and chars and linked > 0.8 * chars and node[REPEATED] + sum(k[REPEATED] for k in node[KIDS]):
+        if tag in ("ul", "ol", "menu", "div", "section", "table") and not path_is_main(path) and chars and linked > 0.8 * chars and node[REPEATED] + sum(k[REPEATED] for k in node[KIDS]):
             lists.append(path)
             return 0, 0
         weight[path] = weight.get(path, 0) + chars

@@ -64,3 +64,21 @@ def test_trap_conversation(spark):
     r = chat.format_rows(df).withColumn("turns", chat.read_back(F.col("formatted"))).collect()[0]
     assert [t["text"] for t in r["turns"]] == [text, text]
     assert hashlib.sha256(text.encode()).hexdigest() == "3d0825bf0549d0d4eddca4d7871eb0e987454b7529404976a4941bda56af0f77"
+
+
+def test_fields_of_all_list_items(spark):
+    """A later item may hold what the first lacks."""
+    records = ['{"messages": [{"role": "system"}, {"role": "user", "content": "hi"}]}', '{"messages": [{"role": "user", "content": "hi"}]}',
+               '{"messages": []}', '{"messages": null}']
+    got = chat.canonical_from_json(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")).orderBy("i").collect()
+    assert got[0]["layout"] is not None and got[0]["layout"] == got[1]["layout"]
+    assert [tuple(t) for t in got[0]["turns"]] == [("system", ""), ("user", "hi")]
+    assert got[2]["turns"] is None and got[3]["turns"] is None
+
+
+def test_text_under_the_mask(spark):
+    texts = ["a<|end|>\n", "\\<|😀 é", "", "\\", "tail"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, "user", "x")]
+    done = chat.format_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["conv_id"]: r["loss"] for r in done.select("conv_id", chat.masked_text(done["formatted"], done["loss_spans"]).alias("loss")).collect()}
+    assert got == {1: texts[1] + texts[3], 2: ""}

@@ -114,3 +114,18 @@ def test_run_edges(spark, tmp_path):
     assert {r["text"] for r in got if r["doc_id"] == 1} == {"a b  f"}
     spark.createDataFrame([], schema).write.parquet(f"{path}/none/documents.parquet")
     assert cp.run(spark, f"{path}/none").count() == 0
+
+
+def test_extra_columns_of_any_name(spark, tmp_path):
+    """Columns called like those that the operators make pass through every filtering stage unchanged."""
+    names = ["items", "spans", "n_words", "n_lines", "n_dropped", "score", "rejected", "component_id", "stays", "words", "key", "h", "_carried_0", "copies"]
+    rows = [(i, f"text number {i} a b c d e f g", "en", "s", 0, *[f"{n}-{i}" for n in names]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == COLS + names, name
+    got = docs.collect()
+    assert len(got) == 5 and all(r[n] == f"{n}-{r['doc_id']}" for r in got for n in names)
+    assert all("c d e" not in r["text"] for r in got)

@@ -77,3 +77,11 @@ def test_wrapper_is_union_free_and_whole(spark):
     assert len(r) == 1
     top = json.loads(r[0]["wrapper"])[w.KIDS][0]
     assert top[w.PAGES] == 39 and top[w.KIDS][0][w.KIDS][0][w.CHARS] == sum(range(1, 40))
+
+
+def test_link_lists_and_formulas_in_the_article_stay(spark):
+    page = ("<body><nav><ul><li><a>Home</a><li><a>News</a></ul></nav><ul><li><a>Top one</a><li><a>Top two</a><li><a>Top three</a></ul>"
+            "<article><h1>Head</h1><p>First</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>"
+            "<p>Energy <math><mi>E</mi></math> of <button>this</button></p></article></body>")
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in w.extract(df).collect()} == {"Head\nFirst\nOne\nTwo\nThree\nEnergy E of this"}
