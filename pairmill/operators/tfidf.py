@@ -22,25 +22,51 @@ from ..functions.tokens import stop_words_remover, tokenize, uni_bi_grams
 from ..session import checkpoint, scalar
 
 
-def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None) -> DataFrame:
-    """(id, term) rows, one per occurrence."""
+def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize) -> DataFrame:
+    """(id, term) rows, one per occurrence.  ``tokenizer`` turns a text column
+    into an array of words without spaces (UDF2)."""
     # tokens are materialised as a column first: a lambda that referenced the
     # token expression would re-run the tokenizer once per array element
-    raw = df.select(id_col, tokenize(F.col(text)).alias("__raw"))
+    raw = df.select(id_col, tokenizer(F.col(text)).alias("__raw"))
     toks = stop_words_remover("__raw", "__tok", stop_words).transform(raw)
     g = uni_bi_grams(F.col("__tok")) if ngram_max >= 2 else F.col("__tok")
     return toks.select(id_col, F.explode(g).alias("term"))
 
 
-def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None) -> tuple[DataFrame, int]:
+def lemma_counts(counts: DataFrame, lemmas: DataFrame, key: str = "__h") -> DataFrame:
+    """Counts of terms → counts of their lemmas (forms without one stay).
+
+    Each word of a uni- or bigram stands for its lemma, so the sequence of
+    lemmas has the grams that translating the grams of forms gives.  That needs
+    one translation a distinct term of the corpus, not one a token; only terms
+    that change are joined to the counts.  ``lemmas`` (form, lemma) may repeat
+    a form (its smallest lemma counts) and hold nulls (left out).
+    """
+    lem = (lemmas.filter(F.col("form").isNotNull() & F.col("lemma").isNotNull() & (F.col("form") != F.col("lemma")))
+                 .groupBy("form").agg(F.min("lemma").alias("lemma")))
+    words = F.split("term", " ")
+    terms = counts.select("term").distinct().select("term", words[0].alias("__a"), F.get(words, 1).alias("__b"))
+    of = lambda c: lem.select(F.col("form").alias(c), F.col("lemma").alias(c + "l"))
+    changed = (terms.join(of("__a"), "__a", "left").join(of("__b"), "__b", "left")
+                    .filter(F.col("__al").isNotNull() | F.col("__bl").isNotNull())
+                    .select("term", F.concat_ws(" ", F.coalesce("__al", "__a"), F.coalesce("__bl", "__b")).alias("__lemma")))
+    return (counts.join(changed, "term", "left").groupBy(key, F.coalesce("__lemma", "term").alias("term"))
+                  .agg(F.sum("c").alias("c")))
+
+
+def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
+                lemmas: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Term counts per *distinct* text, keyed by the text's md5 (``__h``),
     and the number of distinct texts.  Tokenising once per distinct text is
     the reference's dedupe-encode-map step (T8); the result is checkpointed
-    because fit and transform both read it."""
+    because fit and transform both read it.  With ``lemmas`` (form, lemma), what
+    is left after the stop words counts as its lemma (T3)."""
     docs = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct() \
              .withColumn("__h", F.md5("__text"))
-    counts = checkpoint(grams(docs, "__h", "__text", ngram_max, stop_words)
+    counts = checkpoint(grams(docs, "__h", "__text", ngram_max, stop_words, tokenizer)
                         .groupBy("__h", "term").agg(F.count(F.lit(1)).alias("c")))
+    if lemmas is not None:
+        counts = checkpoint(lemma_counts(counts, lemmas))
     n = int(scalar(docs.agg(F.count(F.lit(1)))) or 0)
     return counts, n
 
@@ -69,26 +95,27 @@ def map_to_rows(df: DataFrame, id_col: str, text: str, text_weights: DataFrame)
 
 
 def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_features: int | None = None,
-        ngram_max: int = 2, stop_words=None) -> DataFrame:
+        ngram_max: int = 2, stop_words=None, tokenizer=tokenize, lemmas: DataFrame | None = None) -> DataFrame:
     """Vocabulary (term, df, tf, idf) fitted on the *distinct* texts of
     ``corpus`` (the reference's service/retrain corpus rule, X9)."""
-    counts, n = text_counts(corpus, text, ngram_max, stop_words)
+    counts, n = text_counts(corpus, text, ngram_max, stop_words, tokenizer, lemmas)
     return fit_counts(counts, n, min_df, max_df, max_features)
 
 
 def transform(df: DataFrame, id_col: str, text: str, vocab: DataFrame, ngram_max: int = 2,
-              stop_words=None) -> DataFrame:
+              stop_words=None, tokenizer=tokenize, lemmas: DataFrame | None = None) -> DataFrame:
     """L2-normalised TF-IDF weights (id, term, w) of every row of ``df``
     (each distinct text is tokenised once)."""
-    counts, _ = text_counts(df, text, ngram_max, stop_words)
+    counts, _ = text_counts(df, text, ngram_max, stop_words, tokenizer, lemmas)
     return map_to_rows(df, id_col, text, weigh_counts(counts, vocab))
 
 
 def fit_transform(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_df: float = 0.8,
-                  max_features: int | None = None, ngram_max: int = 2, stop_words=None):
+                  max_features: int | None = None, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
+                  lemmas: DataFrame | None = None):
     """Fit on the distinct texts of ``df`` and weigh its rows with one
     tokenisation pass.  Returns (vocab, (id, term, w))."""
-    counts, n = text_counts(df, text, ngram_max, stop_words)
+    counts, n = text_counts(df, text, ngram_max, stop_words, tokenizer, lemmas)
     vocab = fit_counts(counts, n, min_df, max_df, max_features)
     return vocab, map_to_rows(df, id_col, text, weigh_counts(counts, vocab))
 

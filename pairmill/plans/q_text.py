@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import MAX_LEN, MIN_LEN, TOKEN_PATTERN, default_stop_words, tokenize
+from ..functions.tokens import MAX_LEN, MIN_LEN, TOKEN_PATTERN, default_stop_words, suffix_lemmas, tokenize
 from ..functions.vectors import cosine, dot, pair_vector
 from ..operators import tfidf
 from ..operators.topk import topk_sparse_dot
@@ -92,6 +92,38 @@ def q_tfidf_terms_top(spark, d):
     return v.select("term", "df", "tf", r6("idf").alias("idf"))
 
 
+#: endings that make forms of one word, where the shorter form stands in the corpus too
+SUFFIXES = ("s", "es", "ed", "ing", "er", "en", "e", "ion", "ment")
+_CUTS = "[" + ", ".join(f"'{x}'" for x in SUFFIXES) + "]"
+
+
+@register("tfidf_lemmas", f"""
+WITH fd AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+fn AS (SELECT count(*) AS n FROM fd),
+raw AS (SELECT md5(text) AS doc, {_tokens_sql('text')} AS t FROM fd),
+words AS (SELECT doc, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM raw),
+forms AS (SELECT DISTINCT form FROM words),
+cuts AS (SELECT form, form[:length(form) - length(x)] AS stem
+         FROM (SELECT form, unnest({_CUTS}) AS x FROM forms) WHERE ends_with(form, x) AND length(form) - length(x) >= 4),
+lem AS (SELECT form, arg_min(stem, length(stem)) AS lemma FROM cuts WHERE stem IN (SELECT form FROM forms) GROUP BY form),
+ft AS (SELECT doc, list(coalesce(lemma, form) ORDER BY i) AS t FROM words LEFT JOIN lem USING (form) GROUP BY doc),
+fg AS (SELECT doc, unnest({_grams_sql('t')}) AS term FROM ft),
+ftf AS (SELECT doc, term, count(*) AS c FROM fg GROUP BY ALL),
+fdf AS (SELECT term, count(*) AS df, sum(c) AS tf FROM ftf GROUP BY term)
+SELECT term, df, CAST(tf AS BIGINT) AS tf, round(ln((1.0 + n) / (df + 1)) + 1, 6) AS idf
+FROM fdf, fn WHERE df >= 2 AND df <= 0.8 * n
+""")
+def q_tfidf_lemmas(spark, d):
+    """T3 in T4: the vocabulary over lemmas.  The lemma table is made from the
+    corpus (forms that differ by an ending); any other (form, lemma) table fits."""
+    docs = roles.table(spark, d, "documents")
+    forms = docs.select(F.explode(tokenize(F.col("text"))).alias("form")).distinct()
+    stop = spark.createDataFrame([(w,) for w in default_stop_words()], "form string")
+    lemmas = suffix_lemmas(forms.join(stop, "form", "left_anti"), SUFFIXES)
+    v = tfidf.fit(docs, "text", lemmas=lemmas)
+    return v.select("term", "df", "tf", r6("idf").alias("idf"))
+
+
 _CONV_ROWS = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text FROM conversations"
 
 
