@@ -118,12 +118,16 @@ def add_missing_columns(df: DataFrame, defaults: dict, order: list[str]) -> Data
     return out.select(*order)
 
 
+def tag_reasons(df: DataFrame, rules: dict, out: str = "reasons") -> DataFrame:
+    """Every row with the array of rules it breaks, in one projection;
+    ``rules`` = {reason: Column that is true when the row is valid} (null: broken)."""
+    return df.withColumn(out, F.array_compact(F.array(
+        *[F.when(~F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()])))
+
+
 def validate(df: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
-    """``rules`` = {reason: Column that is true when the row is valid}.
-    Returns (valid rows, rejected rows + ``reasons`` array)."""
-    reasons = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()]),
-                       lambda x: x.isNotNull())
-    tagged = df.withColumn("reasons", reasons)
+    """(valid rows, rejected rows + ``reasons`` array) by the rules of ``tag_reasons``."""
+    tagged = tag_reasons(df, rules)
     return (tagged.filter(F.size("reasons") == 0).drop("reasons"), tagged.filter(F.size("reasons") > 0))
 
 

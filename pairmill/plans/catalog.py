@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_analytics, q_text, q_models, q_extra, q_models2, q_retrieval, q_pages  # noqa: F401
+    from . import q_core, q_analytics, q_text, q_models, q_extra, q_models2, q_retrieval, q_pages, q_features  # noqa: F401
