@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import MAX_LEN, MIN_LEN, TOKEN_PATTERN, default_stop_words, suffix_lemmas, tokenize
 from ..functions.vectors import cosine, dot, pair_vector
 from ..operators import tfidf
+from ..operators.pair_grid import dot_rows, pair_numbers
 from ..operators.topk import topk_sparse_dot
 from ..sources import pages, roles
 from ..session import scalar
@@ -194,10 +196,8 @@ FROM tp LEFT JOIN e a ON a.vec_id = tp.v LEFT JOIN e b ON b.vec_id = tp.r
 def q_embedding_pair_sim(spark, d):
     """Embedding similarity of each trade pair, 0.0 when a side
     has no vector."""
-    from ..operators.joins import double_lookup
     e = roles.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("k"), "embedding")
-    tp = roles.trade_pairs(spark, d)
-    out = double_lookup(tp, e, e, "vacancy_id", "resume_id", dot, "sim")
+    out = pair_numbers(roles.trade_pairs(spark, d), e, e, "vacancy_id", "resume_id", {"sim": (dot_rows, dot)}, 0.0, roles.trade_sizes(spark, d))
     return out.select("vacancy_id", "resume_id", r6("sim").alias("sim"))
 
 
@@ -234,16 +234,19 @@ FROM tp JOIN e a ON a.vec_id = tp.v JOIN e b ON b.vec_id = tp.r
 def q_pair_vector_features(spark, d):
     """V7: [v, r, |v−r|, v·r] per pair with both vectors; reports its size,
     the L1 part and the dot product."""
-    e = roles.table(spark, d, "embeddings")
-    tp = roles.trade_pairs(spark, d)
-    a = e.select(F.col("vec_id").cast("string").alias("vacancy_id"), F.col("embedding").alias("va"))
-    b = e.select(F.col("vec_id").cast("string").alias("resume_id"), F.col("embedding").alias("vb"))
-    j = tp.join(a, "vacancy_id").join(b, "resume_id")
-    feats = pair_vector(F.col("va"), F.col("vb"))
-    n = F.size(F.col("va"))
-    return j.select("vacancy_id", "resume_id", F.size(feats).alias("n_dims"),
-                    r6(F.aggregate(F.slice(feats, 2 * n + 1, n), F.lit(0.0), lambda acc, x: acc + x)).alias("l1_diff"),
-                    r6(dot(F.col("va"), F.col("vb"))).alias("dot"))
+    e = roles.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("k"), "embedding")
+
+    def features(v, r):
+        return np.concatenate([v, r, np.abs(v - r), v * r], axis=1)
+
+    def l1(v, r):
+        feats, n = pair_vector(v, r), F.size(v)
+        return F.aggregate(F.slice(feats, 2 * n + 1, n), F.lit(0.0), lambda acc, x: acc + x)
+
+    numbers = {"n_dims": (lambda v, r: np.full(len(v), 4.0 * v.shape[1]), lambda v, r: F.size(pair_vector(v, r)).cast("double")),
+               "l1_diff": (lambda v, r: features(v, r)[:, 2 * v.shape[1]: 3 * v.shape[1]].sum(1), l1), "dot": (dot_rows, dot)}
+    j = pair_numbers(roles.trade_pairs(spark, d), e, e, "vacancy_id", "resume_id", numbers, sizes=roles.trade_sizes(spark, d))
+    return j.select("vacancy_id", "resume_id", F.col("n_dims").cast("int").alias("n_dims"), r6("l1_diff").alias("l1_diff"), r6("dot").alias("dot"))
 
 
 # ---------------------------------------------------------------- pages
