@@ -33,42 +33,66 @@ def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=
     return toks.select(id_col, F.explode(g).alias("term"))
 
 
+def gram_counts(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize) -> DataFrame:
+    """(id, term, c): how often each term stands in each text.  ``id_col`` is
+    distinct, so a text's terms are sorted and counted in its own row: no shuffle."""
+    raw = df.select(id_col, tokenizer(F.col(text)).alias("__raw"))
+    toks = stop_words_remover("__raw", "__tok", stop_words).transform(raw).filter(F.size("__tok") > 0)
+    g = uni_bi_grams(F.col("__tok")) if ngram_max >= 2 else F.col("__tok")
+    s = toks.select(id_col, F.array_sort(g).alias("__s")).withColumn("__n", F.size("__s"))
+    at = lambda i: F.get("__s", i)
+    starts = F.filter(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    s = s.withColumn("__a", starts).withColumn("__z", F.concat(F.slice("__a", 2, F.size("__a")), F.array("__n")))
+    runs = s.select(id_col, "__s", F.explode(F.arrays_zip("__a", "__z")).alias("__x"))
+    return runs.select(id_col, F.get("__s", F.col("__x.__a")).alias("term"), (F.col("__x.__z") - F.col("__x.__a")).cast("long").alias("c"))
+
+
 def lemma_counts(counts: DataFrame, lemmas: DataFrame, key: str = "__h") -> DataFrame:
     """Counts of terms → counts of their lemmas (forms without one stay).
 
     Each word of a uni- or bigram stands for its lemma, so the sequence of
     lemmas has the grams that translating the grams of forms gives.  That needs
-    one translation a distinct term of the corpus, not one a token; only terms
-    that change are joined to the counts.  ``lemmas`` (form, lemma) may repeat
-    a form (its smallest lemma counts) and hold nulls (left out).
+    one translation a distinct term of the corpus, not one a token; only counts
+    of terms that change, or that others change to, are summed again.
+    ``lemmas`` (form, lemma) may repeat a form (its smallest lemma counts) and
+    hold nulls (left out).
     """
     lem = (lemmas.filter(F.col("form").isNotNull() & F.col("lemma").isNotNull() & (F.col("form") != F.col("lemma")))
                  .groupBy("form").agg(F.min("lemma").alias("lemma")))
     words = F.split("term", " ")
     terms = counts.select("term").distinct().select("term", words[0].alias("__a"), F.get(words, 1).alias("__b"))
     of = lambda c: lem.select(F.col("form").alias(c), F.col("lemma").alias(c + "l"))
-    changed = (terms.join(of("__a"), "__a", "left").join(of("__b"), "__b", "left")
-                    .filter(F.col("__al").isNotNull() | F.col("__bl").isNotNull())
-                    .select("term", F.concat_ws(" ", F.coalesce("__al", "__a"), F.coalesce("__bl", "__b")).alias("__lemma")))
-    return (counts.join(changed, "term", "left").groupBy(key, F.coalesce("__lemma", "term").alias("term"))
-                  .agg(F.sum("c").alias("c")))
+    changed = checkpoint(terms.join(of("__a"), "__a", "left").join(of("__b"), "__b", "left")
+                         .filter(F.col("__al").isNotNull() | F.col("__bl").isNotNull())
+                         .select("term", F.concat_ws(" ", F.coalesce("__al", "__a"), F.coalesce("__bl", "__b")).alias("__lemma")))
+    targets = changed.select(F.col("__lemma").alias("term")).distinct().join(changed, "term", "left_anti")
+    table = changed.unionByName(targets.select("term", F.col("term").alias("__lemma")))
+    tagged = counts.join(table, "term", "left")
+    moved = tagged.filter(F.col("__lemma").isNotNull()).groupBy(key, "__lemma").agg(F.sum("c").alias("c"))
+    return (tagged.filter(F.col("__lemma").isNull()).select(key, "term", "c")
+            .unionByName(moved.select(key, F.col("__lemma").alias("term"), "c")))
+
+
+#: bytes of texts whose terms one task counts
+TASK_TEXT = 32 << 20
 
 
 def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
-                lemmas: DataFrame | None = None) -> tuple[DataFrame, int]:
+                lemmas: DataFrame | None = None, keep: bool = True) -> tuple[DataFrame, int]:
     """Term counts per *distinct* text, keyed by the text's md5 (``__h``),
     and the number of distinct texts.  Tokenising once per distinct text is
-    the reference's dedupe-encode-map step (T8); the result is checkpointed
-    because fit and transform both read it.  With ``lemmas`` (form, lemma), what
-    is left after the stop words counts as its lemma (T3)."""
+    the reference's dedupe-encode-map step (T8).  ``keep`` checkpoints the
+    counts for callers that read them several times; they are several times
+    the texts, so where disk counts they are made again.  With ``lemmas``
+    (form, lemma), what is left after the stop words counts as its lemma (T3)."""
     docs = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct() \
              .withColumn("__h", F.md5("__text"))
-    counts = checkpoint(grams(docs, "__h", "__text", ngram_max, stop_words, tokenizer)
-                        .groupBy("__h", "term").agg(F.count(F.lit(1)).alias("c")))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    tasks = max(int(size) // TASK_TEXT + 1, df.sparkSession.sparkContext.defaultParallelism)
+    counts = gram_counts(docs.repartition(tasks, "__h"), "__h", "__text", ngram_max, stop_words, tokenizer)
     if lemmas is not None:
-        counts = checkpoint(lemma_counts(counts, lemmas))
-    n = int(scalar(docs.agg(F.count(F.lit(1)))) or 0)
-    return counts, n
+        counts = lemma_counts(counts, lemmas)
+    return (checkpoint(counts) if keep else counts), int(n)
 
 
 def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
@@ -81,10 +105,13 @@ def fit_counts(counts: DataFrame, n: int, min_df: int = 2, max_df: float = 0.8,
     return kept.withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1)
 
 
-def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h") -> DataFrame:
-    """L2-normalised TF-IDF (key, term, w)."""
+def weigh_counts(counts: DataFrame, vocab: DataFrame, key: str = "__h", only: DataFrame | None = None) -> DataFrame:
+    """L2-normalised TF-IDF (key, term, w); of the terms of ``only`` (term), if
+    given, with norms over all terms."""
     x = counts.join(vocab.select("term", "idf"), "term").withColumn("x", F.col("c") * F.col("idf"))
     norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__norm"))
+    if only is not None:
+        x = x.join(only.select("term").distinct(), "term", "left_semi")
     return x.join(norm, key).select(key, "term", (F.col("x") / F.col("__norm")).alias("w"))
 
 
@@ -98,7 +125,7 @@ def fit(corpus: DataFrame, text: str, min_df: int = 2, max_df: float = 0.8, max_
         ngram_max: int = 2, stop_words=None, tokenizer=tokenize, lemmas: DataFrame | None = None) -> DataFrame:
     """Vocabulary (term, df, tf, idf) fitted on the *distinct* texts of
     ``corpus`` (the reference's service/retrain corpus rule, X9)."""
-    counts, n = text_counts(corpus, text, ngram_max, stop_words, tokenizer, lemmas)
+    counts, n = text_counts(corpus, text, ngram_max, stop_words, tokenizer, lemmas, keep=False)
     return fit_counts(counts, n, min_df, max_df, max_features)
 
 
@@ -112,12 +139,13 @@ def transform(df: DataFrame, id_col: str, text: str, vocab: DataFrame, ngram_max
 
 def fit_transform(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_df: float = 0.8,
                   max_features: int | None = None, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
-                  lemmas: DataFrame | None = None):
-    """Fit on the distinct texts of ``df`` and weigh its rows with one
-    tokenisation pass.  Returns (vocab, (id, term, w))."""
-    counts, n = text_counts(df, text, ngram_max, stop_words, tokenizer, lemmas)
+                  lemmas: DataFrame | None = None, only: DataFrame | None = None):
+    """Fit on the distinct texts of ``df`` and weigh its rows.  Returns (vocab,
+    (id, term, w)); with ``only`` (term) the weights of these terms alone,
+    without keeping all counts on disk."""
+    counts, n = text_counts(df, text, ngram_max, stop_words, tokenizer, lemmas, keep=only is None)
     vocab = fit_counts(counts, n, min_df, max_df, max_features)
-    return vocab, map_to_rows(df, id_col, text, weigh_counts(counts, vocab))
+    return vocab, map_to_rows(df, id_col, text, weigh_counts(counts, vocab, only=only))
 
 
 def pair_cosine(pairs: DataFrame, a_vecs: DataFrame, b_vecs: DataFrame, a_id: str, b_id: str,

@@ -172,7 +172,9 @@ def q_tfidf_query_scores(spark, d):
     top-10 by TF-IDF cosine via threshold rounds (no query × document
     product), always ten: zero scores by smallest id."""
     docs, bench = roles.table(spark, d, "documents"), roles.table(spark, d, "benchmark")
-    vocab, dw = tfidf.fit_transform(docs, "doc_id", "text")
+    # a document's other terms count in its norm alone
+    asked = tfidf.grams(bench, "item_id", "text").select("term")
+    vocab, dw = tfidf.fit_transform(docs, "doc_id", "text", only=asked)
     qw = tfidf.transform(bench, "item_id", "text", vocab)
     top = topk_sparse_dot(qw.select("item_id", F.col("term").alias("key"), F.col("w").alias("qw")),
                           dw.select("doc_id", F.col("term").alias("key"), F.col("w").alias("iw")),
