@@ -80,6 +80,8 @@ def q_resume_cards(spark: SparkSession, d: str) -> DataFrame:
     return one.select("href", "page", "position", "salary_text", "area", F.size("skills").alias("n_skills"), F.array_join("skills", "|").alias("skills"))
 
 
+#: pages that one task parses
+PAGES_A_TASK = 10_000
 #: levels of the profiles, by customer number
 LEVELS = ["Lead", "Senior", "Middle", "Junior"]
 
@@ -87,6 +89,8 @@ LEVELS = ["Lead", "Senior", "Middle", "Junior"]
 def profile_pages(spark: SparkSession, d: str) -> DataFrame:
     """A profile page a customer, with sections by heading and a JSON state in a script."""
     c = roles.table(spark, d, "customer")
+    # rows are short and pages long to parse: tasks by rows, not by the bytes of the file
+    c = c.repartition(max(spark.sparkContext.defaultParallelism, -(-c.count() // PAGES_A_TASK)), "c_custkey")
     n = roles.table(spark, d, "nation").select("n_nationkey", "n_name")
     j = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left")
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % len(values) + 1).cast("int"))
