@@ -77,3 +77,22 @@ def test_profile_pages_are_dealt_by_number(spark, tmp_path, monkeypatch):
     pages = q_pages.profile_pages(spark, str(tmp_path))
     assert pages.select(F.spark_partition_id().alias("p")).distinct().count() >= 15
     assert pages.count() == 200
+
+
+def test_float_vectors_stay_floats(spark, monkeypatch):
+    from pairmill.operators import inner_product
+    kinds = []
+    blocked = inner_product._blocked
+    monkeypatch.setattr(inner_product, "_blocked", lambda rows: kinds.append(rows.schema["vec"].dataType.elementType.simpleString()) or blocked(rows))
+    rows = [(i, [((i * 5 + j * 7) % 13 - 6) / 3 for j in range(4)]) for i in range(30)]
+    f, d = (spark.createDataFrame(rows, f"id long, embedding array<{t}>") for t in ("float", "double"))
+    got = inner_product.inner_product_topk(
+        f.withColumnRenamed("id", "qid"), f.withColumnRenamed("id", "iid"), 3).collect()
+    exact = dict(f.select("id", F.col("embedding").cast("array<double>")).collect())
+    for q in range(30):
+        score = {i: round(sum(a * b for a, b in zip(exact[q], exact[i])), 9) for i in range(30)}
+        want = sorted(score, key=lambda i: (-score[i], i))[:3]
+        assert [r.iid for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == want
+    assert kinds == ["float", "float"]
+    inner_product.inner_product_topk(d.withColumnRenamed("id", "qid"), d.withColumnRenamed("id", "iid"), 3).collect()
+    assert kinds[2:] == ["double", "double"]
