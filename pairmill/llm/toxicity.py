@@ -4,31 +4,42 @@ A word's embedding is the sum of hashed rows for the word and its first 3 to 6
 bytes; a run of more than 24 bytes, as in scripts without spaces, is read as
 pieces of it, one after the other.  Filters of several widths run over a text's
 words, each is pooled by its maximum over the whole text, and a logistic layer
-makes the score.  It is trained in numpy on a bounded sample of labelled rows;
-a part of the sample sets the score's scale and a threshold for each language.
+makes the score.  It learns from every labelled row: each task moves its own
+copy of the model over its rows, and the copies are averaged by parameter,
+several times in a pass.  A fifth of the rows sets the score's scale and a
+threshold for each language instead.
 Scoring is a map over the documents: the filters' products are made once for
 each distinct word of a batch, so a text costs lookups and sums.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release
+from .common import by_group, map_arrow, staged
 from .fm_index import words_of
 
-#: The training sample: rows with label 1 and with label 0 at most, and bytes of a row's text at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT = 1600, 3200, 40_000
+#: Rows of a task at least, where there are as many; averagings in a pass over all rows at most; rows of a file.
+SHARD, SLICES, FILE_ROWS = 4000, 4, 1000
+#: Passes over all rows: as many as make ``STEPS`` rows, but so many at least and at most.
+STEPS, PASSES = 24_000, (2, 6)
 PREFIXES, WORD_WIDTH = (3, 4, 5, 6), 24
 ROWS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 8
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.3, 7
+BATCH, RATE, DECAY, SEED = 32, 0.3, 6, 7
+#: Parameters travel as rows of an embedding row and its sum of squared gradients, so many embedding rows in a block.
+COLUMNS, BLOCK = DIM + 1, 1 << 12
+PARAMETERS = "block int, keys binary, values binary"
+#: Steps of a margin, and the largest, by which rows are counted for the scale and the thresholds.
+GRID, FAR = 512, 64
 #: Rows of fewer training texts stay as they are, and this share of the words is hidden at each step.
 MIN_TEXTS, HIDDEN = 3, 0.4
 PAD = max(WIDTHS) - 1
@@ -132,58 +143,76 @@ def blank(rng: np.random.Generator) -> Model:
                  [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.uniform(0.2, 0.6, FILTERS * len(WIDTHS)).astype(np.float32), -1.0)
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Model:
-    """Adagrad on the logistic loss, classes weighted alike; only pooled places get a gradient."""
-    rng = np.random.default_rng(seed)
-    m = blank(rng)
-    sums = {"rows": np.full((ROWS, 1), 1e-6, np.float32), "out": 1e-6, "offset": 1e-6,
-            "filters": [np.full_like(w, 1e-6) for w in m.filters], "biases": [np.full_like(b, 1e-6) for b in m.biases]}
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    made = []  # numbers only, half as wide: they stay on the driver as long as it trains
-    for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
-        words, ids, starts = encode([texts[i] for i in part])
-        made.append(((features(words) if len(words) else np.zeros((0, 5), np.int64)).astype(np.int32), ids.astype(np.int32), starts, part))
-    texts_of = np.zeros(ROWS, np.int64)
-    for feats, ids, starts, _ in made:
-        for a, e in zip(starts, np.append(starts[1:], len(ids))):
-            texts_of[np.unique(feats[ids[a:e - PAD]])] += 1
-    fixed = texts_of < MIN_TEXTS
-    fixed[0] = True
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch)
-        for k in rng.permutation(len(made)):
-            feats, ids, starts, part = made[k]
-            embedded = m.rows[feats].sum(1)
-            ids = np.where((rng.random(len(ids)) < HIDDEN) & (ids >= 0), len(feats), ids)
-            top, where = m.pooled(embedded, ids, starts, places=True)
-            gap = ((sigmoid(top @ m.out + m.offset) - labels[part]) * weight[part] / len(part)).astype(np.float32)
-            d_top = gap[:, None] * m.out * (top > 0)
-            d_out, d_offset = gap @ top, gap.sum()
-            d_words = np.zeros_like(embedded)
-            for i, (width, w) in enumerate(zip(WIDTHS, m.filters)):
-                d = d_top[:, i * FILTERS: (i + 1) * FILTERS]
-                d_filter = np.zeros_like(w)
-                for j in range(width):
-                    word = ids[np.minimum(where[i] + j, len(ids) - 1)]
-                    there = (word >= 0) & (word < len(feats)) & (d != 0)
-                    t, f = np.nonzero(there)
-                    at, dz = word[t, f], d[t, f]
-                    np.add.at(d_filter[j].T, f, embedded[at] * dz[:, None])
-                    np.add.at(d_words, at, w[j].T[f] * dz[:, None])
-                _step(m.filters[i], d_filter, sums["filters"][i], rate / 4)
-                _step(m.biases[i], d.sum(0), sums["biases"][i], rate / 20)
-            moved = np.flatnonzero(d_words.any(1))
-            touched, back = np.unique(feats[moved], return_inverse=True)
-            d_rows = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(d_rows, back.ravel(), np.repeat(d_words[moved], feats.shape[1], 0))
-            d_rows[fixed[touched]] = 0
-            sums["rows"][touched] += (d_rows**2).mean(1, keepdims=True)
-            m.rows[touched] -= rate * d_rows / np.sqrt(sums["rows"][touched])
-            sums["out"] += d_out**2
-            m.out = np.maximum(m.out - rate / 4 * d_out / np.sqrt(sums["out"]), 0.01).astype(np.float32)
-            sums["offset"] += d_offset**2
-            m.offset -= float(rate / 4 * d_offset / np.sqrt(sums["offset"]))
-    return m
+class Learner:
+    """A model in training: Adagrad on the logistic loss; only pooled places get a gradient."""
+
+    def __init__(self, model: Model, fixed: np.ndarray):
+        self.model, self.fixed = model, fixed
+        self.offset = np.array([model.offset])
+        self.row_sums = np.full((ROWS, 1), 1e-6, np.float32)
+        self.sums = [np.full(x.shape, 1e-6, np.float32) for x in self._values()]
+        self.touched = np.zeros(ROWS, bool)
+
+    def _values(self) -> list[np.ndarray]:
+        return [*self.model.filters, *self.model.biases, self.model.out, self.offset]
+
+    def parameters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and values: the touched embedding rows, and all the rest under negative keys."""
+        flat = np.concatenate([np.ravel(x) for x in [*self._values(), *self.sums]]).astype(np.float32)
+        rest = np.pad(flat, (0, -len(flat) % COLUMNS)).reshape(-1, COLUMNS)
+        rows = np.flatnonzero(self.touched)
+        return (np.concatenate([rows, -1 - np.arange(len(rest))]).astype(np.int32),
+                np.concatenate([np.concatenate([self.model.rows[rows], self.row_sums[rows]], 1), rest]))
+
+    def take(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Set the given parameters."""
+        row = keys >= 0
+        self.model.rows[keys[row]], self.row_sums[keys[row]] = values[row, :DIM], values[row, DIM:]
+        flat = values[~row][np.argsort(-keys[~row])].ravel()
+        for x in [*self._values(), *self.sums]:
+            x[...] = flat[:x.size].reshape(x.shape)
+            flat = flat[x.size:]
+        self.model.offset = float(self.offset[0])
+
+    def step(self, texts: list[str | None], labels: np.ndarray, weight: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        m = self.model
+        words, ids, starts = encode(texts)
+        if not len(words):
+            feats = np.zeros((0, len(PREFIXES) + 1), np.int64)
+        else:
+            feats = features(words)
+        embedded = m.rows[feats].sum(1)
+        ids = np.where((rng.random(len(ids)) < HIDDEN) & (ids >= 0), len(feats), ids)
+        top, where = m.pooled(embedded, ids, starts, places=True)
+        gap = ((sigmoid(top @ m.out + self.offset[0]) - labels) * weight / len(texts)).astype(np.float32)
+        d_top = gap[:, None] * m.out * (top > 0)
+        d_words = np.zeros_like(embedded)
+        n = len(WIDTHS)
+        for i, (width, w) in enumerate(zip(WIDTHS, m.filters)):
+            d = d_top[:, i * FILTERS: (i + 1) * FILTERS]
+            d_filter = np.zeros_like(w)
+            for j in range(width):
+                word = ids[np.minimum(where[i] + j, len(ids) - 1)]
+                there = (word >= 0) & (word < len(feats)) & (d != 0)
+                t, f = np.nonzero(there)
+                at, dz = word[t, f], d[t, f]
+                np.add.at(d_filter[j].T, f, embedded[at] * dz[:, None])
+                np.add.at(d_words, at, w[j].T[f] * dz[:, None])
+            _step(m.filters[i], d_filter, self.sums[i], rate / 4)
+            _step(m.biases[i], d.sum(0), self.sums[n + i], rate / 20)
+        moved = np.flatnonzero(d_words.any(1))
+        touched, back = np.unique(feats[moved], return_inverse=True)
+        d_rows = np.zeros((len(touched), DIM), np.float32)
+        np.add.at(d_rows, back.ravel(), np.repeat(d_words[moved], feats.shape[1], 0))
+        free = ~self.fixed[touched]
+        touched, d_rows = touched[free], d_rows[free]
+        self.touched[touched] = True
+        self.row_sums[touched] += (d_rows**2).mean(1, keepdims=True)
+        m.rows[touched] -= rate * d_rows / np.sqrt(self.row_sums[touched])
+        _step(m.out, gap @ top, self.sums[2 * n], rate / 4)
+        np.maximum(m.out, 0.01, out=m.out)
+        _step(self.offset, gap.sum(keepdims=True), self.sums[2 * n + 1], rate / 4)
+        m.offset = float(self.offset[0])
 
 
 def _step(value: np.ndarray, gradient: np.ndarray, total: np.ndarray, rate: float) -> None:
@@ -216,80 +245,171 @@ def best_threshold(score: np.ndarray, labels: np.ndarray, weight: np.ndarray, de
     return float(np.clip((s[k] + low) / 2, 0.05, 0.95))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], share: float, seed: int = SEED) -> Model:
-    """Train on four fifths of the sample; scale and thresholds come from the rest.
+def constant(share: float) -> Model:
+    """The model of labels that are all alike: every score is ``share``."""
+    m = blank(np.random.default_rng(SEED))
+    m.rows[:] = 0
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    m.offset, m.out = 0.0, np.zeros_like(m.out)
+    m.scale = (0.0, float(np.log(p / (1 - p))))
+    return m
 
-    ``share``: the share of label 1 among all labelled rows, which the sample
-    does not have.  Without both labels every score is ``share``.
-    """
-    labels = np.asarray(labels, np.float64)
-    if not (labels == 1).any() or not (labels == 0).any():
-        m = blank(np.random.default_rng(seed))
-        m.rows[:] = 0
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        m.offset, m.out = 0.0, np.zeros_like(m.out)
-        m.scale = (0.0, float(np.log(p / (1 - p))))
-        return m
-    rest = np.arange(len(texts)) % 5 == 0
-    if not all((labels[rest] == y).any() and (labels[~rest] == y).any() for y in (0, 1)):
-        rest = np.ones(len(texts), bool)  # too few rows to part
-        learn = rest
-    else:
-        learn = ~rest
-    m = train([t for t, x in zip(texts, learn) if x], labels[learn], seed)
-    margin = m.margin([t for t, x in zip(texts, rest) if x])
-    y = labels[rest]
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    m.scale = fit_scale(margin, y, weight)
-    score = sigmoid(m.scale[0] * margin + m.scale[1])
-    m.threshold = best_threshold(score, y, weight, 0.5)
-    lang = np.array([x or "" for x, r in zip(langs, rest) if r])
-    for x in np.unique(lang):
+
+def _blocks(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Keys and their rows of floats, a row for each block of keys that there are any of."""
+    block = keys // BLOCK
+    by = np.argsort(block, kind="stable")
+    names, starts = np.unique(block[by], return_index=True)
+    parts = np.split(by, starts[1:]) if len(names) else []
+    return pa.RecordBatch.from_arrays([
+        pa.array(names, pa.int32()), pa.array([keys[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+        pa.array([values[p].astype(np.float32).tobytes() for p in parts], pa.binary())], ["block", "keys", "values"])
+
+
+def _sums(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of such rows, the sums of their floats, and how often each key is there."""
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int32)
+    values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.float32).reshape(-1, width)
+    found, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(found), width))
+    np.add.at(sums, at, values)
+    return found, sums, times
+
+
+def rare_rows(rows: DataFrame) -> np.ndarray:
+    """The embedding rows that fewer than ``MIN_TEXTS`` of all the texts name, and row 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ROWS, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                words, ids, starts = encode(b.column(0).slice(lo, 200).to_pylist())
+                if not len(words):
+                    continue
+                feats = features(words)
+                for a, e in zip(starts, np.append(starts[1:], len(ids))):
+                    n[np.unique(feats[np.unique(ids[a:e - PAD])])] += 1
+        yield _blocks(np.flatnonzero(n), n[n > 0].astype(np.float32)[:, None])
+
+    def often(table: pa.Table) -> pa.Table:
+        keys, sums, _ = _sums(table, 1)
+        keys = keys[sums[:, 0] >= MIN_TEXTS]
+        return pa.Table.from_batches([_blocks(keys, np.ones((len(keys), 1), np.float32))])
+    found = map_arrow(rows.select("_body"), run, PARAMETERS).groupBy("block").applyInArrow(by_group(often), PARAMETERS).toArrow()
+    fixed = np.ones(ROWS, bool)
+    fixed[_sums(found, 1)[0]] = False
+    fixed[0] = True
+    return fixed
+
+
+def _moved(rows: DataFrame, learner: Learner, weight: tuple[float, float], rate: float, turn: int) -> pa.Table:
+    """Parameters after a turn over ``rows``: each task moves a copy of the model, and a parameter is the mean of the copies that touched it."""
+    shared = rows.sparkSession.sparkContext.broadcast(learner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, rng = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if mine is None:
+                mine = copy.deepcopy(shared.value)
+                rng = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()])
+            y = b.column(0).to_numpy().astype(np.float64)
+            w = np.where(y == 1, weight[1], weight[0])
+            for part in np.array_split(np.arange(b.num_rows), max(1, b.num_rows // BATCH)):
+                mine.step(b.column(1).slice(int(part[0]), len(part)).to_pylist(), y[part], w[part], rate, rng)
+        if mine is not None:
+            yield _blocks(*mine.parameters())
+
+    def mean(table: pa.Table) -> pa.Table:
+        keys, sums, times = _sums(table, COLUMNS)
+        return pa.Table.from_batches([_blocks(keys, sums / times[:, None])])
+    moved = map_arrow(rows.select("_y", "_body"), run, PARAMETERS)
+    out = moved.groupBy("block").applyInArrow(by_group(mean), PARAMETERS).toArrow()  # ROWS embedding rows and a few more at most
+    shared.destroy()
+    return out
+
+
+def train(rows: DataFrame, counts: tuple[int, int], slices: int) -> Model:
+    """A model of all ``rows`` (``_slice``, ``_at``, ``_id``, ``_y``, ``_body``), of which so many have label 0 and 1; classes are weighted alike."""
+    n = sum(counts)
+    learner = Learner(blank(np.random.default_rng(SEED)), rare_rows(rows))
+    weight = (0.5 * n / max(1, counts[0]), 0.5 * n / max(1, counts[1]))
+    turns = min(max(-(-STEPS // n), PASSES[0]), PASSES[1]) * slices
+    for turn in range(turns):
+        # in an order that the ids alone give
+        part = rows.where(F.col("_slice") == turn % slices).coalesce(-(-n // (slices * SHARD))).sortWithinPartitions("_at", "_id")
+        moved = _moved(part, learner, weight, RATE / (1 + DECAY * turn / turns), turn)
+        if moved.num_rows:
+            learner.take(*_sums(moved, COLUMNS)[:2])
+    return learner.model
+
+
+def calibrate(model: Model, rows: DataFrame, share: float) -> None:
+    """Set scale and thresholds by all ``rows`` (``_y``, ``_body``, ``_lang``), counted by label, language and margin in steps of 1 / ``GRID``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                at = np.rint(np.clip(shared.value.margin(part.column(2).to_pylist()), -FAR, FAR) * GRID).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at)], ["_y", "_lang", "at"])
+    found = map_arrow(rows.select("_y", "_lang", "_body"), run, "_y int, _lang string, at int")
+    by_lang = found.groupBy("_y", F.coalesce("_lang", F.lit("")).alias("_lang"), "at").agg(F.count("*").alias("n")).toArrow().to_pandas()
+    by_lang = by_lang.sort_values(["at", "_y", "_lang"])
+    y, n, lang = by_lang["_y"].to_numpy().astype(np.float64), by_lang["n"].to_numpy(), by_lang["_lang"].to_numpy()
+    margin = by_lang["at"].to_numpy() / GRID
+    ones = (n * y).sum() / n.sum()
+    weight = n * np.where(y == 1, share / ones, (1 - share) / (1 - ones))
+    model.scale = fit_scale(margin, y, weight)
+    score = sigmoid(model.scale[0] * margin + model.scale[1])
+    model.threshold = best_threshold(score, y, weight, 0.5)
+    for x in np.unique(lang.astype(str)):
         mine = lang == x
-        if (y[mine] == 1).sum() >= 10 and (y[mine] == 0).sum() >= 10:
-            m.thresholds[str(x)] = best_threshold(score[mine], y[mine], weight[mine], m.threshold)
-    return m
+        if n[mine & (y == 1)].sum() >= 10 and n[mine & (y == 0)].sum() >= 10:
+            model.thresholds[str(x)] = best_threshold(score[mine], y[mine], weight[mine], model.threshold)
+    shared.destroy()
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", lang_col: str = "lang", sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN),
-          max_text: int = SAMPLE_TEXT) -> Model:
-    """Fit a model on a bounded sample of the labelled documents.
+          label_col: str = "toxic", lang_col: str = "lang") -> Model:
+    """Fit a model on all labelled documents, whole texts.
 
     ``allowed``: a function of the id column that tells which rows may be
-    learned from.  The sample is the first rows by a hash of the id, at most
-    ``sample`` of label 1 and of label 0, of documents of at most ``max_text``
-    bytes.  Rows without an id, a text or a label 0 or 1, and ids with both
-    labels, are not learned from; of a repeated id one row is.
+    learned from.  Four fifths of the rows, by a hash of the id, train the
+    model; the others set scale and thresholds; if a part lacks a label, all
+    rows do both.  Rows without an id, a text or a label 0 or 1, and ids with
+    both labels, are not learned from; of a repeated id one row is.  Without
+    both labels every score is the share of label 1 among all labelled rows.
     """
     y = F.col(label_col)
     one = (labels.where(F.col(id_col).isNotNull() & y.isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
            .agg(F.min(y).alias("_y"), F.max(y).alias("_top")).where("_y = _top").select("_id", F.col("_y").cast("int").alias("_y")))
     if allowed is not None:
         one = one.where(allowed(F.col("_id")))
-    short = (docs.where(F.octet_length(text_col) <= max_text)
-             .select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.lit(1).alias("_there")))
-    known = one.join(short.groupBy("_id").agg(F.min("_text").alias("_text")), "_id")
+    given = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    if allowed is not None:
+        given = given.where(allowed(F.col(id_col)))
+    texts = given.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"))
+    known = one.join(texts.groupBy("_id").agg(F.min("_text").alias("_text")), "_id")
+    known = staged(known.withColumn("_rest", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(5)) == 0), "toxicity-known")
     counts = {r["_y"]: r["n"] for r in one.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = [known.where(F.col("_y") == k).orderBy(*order).limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
-    picked = chosen[0].unionAll(chosen[1]).collect()  # at most sum(sample) rows of ids
-    spark = docs.sparkSession
-    if not picked:
-        return fit([], np.zeros(0), [], 0.0)
-    ids = spark.createDataFrame([tuple(r) for r in picked], known.schema)
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    there = {(r["_rest"], r["_y"]): r["n"] for r in known.groupBy("_rest", "_y").agg(F.count("*").alias("n")).collect()}
+    both = [there.get((False, k), 0) + there.get((True, k), 0) for k in (0, 1)]
+    if not all(both):
+        return constant(share)
+    parted = len(there) == 4
+    taught = (there[False, 0], there[False, 1]) if parted else (both[0], both[1])
+    slices = min(SLICES, -(-sum(taught) // SHARD))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), lang.alias("_lang"),
-                        F.xxhash64(text_col).alias("_text"))
-            .join(F.broadcast(ids), ["_id", "_text"]).dropDuplicates(["_id"])
-            .select("_y", "_body", "_lang", F.xxhash64("_id", F.lit(3)).alias("_at"), "_id").toPandas()
-            .sort_values(["_at", "_id"]))
-    total = sum(counts.values())
-    texts, y, langs = rows["_body"].tolist(), rows["_y"].to_numpy(), rows["_lang"].tolist()
-    del rows
-    model = fit(texts, y, langs, counts.get(1, 0) / max(1, total))
-    del texts
-    release()  # the driver goes on beside its JVM
+    rows = (given.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_body"), lang.alias("_lang"))
+            .join(known, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+            .withColumn("_slice", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(slices)).cast("int"))
+            .select("_slice", "_rest", F.xxhash64("_id", F.lit(7)).alias("_at"), "_id", "_y", "_body", "_lang"))
+    rows = staged(rows, "toxicity-rows", by=["_slice", "_rest"], file_rows=FILE_ROWS)
+    model = train(rows.where("not _rest") if parted else rows, taught, slices)
+    calibrate(model, rows.where("_rest") if parted else rows, share)
     return model
 
 

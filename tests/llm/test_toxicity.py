@@ -88,3 +88,36 @@ def test_whole_runs_are_read():
     mark = tox.features(words)
     first, second = (mark[[i for i in ids[s:e] if i >= 0]] for s, e in ((0, starts[1]), (starts[1], starts[2])))
     assert (first[:-1] == second[:-1]).all() and (first[-1] != second[-1]).any()
+
+
+def test_every_labelled_row_is_read(spark, monkeypatch):
+    """More rows than any sample held, and texts of any length: each trains the model or sets its thresholds."""
+    rows = [(i, "word " * (10_000 if i == 5 else 1) + str(i), "en", i % 2) for i in range(10_000)]
+    docs, labels = _frames(spark, rows)
+    read = []
+    monkeypatch.setattr(tox, "train", lambda part, counts, slices: read.extend(r[0] for r in part.select("_body").collect()) or tox.constant(0.5))
+    monkeypatch.setattr(tox, "calibrate", lambda model, part, share: read.extend(r[0] for r in part.select("_body").collect()))
+    tox.learn(docs, labels)
+    assert sorted(read) == sorted(t for _, t, _, _ in rows)
+
+
+def test_copies_are_averaged(spark, monkeypatch):
+    """Many tasks, several averagings in a pass: the mean of the copies knows what each saw."""
+    monkeypatch.setattr(tox, "SHARD", 100)
+    monkeypatch.setattr(tox, "FILE_ROWS", 20)
+    monkeypatch.setattr(tox, "STEPS", 1500)
+    rows = _texts(900, 5)
+    docs, labels = _frames(spark, rows)
+    model = tox.learn(docs, labels, allowed=lambda i: remainder(i, 4) != 2)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert np.mean((model.score([t for _, t, _, _ in held]) >= 0.3) == [bool(y) for _, _, _, y in held]) > 0.95
+
+
+def test_parameters_travel_whole():
+    a = tox.Learner(tox.blank(np.random.default_rng(1)), np.zeros(tox.ROWS, bool))
+    a.touched[[3, 4096, tox.ROWS - 1]] = True
+    a.model.offset, a.offset[0] = 2.5, 2.5
+    b = tox.Learner(tox.blank(np.random.default_rng(2)), np.zeros(tox.ROWS, bool))
+    b.take(*tox._sums(tox.pa.Table.from_batches([tox._blocks(*a.parameters())]), tox.COLUMNS)[:2])
+    assert np.array_equal(a.model.rows[a.touched], b.model.rows[a.touched]) and b.model.offset == 2.5
+    assert all(np.allclose(x, y) for x, y in zip([*a._values(), *a.sums], [*b._values(), *b.sums]))
