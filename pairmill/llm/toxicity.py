@@ -30,6 +30,10 @@ from .fm_index import words_of
 
 #: Rows of a task at least, where there are as many; averagings in a pass over all rows at most; rows of a file.
 SHARD, SLICES, FILE_ROWS = 4000, 4, 1000
+#: Copies of the model that one averaging sends at most (15 MB each); of more rows, tasks take more.
+COPIES = 64
+#: Bits of the bitmap of labelled texts for each of them, and in all at most (16 MB); bits of a row of it.
+BITS, BITS_MAX, BITS_ROW = 64, 1 << 27, 1 << 15
 #: Passes over all rows: as many as make ``STEPS`` rows, but so many at least and at most.
 STEPS, PASSES = 24_000, (2, 6)
 PREFIXES, WORD_WIDTH = (3, 4, 5, 6), 24
@@ -337,7 +341,7 @@ def train(rows: DataFrame, counts: tuple[int, int], slices: int) -> Model:
     turns = min(max(-(-STEPS // n), PASSES[0]), PASSES[1]) * slices
     for turn in range(turns):
         # in an order that the ids alone give
-        part = rows.where(F.col("_slice") == turn % slices).coalesce(-(-n // (slices * SHARD))).sortWithinPartitions("_at", "_id")
+        part = rows.where(F.col("_slice") == turn % slices).coalesce(min(-(-n // (slices * SHARD)), COPIES)).sortWithinPartitions("_at", "_id")
         moved = _moved(part, learner, weight, RATE / (1 + DECAY * turn / turns), turn)
         if moved.num_rows:
             learner.take(*_sums(moved, COLUMNS)[:2])
@@ -371,6 +375,21 @@ def calibrate(model: Model, rows: DataFrame, share: float) -> None:
     shared.destroy()
 
 
+def likely(rows: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The ``rows`` whose ``_text`` is one of the ``n`` in ``known``, and a few others, told by a bitmap of the hashes.
+
+    No row is sent anywhere for it, so unlabelled texts stay out of the join
+    that follows, which decides.
+    """
+    bits = min(BITS_MAX, max(BITS_ROW, 1 << (BITS * n).bit_length()))
+    at = F.pmod("_text", F.lit(bits))
+    place = [F.floor(at / BITS_ROW).cast("int").alias("_row"), (at % BITS_ROW).alias("_bit")]
+    bitmap = known.select(*place).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = rows.select("*", *place).join(F.broadcast(bitmap), "_row")
+    return marked.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(rows.columns)
+
+
 def learn(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", lang_col: str = "lang") -> Model:
     """Fit a model on all labelled documents, whole texts.
@@ -403,7 +422,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str = "doc_i
     taught = (there[False, 0], there[False, 1]) if parted else (both[0], both[1])
     slices = min(SLICES, -(-sum(taught) // SHARD))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = (given.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_body"), lang.alias("_lang"))
+    bodies = given.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_body"), lang.alias("_lang"))
+    rows = (likely(bodies, known, sum(both))
             .join(known, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
             .withColumn("_slice", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(slices)).cast("int"))
             .select("_slice", "_rest", F.xxhash64("_id", F.lit(7)).alias("_at"), "_id", "_y", "_body", "_lang"))

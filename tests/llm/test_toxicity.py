@@ -121,3 +121,26 @@ def test_parameters_travel_whole():
     b.take(*tox._sums(tox.pa.Table.from_batches([tox._blocks(*a.parameters())]), tox.COLUMNS)[:2])
     assert np.array_equal(a.model.rows[a.touched], b.model.rows[a.touched]) and b.model.offset == 2.5
     assert all(np.allclose(x, y) for x, y in zip([*a._values(), *a.sums], [*b._values(), *b.sums]))
+
+
+def test_unlabelled_texts_stay_out_of_the_join(spark, monkeypatch):
+    """All labelled texts come to the join and hardly any other, also with a bitmap that is too small for all."""
+    rows = spark.range(3000).select(F.col("id").alias("_id"), F.xxhash64("id").alias("_text"), F.col("id").cast("string").alias("_body"))
+    known = rows.where("_id % 3 = 0").select("_id", "_text")
+    ids = {r["_id"] for r in tox.likely(rows, known, 1000).collect()}
+    assert ids >= set(range(0, 3000, 3)) and len(ids) < 1100
+    monkeypatch.setattr(tox, "BITS_MAX", tox.BITS_ROW)
+    monkeypatch.setattr(tox, "BITS", 1)
+    assert {r["_id"] for r in tox.likely(rows, known, 1000).collect()} >= set(range(0, 3000, 3))
+    assert tox.likely(rows, known.limit(0), 0).count() == 0
+
+
+def test_copies_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SHARD", 10)
+    monkeypatch.setattr(tox, "FILE_ROWS", 10)
+    monkeypatch.setattr(tox, "COPIES", 3)
+    tasks, moved = [], tox._moved
+    monkeypatch.setattr(tox, "_moved", lambda part, *more: tasks.append(part.rdd.getNumPartitions()) or moved(part, *more))
+    monkeypatch.setattr(tox, "PASSES", (1, 1))
+    tox.learn(*_frames(spark, _texts(600, 3)))
+    assert tasks and max(tasks) == 3
