@@ -235,10 +235,12 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, bits: int) -> Freque
             hs.append(np.cumsum(_unzip(r.gaps, abs(r.n), kind).astype(np.uint64)) + np.uint64(r.first))
             ns.append(_unzip(r.counts, abs(r.n), np.uint16))
         h, n = np.concatenate(hs), np.concatenate(ns)
+        del hs, ns
         by = np.argsort(h)
         h, n = h[by], n[by]
-        cut = np.flatnonzero(np.diff(h, prepend=h[0] + np.uint64(1)))
-        total = np.add.reduceat(n.astype(np.int64), cut)
+        del by
+        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        total = np.add.reduceat(n, cut, dtype=np.int64)
         often = total >= FREQUENT
         return pd.DataFrame({"h": h[cut][often].astype(np.int64), "n": total[often]})
 
@@ -324,14 +326,18 @@ def _entries(docs: DataFrame, shared: Broadcast, k: int, t: tuple[int, int], ran
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(blob: bytes, of_shared=None) -> tuple[np.ndarray, ...]:
+    """Hashes of a packed batch in order; with ``of_shared``, a function of them that tells the wanted ones: these, their sets, lengths and positions."""
     n, m, *sizes = np.frombuffer(blob, np.int64, 7).tolist()
-    at, out = 56, []
-    for size, count, kind in zip(sizes, (n, n, n, m, m), (np.uint64, np.uint32, np.uint32, np.int64, np.uint32)):
-        out.append(_unzip(blob[at: at + size], count, kind))
-        at += size
-    gaps, of, pos, sids, lens = out
-    return np.cumsum(gaps), sids[of], lens[of], pos
+    ends = np.cumsum([56, *sizes]).tolist()
+    gaps, *rest = [(blob[a:b], count, kind) for a, b, count, kind in
+                   zip(ends, ends[1:], (n, n, n, m, m), (np.uint64, np.uint32, np.uint32, np.int64, np.uint32))]
+    h = np.cumsum(_unzip(*gaps))
+    if of_shared is None:
+        return (h,)
+    at = np.flatnonzero(of_shared(h))
+    of, pos, sids, lens = (_unzip(*x) for x in rest)
+    return h[at], sids[of[at]], lens[of[at]], pos[at]
 
 
 def _listed(t: tuple[int, int]):
@@ -342,11 +348,17 @@ def _listed(t: tuple[int, int]):
     too long, the rest of the list is skipped for it.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, sid, n, pos = (np.concatenate(c) for c in zip(*map(_unpack, rows["packed"])))
-        by = np.argsort(h)
-        same = h[by[1:]] == h[by[:-1]]
-        by = by[np.append(same, False) | np.append(False, same)]  # most shingles are in one set only
-        by = by[np.lexsort((sid[by], n[by], h[by]))]
+        # most shingles are in one set only: of those, only the hashes are ever held
+        every = np.concatenate([_unpack(p)[0] for p in rows["packed"]])
+        every.sort()
+        shared = every[1:][every[1:] == every[:-1]]
+        shared = shared[np.append(True, shared[1:] != shared[:-1])] if len(shared) else shared
+        del every
+
+        def of_shared(h: np.ndarray) -> np.ndarray:
+            return shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool)
+        h, sid, n, pos = (np.concatenate(c) for c in zip(*[_unpack(p, of_shared) for p in rows["packed"]]))
+        by = np.lexsort((sid, n, h))
         h, sid, n, pos = h[by], sid[by], n[by].astype(np.int64), pos[by].astype(np.int64)
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])

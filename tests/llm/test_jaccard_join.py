@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pairmill.llm import jaccard_join as jj
@@ -112,3 +114,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 50), (50, 75), (7, 7)]
     got = {r["node"]: r["root"] for r in jj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {100: 50, 75: 50}
+
+
+def _packed(h, pos, sid, n):
+    """A packed batch of entries as tasks hand them on: one set for each entry."""
+    by = np.argsort(h)
+    fields = [np.diff(h[by], prepend=np.uint64(0)), np.arange(len(h), dtype=np.uint32), pos[by].astype(np.uint32), sid[by], n[by].astype(np.uint32)]
+    zipped = [jj._zip(f) for f in fields]
+    return np.array([len(h), len(h), *map(len, zipped)], np.int64).tobytes() + b"".join(zipped)
+
+
+def test_lists_hold_only_shingles_of_several_sets():
+    """Entries of a hash range that are in one set only take little memory; those that sets share all come."""
+    r = np.random.default_rng(0)
+    size, blobs, shared = 50_000, [], r.integers(0, 1 << 40, 300).astype(np.uint64)
+    for b in range(8):
+        h = np.concatenate([r.integers(0, 1 << 40, size).astype(np.uint64), shared])
+        blobs.append(_packed(h, np.zeros(len(h)), np.arange(len(h)) + b * len(h), np.full(len(h), 20)))
+    rows = pd.DataFrame({"packed": blobs})
+    tracemalloc.start()
+    got = jj._listed((75, 100))(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(shared.astype(np.int64)) <= set(got["key"]) and (got["key"].value_counts()[shared.astype(np.int64)] == 8).all()
+    assert peak < 40 * 8 * size
+    alone = pd.DataFrame({"packed": [_packed(np.arange(5, dtype=np.uint64), np.zeros(5), np.arange(5), np.full(5, 20))]})
+    assert jj._listed((75, 100))(alone).empty
