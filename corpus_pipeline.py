@@ -13,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmill.llm import fm_index, jaccard_join, line_dedup, mixing, toxicity
-from pairmill.llm.common import staged, table
+from pairmill.llm.common import BATCH_CONF, bound_batches, staged, table
 
 #: The columns that operators know; any other is only carried along.
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Rows of an Arrow batch here: whole rows travel, and an executor that runs all stages keeps the heap of its largest batches
+BATCH_ROWS = 200
+
 
 def _carries(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage whose operator may use any column name: other columns of ``docs`` bear numbers until it is done."""
+    """A stage in short batches whose operator may use any column name: other columns of ``docs`` bear numbers until it is done."""
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         names = docs.columns
+        bound_batches(spark, BATCH_ROWS)
         return stage(spark, docs.toDF(*[c if c in KNOWN else f"_carried_{i}" for i, c in enumerate(names)]), sf_dir).toDF(*names)
     return run
 
@@ -84,7 +88,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     null or without words name nothing; an empty benchmark changes no text, an
     empty table stays empty.  Other columns are kept, whatever their names.
     """
-    found = fm_index.find_spans(docs, table(spark, sf_dir, "benchmark"))
+    # written in between: else each task keeps a worker for the search and one for the cut, and executors keep the idle ones
+    found = staged(fm_index.find_spans(docs, table(spark, sf_dir, "benchmark")), "pipeline-spans")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     return _counted(fm_index.remove_spans(found.where((F.size("spans") == 0) | (hit < F.col("n_words")))), docs.columns)
 
@@ -112,7 +117,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, rows = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_CONF)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(BATCH_CONF, rows)
     return STAGES[-1][1](spark, docs, sf_dir)

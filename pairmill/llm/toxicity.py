@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, map_arrow, staged
+from .common import by_group, map_arrow, regrouped, staged
 from .fm_index import words_of
 
 #: Rows of a task at least, where there are as many; averagings in a pass over all rows at most; rows of a file.
@@ -311,9 +311,7 @@ def _moved(rows: DataFrame, learner: Learner, weight: tuple[float, float], rate:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, rng = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in regrouped(batches):
             if mine is None:
                 mine = copy.deepcopy(shared.value)
                 rng = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()])

@@ -1,10 +1,12 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
 from pairmill.llm import fm_index, toxicity
+from pairmill.llm.common import BATCH_CONF, map_arrow
 
 SF = "/root/testdata/sf0.01"
 COLS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -129,3 +131,26 @@ def test_extra_columns_of_any_name(spark, tmp_path):
     got = docs.collect()
     assert len(got) == 5 and all(r[n] == f"{n}-{r['doc_id']}" for r in got for n in names)
     assert all("c d e" not in r["text"] for r in got)
+
+
+def test_batches_are_short(spark):
+    """A stage gets all rows in batches of a fifth of what the operators take, and the session's bound is back after a run."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n_chars": [b.num_rows]})
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        spark.conf.set(BATCH_CONF, "10000")
+        docs = spark.range(3050, numPartitions=1).toDF("n_chars")
+        got = [r[0] for r in cp._carries(lambda s, d, _: map_arrow(d, sizes, d.schema))(spark, docs, "").collect()]
+        assert sum(got) == 3050 and max(got) == 200
+        spark.conf.set(BATCH_CONF, "10000")
+        assert cp.run(spark, "/root/testdata/sf0.001").count() > 0 and spark.conf.get(BATCH_CONF) == "10000"
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def test_decontaminate_uses_one_worker_a_task(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = cp.decontaminate(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmill.llm import toxicity as tox
-from pairmill.llm.common import remainder
+from pairmill.llm.common import BATCH_CONF, remainder
 from pairmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -144,3 +144,24 @@ def test_copies_do_not_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(tox, "PASSES", (1, 1))
     tox.learn(*_frames(spark, _texts(600, 3)))
     assert tasks and max(tasks) == 3
+
+
+def test_model_is_the_same_however_rows_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(tox, "PASSES", (1, 1))
+    docs, labels = _frames(spark, _texts(1700, 4))
+    before, models = spark.conf.get(BATCH_CONF), []
+    try:
+        for rows in (1000, 170):
+            spark.conf.set(BATCH_CONF, str(rows))
+            models.append(tox.learn(docs, labels))
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+    a, b = models
+    assert np.array_equal(a.rows, b.rows) and a.scale == b.scale and a.thresholds == b.thresholds
+
+
+def test_regrouped_keeps_rows_and_order():
+    sent = [tox.pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 0), (0, 7), (7, 8), (8, 31), (31, 31), (31, 40))]
+    got = [b.column(0).to_pylist() for b in tox.regrouped(sent, 10)]
+    assert list(map(len, got)) == [10] * 4 and sum(got, []) == list(range(40))
+    assert [b.num_rows for b in tox.regrouped(sent[:3], 10)] == [8] and not list(tox.regrouped([], 10))
