@@ -15,6 +15,10 @@ counts × idf, L2 normalised per document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,15 @@ def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=
     return toks.select(id_col, F.explode(g).alias("term"))
 
 
-def gram_counts(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize) -> DataFrame:
+def gram_counts(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
+                lemmas: pa.Table | None = None) -> DataFrame:
     """(id, term, c): how often each term stands in each text.  ``id_col`` is
-    distinct, so a text's terms are sorted and counted in its own row: no shuffle."""
+    distinct, so a text's terms are sorted and counted in its own row: no shuffle.
+    Words are translated by ``lemmas`` (form, lemma) first, if given."""
     raw = df.select(id_col, tokenizer(F.col(text)).alias("__raw"))
     toks = stop_words_remover("__raw", "__tok", stop_words).transform(raw).filter(F.size("__tok") > 0)
+    if lemmas is not None:
+        toks = translate_words(toks.select(id_col, "__tok"), lemmas)
     g = uni_bi_grams(F.col("__tok")) if ngram_max >= 2 else F.col("__tok")
     s = toks.select(id_col, F.array_sort(g).alias("__s")).withColumn("__n", F.size("__s"))
     at = lambda i: F.get("__s", i)
@@ -47,8 +55,41 @@ def gram_counts(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_
     return runs.select(id_col, F.get("__s", F.col("__x.__a")).alias("term"), (F.col("__x.__z") - F.col("__x.__a")).cast("long").alias("c"))
 
 
+#: forms of a lemma table that every task gets whole (some 25 bytes each)
+LEMMA_FORMS = 2_000_000
+
+
+def single_lemmas(lemmas: DataFrame) -> DataFrame:
+    """(form, lemma): the smallest lemma of each form that changes."""
+    return (lemmas.filter(F.col("form").isNotNull() & F.col("lemma").isNotNull() & (F.col("form") != F.col("lemma")))
+                  .groupBy("form").agg(F.min("lemma").alias("lemma")))
+
+
+def translate_words(rows: DataFrame, lemmas: pa.Table) -> DataFrame:
+    """``rows`` (id, words) with the lemma of each word that has one; each batch
+    looks its distinct words up in the table, which tasks get as one broadcast."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, lemmas.schema) as w:
+        w.write_table(lemmas)
+    shared = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        form, lemma = (pa.chunked_array(table.column(c), pa.string()).combine_chunks() for c in ("form", "lemma"))
+        for b in batches:
+            ids, words = b.columns
+            found = words.flatten().cast(pa.string()).dictionary_encode()
+            to = pc.coalesce(lemma.take(pc.index_in(found.dictionary, value_set=form)), found.dictionary)
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0)).cast(pa.int32())
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, to.take(found.indices))], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def lemma_counts(counts: DataFrame, lemmas: DataFrame, key: str = "__h") -> DataFrame:
-    """Counts of terms → counts of their lemmas (forms without one stay).
+    """Counts of terms → counts of their lemmas (forms without one stay),
+    for lemma tables of any size.
 
     Each word of a uni- or bigram stands for its lemma, so the sequence of
     lemmas has the grams that translating the grams of forms gives.  That needs
@@ -57,8 +98,7 @@ def lemma_counts(counts: DataFrame, lemmas: DataFrame, key: str = "__h") -> Data
     ``lemmas`` (form, lemma) may repeat a form (its smallest lemma counts) and
     hold nulls (left out).
     """
-    lem = (lemmas.filter(F.col("form").isNotNull() & F.col("lemma").isNotNull() & (F.col("form") != F.col("lemma")))
-                 .groupBy("form").agg(F.min("lemma").alias("lemma")))
+    lem = single_lemmas(lemmas)
     words = F.split("term", " ")
     terms = counts.select("term").distinct().select("term", words[0].alias("__a"), F.get(words, 1).alias("__b"))
     of = lambda c: lem.select(F.col("form").alias(c), F.col("lemma").alias(c + "l"))
@@ -73,10 +113,6 @@ def lemma_counts(counts: DataFrame, lemmas: DataFrame, key: str = "__h") -> Data
             .unionByName(moved.select(key, F.col("__lemma").alias("term"), "c")))
 
 
-#: bytes of texts whose terms one task counts
-TASK_TEXT = 32 << 20
-
-
 def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize,
                 lemmas: DataFrame | None = None, keep: bool = True) -> tuple[DataFrame, int]:
     """Term counts per *distinct* text, keyed by the text's md5 (``__h``),
@@ -84,13 +120,18 @@ def text_counts(df: DataFrame, text: str, ngram_max: int = 2, stop_words=None, t
     the reference's dedupe-encode-map step (T8).  ``keep`` checkpoints the
     counts for callers that read them several times; they are several times
     the texts, so where disk counts they are made again.  With ``lemmas``
-    (form, lemma), what is left after the stop words counts as its lemma (T3)."""
-    docs = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).distinct() \
-             .withColumn("__h", F.md5("__text"))
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
-    tasks = max(int(size) // TASK_TEXT + 1, df.sparkSession.sparkContext.defaultParallelism)
-    counts = gram_counts(docs.repartition(tasks, "__h"), "__h", "__text", ngram_max, stop_words, tokenizer)
+    (form, lemma), what is left after the stop words counts as its lemma (T3):
+    a table of at most ``LEMMA_FORMS`` forms goes to the tasks, which translate
+    the words of a text in its row; a larger one is joined with the counts."""
+    rows = df.select(F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).withColumn("__h", F.md5("__text"))
+    n = rows.select("__h").distinct().count()
+    table = None
     if lemmas is not None:
+        lemmas = checkpoint(single_lemmas(lemmas))
+        table = lemmas.toArrow() if lemmas.count() <= LEMMA_FORMS else None
+    # texts are shuffled once, and counted where their copies meet
+    counts = gram_counts(rows.distinct(), "__h", "__text", ngram_max, stop_words, tokenizer, table)
+    if lemmas is not None and table is None:
         counts = lemma_counts(counts, lemmas)
     return (checkpoint(counts) if keep else counts), int(n)
 
