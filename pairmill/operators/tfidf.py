@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import stop_words_remover, tokenize, uni_bi_grams
-from ..session import checkpoint, scalar
+from ..session import checkpoint, collect_garbage, scalar
 
 
 def grams(df: DataFrame, id_col: str, text: str, ngram_max: int = 2, stop_words=None, tokenizer=tokenize) -> DataFrame:
@@ -183,9 +183,13 @@ def fit_transform(df: DataFrame, id_col: str, text: str, min_df: int = 2, max_df
                   lemmas: DataFrame | None = None, only: DataFrame | None = None):
     """Fit on the distinct texts of ``df`` and weigh its rows.  Returns (vocab,
     (id, term, w)); with ``only`` (term) the weights of these terms alone,
-    without keeping all counts on disk."""
+    without keeping all counts on disk: the vocabulary, a part of them, is kept,
+    and the fit's shuffle files are let go of before the texts are weighed."""
     counts, n = text_counts(df, text, ngram_max, stop_words, tokenizer, lemmas, keep=only is None)
     vocab = fit_counts(counts, n, min_df, max_df, max_features)
+    if only is not None:
+        vocab = checkpoint(vocab)
+        collect_garbage(df.sparkSession)
     return vocab, map_to_rows(df, id_col, text, weigh_counts(counts, vocab, only=only))
 
 
